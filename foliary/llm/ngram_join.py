@@ -193,19 +193,33 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     members = materialise(posts.join(chosen, "tok").join(pools.select("rid", "id", "key"), "rid"), "members")
     ids = members.select(F.col("id").alias("live_id")).distinct()
     picked = docs.join(ids, F.col("id").eqNullSafe(F.col("live_id")), "left_semi").withColumn("rid", F.lit(0).cast("long"))
-    sets = set_table(picked, k, num, den, order, full=True).select("key", "toks").dropDuplicates(["key"])
-    split = block_pairs(members, "tok", "c", F.xxhash64("rid"), cap)
-    tasks = split.join(sets, "key").select("tok", "blk", "blk_a", "blk_b", "key", "toks")
+    sets = materialise(set_table(picked, k, num, den, order, full=True).select("key", "toks").dropDuplicates(["key"]), "sets")
+    # first the largest bucket of each class; a bucket whose members all have the same largest one lies within it
+    best = members.groupBy("rid").agg(F.max(F.struct("c", "tok")).getField("tok").alias("best"))
+    held = members.join(best, "rid")
+    tops = best.select(F.col("best").alias("tok")).distinct()
+    within = held.groupBy("tok").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo = hi").select("tok")
+    first = _links(members.join(tops, "tok", "left_semi"), sets, num, den, cap)
+    # then what holds members of several components; most buckets are done by now
+    found = components(first).withColumnRenamed("node", "key")
+    named = members.join(tops.unionByName(within), "tok", "left_anti").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = named.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
+    rest = _links(named.join(mixed, "tok", "left_semi").drop("root"), sets, num, den, cap)
+    return pools.select("rid", "id", "key", "n"), first.unionByName(rest)
+
+
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int, cap: int) -> DataFrame:
+    """Edges within the buckets ``tok`` of ``members`` (tok, c, rid, key), whose ordered sets are in ``sets``."""
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["tok", "blk_a", "blk_b"]):
             keys = t.column("key").to_pylist()
-            found = trie_links([tuple(x) for x in t.column("toks").to_pylist()], t.column("blk").to_pylist(), num, den)
+            found = trie_links([tuple(x.values.to_numpy().tolist()) for x in t.column("toks")], t.column("blk").to_pylist(), num, den)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.binary()), pa.array([keys[j] for _, j in found], pa.binary())], ["a", "b"])
 
-    edges = tasks.repartition("tok", "blk_a", "blk_b").sortWithinPartitions("tok", "blk_a", "blk_b").mapInArrow(links, "a binary, b binary")
-    return pools.select("rid", "id", "key", "n"), materialise(edges, "links")
+    tasks = block_pairs(members, "tok", "c", F.xxhash64("rid"), cap).join(sets, "key").select("tok", "blk", "blk_a", "blk_b", "key", "toks")
+    return materialise(tasks.repartition("tok", "blk_a", "blk_b").sortWithinPartitions("tok", "blk_a", "blk_b").mapInArrow(run, "a binary, b binary"), "links")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 8, den: int = 10, ranked: int = RANKED, cap: int = CAP) -> DataFrame:
