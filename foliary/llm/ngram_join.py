@@ -185,10 +185,12 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     pools = materialise(set_table(docs.withColumn("rid", F.monotonically_increasing_id()), k, num, den, order, full=False), "pools")
     one = pools.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"))
     heads = pools.where("n > 0").join(one.select("rid"), "rid", "left_semi")
-    posts = heads.select("rid", F.explode("toks").alias("tok"))
+    posts = heads.select("rid", F.col("n").cast("long").alias("n"), F.posexplode("toks").alias("at", "tok")).select("tok", "rid", "n", F.col("at").cast("long").alias("at"))
+    posts = posts.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(_partnered(num, den), "tok bigint, rid bigint")
+    posts = materialise(posts, "posts")
     # buckets with the same members do the same work: one token stands for all of them
     mark = [F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    buckets = posts.groupBy("tok").agg(F.count("*").alias("c"), *mark).where("c > 1")
+    buckets = posts.groupBy("tok").agg(F.count("*").alias("c"), *mark)
     chosen = buckets.groupBy("c", "x1", "x2").agg(F.min("tok").alias("tok")).select("tok", "c")
     members = materialise(posts.join(chosen, "tok").join(pools.select("rid", "id", "key"), "rid"), "members")
     ids = members.select(F.col("id").alias("live_id")).distinct()
@@ -208,6 +210,62 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     return pools.select("rid", "id", "key", "n"), first.unionByName(rest)
 
 
+def _partnered(num: int, den: int, reach: int = 64):
+    """Keeps the rows (tok, rid) that may link within their bucket by this token, if it is the first one shared.
+
+    Input is sorted by token and size. With x and y sharing no token before places i and j, the overlap is at most
+    min(|x| - i, |y| - j). Buckets of more than ``reach`` rows of similar size are kept whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+
+        def keep(t: pa.Table) -> pa.RecordBatch:
+            tok, rid, n, at = (t.column(c).to_numpy() for c in ("tok", "rid", "n", "at"))
+            ok = np.zeros(len(tok), bool)
+            x = np.arange(len(tok))
+            for d in range(1, reach + 1):
+                x = x[x < len(tok) - d]
+                y = x + d
+                x = x[(tok[x] == tok[y]) & (n[x] * den >= n[y] * num)]
+                if not len(x):
+                    break
+                y = x + d
+                hit = np.minimum(n[x] - at[x], n[y] - at[y]) * (num + den) >= num * (n[x] + n[y])
+                ok[x[hit]] = ok[y[hit]] = True
+            if len(x):
+                ok |= np.isin(tok, tok[x])
+            return pa.RecordBatch.from_arrays([pa.array(tok[ok]), pa.array(rid[ok])], ["tok", "rid"])
+
+        hot = None  # a token too frequent to hold: its rows are let through as they come
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if hot is not None:
+                more = int(np.searchsorted(t.column("tok").to_numpy(), hot, side="right"))
+                if more:
+                    yield from t.slice(0, more).select(["tok", "rid"]).to_batches()
+                t = t.slice(more)
+                if not t.num_rows:
+                    continue
+                hot = None
+            t = t if carry is None else pa.concat_tables([carry, t])
+            tok = t.column("tok").to_numpy()
+            if not len(tok):
+                continue
+            cut = int(np.searchsorted(tok, tok[-1]))
+            if cut:
+                yield keep(t.slice(0, cut))
+            carry = t.slice(cut)  # the last token may go on in the next batch
+            if carry.num_rows > 100_000:
+                hot = int(tok[-1])
+                yield from carry.select(["tok", "rid"]).to_batches()
+                carry = None
+        if carry is not None and carry.num_rows:
+            yield keep(carry)
+
+    return run
+
+
 def _links(members: DataFrame, sets: DataFrame, num: int, den: int, cap: int) -> DataFrame:
     """Edges within the buckets ``tok`` of ``members`` (tok, c, rid, key), whose ordered sets are in ``sets``."""
 
