@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +22,69 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id as doc_id", "n_shingles", "component_id")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all documents takes of each."""
+    from .mixing import allocate, words
+
+    took = allocate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", ["doc_id"], words("text"))
+    return took.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    from .token_files import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), "doc_id", "text", end_id=2)
+
+
+def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=1024, end_id=2)
+
+
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    from .edit_fingerprint import fingerprint_with_edits
+
+    return fingerprint_with_edits(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, folded, rendered and read back."""
+    from .chat import digest_chats, reconstruct
+
+    logs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text")
+    return digest_chats(reconstruct(turn_events(logs.unionByName(extra))))
+
+
+def turn_events(turns: DataFrame) -> DataFrame:
+    """A message event for each row (conv_id, turn, role, text). Rows that share a turn are messages of their own, by role, then text."""
+    tie = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    msg = F.struct(F.col("turn"), F.row_number().over(tie).alias("tie"))
+    return turns.select("conv_id", msg.alias("msg"), F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
+
+
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back."""
+    from .warc_writer import archive
+
+    return archive(table(spark, sf_dir, "pages")).selectExpr("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "checked")
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    from .embedding_dedup import embedding_groups
+
+    found = embedding_groups(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return found.selectExpr("id as vec_id", "n_links", "component_id", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}
+    found = (op1_source_mixing, op2_token_files, op3_bestfit_packing, op5_edit_fingerprints, op6_chat_formatting, op8_warc_archives, op9_ngram_jaccard_join, op10_embedding_near_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
