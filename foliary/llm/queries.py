@@ -44,6 +44,13 @@ def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=1024, end_id=2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    from .toxicity import label_toxicity
+
+    return label_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
     from .edit_fingerprint import fingerprint_with_edits
@@ -67,6 +74,13 @@ def turn_events(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", msg.alias("msg"), F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without near-duplicate lines."""
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, read back."""
     from .warc_writer import archive
@@ -82,9 +96,16 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id as vec_id", "n_links", "component_id", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_source_mixing, op2_token_files, op3_bestfit_packing, op5_edit_fingerprints, op6_chat_formatting, op8_warc_archives, op9_ngram_jaccard_join, op10_embedding_near_dedup)
-    return {f.__name__: f for f in found}
+    found = (op1_source_mixing, op2_token_files, op3_bestfit_packing, op4_toxicity, op5_edit_fingerprints, op6_chat_formatting, op7_line_dedup, op8_warc_archives, op9_ngram_jaccard_join, op10_embedding_near_dedup)
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
