@@ -131,12 +131,13 @@ def _settle(node: _Node, uf: UnionFind) -> bool:
     return node.one
 
 
-def trie_links(sets: list[tuple[int, ...]], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
+def trie_links(sets: list[tuple[int, ...]], side: list[int], num: int, den: int, token: int | None = None) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph that links sets with Jaccard >= num/den.
 
     ``side`` marks the block of a set; where both blocks occur, only pairs across them are tried, as pairs
     within a block meet elsewhere. Sets hold distinct tokens in one common order. Pairs that are
-    connected already, one by one or as a whole subtree, are not tried again.
+    connected already, one by one or as a whole subtree, are not tried again. With ``token``, only pairs whose first shared
+    token it is are tried: the others meet in another bucket.
     """
     n = len(sets)
     place = sorted(range(n), key=sets.__getitem__)
@@ -162,7 +163,10 @@ def trie_links(sets: list[tuple[int, ...]], side: list[int], num: int, den: int)
                 continue
             xs = xs or set(sets[x])
             if node.seg:
-                shared += len(xs.intersection(node.seg))
+                both_have = xs.intersection(node.seg)
+                if token is not None and not shared and both_have and next(t for t in node.seg if t in both_have) != token:
+                    continue
+                shared += len(both_have)
                 depth += len(node.seg)
             need = -(-(nx + max(node.least, -(-nx * num // den))) * num // (num + den))
             if min(nx, shared + node.deepest - depth) < need:
@@ -186,13 +190,14 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     one = pools.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"))
     heads = pools.where("n > 0").join(one.select("rid"), "rid", "left_semi")
     posts = heads.select("rid", F.col("n").cast("long").alias("n"), F.posexplode("toks").alias("at", "tok")).select("tok", "rid", "n", F.col("at").cast("long").alias("at"))
-    posts = posts.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(_partnered(num, den), "tok bigint, rid bigint")
+    posts = posts.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(_partnered(num, den), "tok bigint, rid bigint, at bigint")
     posts = materialise(posts, "posts")
     # buckets with the same members do the same work: one token stands for all of them
     mark = [F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    buckets = posts.groupBy("tok").agg(F.count("*").alias("c"), *mark)
-    chosen = buckets.groupBy("c", "x1", "x2").agg(F.min("tok").alias("tok")).select("tok", "c")
-    members = materialise(posts.join(chosen, "tok").join(pools.select("rid", "id", "key"), "rid"), "members")
+    buckets = posts.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("rid", "at")).alias("one"), *mark)
+    # the earliest in the global order, as the same member sees it
+    chosen = buckets.groupBy("c", "x1", "x2").agg(F.min(F.struct("one.at", "tok")).getField("tok").alias("tok")).select("tok", "c")
+    members = materialise(posts.select("tok", "rid").join(chosen, "tok").join(pools.select("rid", "id", "key"), "rid"), "members")
     ids = members.select(F.col("id").alias("live_id")).distinct()
     picked = docs.join(ids, F.col("id").eqNullSafe(F.col("live_id")), "left_semi").withColumn("rid", F.lit(0).cast("long"))
     sets = materialise(set_table(picked, k, num, den, order, full=True).select("key", "toks").dropDuplicates(["key"]), "sets")
@@ -201,17 +206,17 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     held = members.join(best, "rid")
     tops = best.select(F.col("best").alias("tok")).distinct()
     within = held.groupBy("tok").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo = hi").select("tok")
-    first = _links(members.join(tops, "tok", "left_semi"), sets, num, den, cap)
+    first = _links(members.join(tops, "tok", "left_semi"), sets, num, den, cap, whole=True)
     # then what holds members of several components; most buckets are done by now
     found = components(first).withColumnRenamed("node", "key")
     named = members.join(tops.unionByName(within), "tok", "left_anti").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = named.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    rest = _links(named.join(mixed, "tok", "left_semi").drop("root"), sets, num, den, cap)
+    rest = _links(named.join(mixed, "tok", "left_semi").drop("root"), sets, num, den, cap, whole=False)
     return pools.select("rid", "id", "key", "n"), first.unionByName(rest)
 
 
 def _partnered(num: int, den: int, reach: int = 64):
-    """Keeps the rows (tok, rid) that may link within their bucket by this token, if it is the first one shared.
+    """Keeps the rows (tok, rid, at) that may link within their bucket by this token, if it is the first one shared.
 
     Input is sorted by token and size. With x and y sharing no token before places i and j, the overlap is at most
     min(|x| - i, |y| - j). Buckets of more than ``reach`` rows of similar size are kept whole.
@@ -235,7 +240,7 @@ def _partnered(num: int, den: int, reach: int = 64):
                 ok[x[hit]] = ok[y[hit]] = True
             if len(x):
                 ok |= np.isin(tok, tok[x])
-            return pa.RecordBatch.from_arrays([pa.array(tok[ok]), pa.array(rid[ok])], ["tok", "rid"])
+            return pa.RecordBatch.from_arrays([pa.array(tok[ok]), pa.array(rid[ok]), pa.array(at[ok])], ["tok", "rid", "at"])
 
         hot = None  # a token too frequent to hold: its rows are let through as they come
         for b in batches:
@@ -243,7 +248,7 @@ def _partnered(num: int, den: int, reach: int = 64):
             if hot is not None:
                 more = int(np.searchsorted(t.column("tok").to_numpy(), hot, side="right"))
                 if more:
-                    yield from t.slice(0, more).select(["tok", "rid"]).to_batches()
+                    yield from t.slice(0, more).select(["tok", "rid", "at"]).to_batches()
                 t = t.slice(more)
                 if not t.num_rows:
                     continue
@@ -258,7 +263,7 @@ def _partnered(num: int, den: int, reach: int = 64):
             carry = t.slice(cut)  # the last token may go on in the next batch
             if carry.num_rows > 100_000:
                 hot = int(tok[-1])
-                yield from carry.select(["tok", "rid"]).to_batches()
+                yield from carry.select(["tok", "rid", "at"]).to_batches()
                 carry = None
         if carry is not None and carry.num_rows:
             yield keep(carry)
@@ -266,13 +271,16 @@ def _partnered(num: int, den: int, reach: int = 64):
     return run
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int, cap: int) -> DataFrame:
-    """Edges within the buckets ``tok`` of ``members`` (tok, c, rid, key), whose ordered sets are in ``sets``."""
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int, cap: int, whole: bool) -> DataFrame:
+    """Edges within the buckets ``tok`` of ``members`` (tok, c, rid, key), whose ordered sets are in ``sets``.
+
+    Not ``whole``: only between sets whose first shared token is the bucket's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["tok", "blk_a", "blk_b"]):
             keys = t.column("key").to_pylist()
-            found = trie_links([tuple(x.values.to_numpy().tolist()) for x in t.column("toks")], t.column("blk").to_pylist(), num, den)
+            found = trie_links([tuple(x.values.to_numpy().tolist()) for x in t.column("toks")], t.column("blk").to_pylist(), num, den, None if whole else t.column("tok")[0].as_py())
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.binary()), pa.array([keys[j] for _, j in found], pa.binary())], ["a", "b"])
 
