@@ -190,14 +190,14 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     one = pools.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"))
     heads = pools.where("n > 0").join(one.select("rid"), "rid", "left_semi")
     posts = heads.select("rid", F.col("n").cast("long").alias("n"), F.posexplode("toks").alias("at", "tok")).select("tok", "rid", "n", F.col("at").cast("long").alias("at"))
-    posts = posts.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(_partnered(num, den), "tok bigint, rid bigint, at bigint")
+    posts = posts.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(_partnered(num, den), "tok bigint, rid bigint, n bigint, at bigint")
     posts = materialise(posts, "posts")
     # buckets with the same members do the same work: one token stands for all of them
     mark = [F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     buckets = posts.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("rid", "at")).alias("one"), *mark)
     # the earliest in the global order, as the same member sees it
     chosen = buckets.groupBy("c", "x1", "x2").agg(F.min(F.struct("one.at", "tok")).getField("tok").alias("tok")).select("tok", "c")
-    members = materialise(posts.select("tok", "rid").join(chosen, "tok").join(pools.select("rid", "id", "key"), "rid"), "members")
+    members = materialise(posts.join(chosen, "tok").join(pools.select("rid", "id", "key"), "rid"), "members")
     ids = members.select(F.col("id").alias("live_id")).distinct()
     picked = docs.join(ids, F.col("id").eqNullSafe(F.col("live_id")), "left_semi").withColumn("rid", F.lit(0).cast("long"))
     sets = materialise(set_table(picked, k, num, den, order, full=True).select("key", "toks").dropDuplicates(["key"]), "sets")
@@ -211,12 +211,14 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     found = components(first).withColumnRenamed("node", "key")
     named = members.join(tops.unionByName(within), "tok", "left_anti").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = named.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    rest = _links(named.join(mixed, "tok", "left_semi").drop("root"), sets, num, den, cap, whole=False)
+    named = named.join(mixed, "tok", "left_semi").withColumn("grp", F.xxhash64("root")).select("tok", "rid", "n", "at", "grp", "c")
+    apart = named.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(_partnered(num, den, ("grp", "c")), "tok bigint, rid bigint, n bigint, at bigint, grp bigint, c bigint")
+    rest = _links(apart.join(pools.select("rid", "key"), "rid").select("tok", "rid", "c", "key"), sets, num, den, cap, whole=False)
     return pools.select("rid", "id", "key", "n"), first.unionByName(rest)
 
 
-def _partnered(num: int, den: int, reach: int = 64):
-    """Keeps the rows (tok, rid, at) that may link within their bucket by this token, if it is the first one shared.
+def _partnered(num: int, den: int, more: tuple[str, ...] = (), reach: int = 64):
+    """Keeps the rows (tok, rid, n, at and ``more``) that may link, across groups if there is a grp, within their bucket by this token, if it is the first one shared.
 
     Input is sorted by token and size. With x and y sharing no token before places i and j, the overlap is at most
     min(|x| - i, |y| - j). Buckets of more than ``reach`` rows of similar size are kept whole.
@@ -224,9 +226,11 @@ def _partnered(num: int, den: int, reach: int = 64):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.Table | None = None
+        names = ["tok", "rid", "n", "at", *more]
 
-        def keep(t: pa.Table) -> pa.RecordBatch:
-            tok, rid, n, at = (t.column(c).to_numpy() for c in ("tok", "rid", "n", "at"))
+        def keep(t: pa.Table) -> pa.Table:
+            tok, n, at = (t.column(c).to_numpy() for c in ("tok", "n", "at"))
+            grp = t.column("grp").to_numpy() if more else None
             ok = np.zeros(len(tok), bool)
             x = np.arange(len(tok))
             for d in range(1, reach + 1):
@@ -237,19 +241,21 @@ def _partnered(num: int, den: int, reach: int = 64):
                     break
                 y = x + d
                 hit = np.minimum(n[x] - at[x], n[y] - at[y]) * (num + den) >= num * (n[x] + n[y])
+                if grp is not None:
+                    hit &= grp[x] != grp[y]
                 ok[x[hit]] = ok[y[hit]] = True
             if len(x):
                 ok |= np.isin(tok, tok[x])
-            return pa.RecordBatch.from_arrays([pa.array(tok[ok]), pa.array(rid[ok]), pa.array(at[ok])], ["tok", "rid", "at"])
+            return t.select(names).filter(pa.array(ok)).combine_chunks()
 
         hot = None  # a token too frequent to hold: its rows are let through as they come
         for b in batches:
             t = pa.Table.from_batches([b])
             if hot is not None:
-                more = int(np.searchsorted(t.column("tok").to_numpy(), hot, side="right"))
-                if more:
-                    yield from t.slice(0, more).select(["tok", "rid", "at"]).to_batches()
-                t = t.slice(more)
+                same = int(np.searchsorted(t.column("tok").to_numpy(), hot, side="right"))
+                if same:
+                    yield from t.slice(0, same).select(names).to_batches()
+                t = t.slice(same)
                 if not t.num_rows:
                     continue
                 hot = None
@@ -259,14 +265,14 @@ def _partnered(num: int, den: int, reach: int = 64):
                 continue
             cut = int(np.searchsorted(tok, tok[-1]))
             if cut:
-                yield keep(t.slice(0, cut))
+                yield from keep(t.slice(0, cut)).to_batches()
             carry = t.slice(cut)  # the last token may go on in the next batch
             if carry.num_rows > 100_000:
                 hot = int(tok[-1])
-                yield from carry.select(["tok", "rid", "at"]).to_batches()
+                yield from carry.select(names).to_batches()
                 carry = None
         if carry is not None and carry.num_rows:
-            yield keep(carry)
+            yield from keep(carry).to_batches()
 
     return run
 
