@@ -1,17 +1,388 @@
-"""Every registered retrieval query with its DuckDB SQL."""
+"""Every registered retrieval query with its DuckDB SQL. Both read the whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliary.functions import text as tx
+from foliary.operators import facts, search
+from foliary.sources.tables import document_chunks, table
+from foliary.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+QUERY = "License and the Apache version"
+TERMS = ("the", "and", "license")
+CHUNKS = "(SELECT source AS vault, 'doc/' || doc_id AS source, 0 AS chunk_index, coalesce(text, '') AS content, doc_id, lang, sha1('doc/' || doc_id || chr(0) || '0' || chr(0) || coalesce(text, '')) AS chunk_id, substr(sha256(coalesce(text, '')), 1, 16) AS content_hash FROM documents)"
+
+
+def query(sql: str = "") -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_chunks(table(spark, sf_dir, "documents"))
+
+
+def _occ(h: str, t: str) -> str:
+    return f"CAST((length({h}) - length(replace({h}, '{t}', ''))) / {len(t)} AS BIGINT)"
+
+
+def _lexical_sql(q: str, h: str = "lower(content)") -> str:
+    regular, acronyms = tx.split_acronyms(q)
+    parts = [_occ(h, t) for t in regular]
+    if acronyms:
+        w = "\\p{L}\\p{N}_"  # DuckDB's \\b knows ASCII only: separators are doubled, so that words do not share one
+        parts.append(f"5 * len(regexp_extract_all(regexp_replace(content, '([^{w}])', '\\1\\1', 'g'), '(?i)(?:^|[^{w}])(?:{'|'.join(sorted(set(acronyms)))})(?:$|[^{w}])'))")
+    return f"(CAST({' + '.join(parts) or '0'} AS DOUBLE) + CASE WHEN contains({h}, '{q.lower()}') THEN 10.0 ELSE 0.0 END)"
+
+
+def _bm25_sql(q: str) -> str:
+    """chunk columns and bm25 of matching chunks."""
+    groups = tx.phrase_groups(q)
+    flat = list(dict.fromkeys(p for g in groups for p in g))
+    tf = ", ".join(f"{_occ('lower(content)', p)} AS tf{i}" for i, p in enumerate(flat))
+    df = ", ".join(f"sum(CAST(tf{i} > 0 AS BIGINT)) AS df{i}" for i in range(len(flat)))
+    score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avglen))" for i in (flat.index(p) for g in groups for p in g))
+    match = " AND ".join("(" + " OR ".join(f"tf{flat.index(p)} > 0" for p in g) + ")" for g in groups)
+    return f"(WITH r AS (SELECT *, {tf}, greatest(length(content) - 2, 0) AS len FROM {CHUNKS}), s AS (SELECT count(*) AS n, avg(len) AS avglen, {df} FROM r) SELECT r.*, CAST({score} AS DOUBLE) AS bm25 FROM r, s WHERE {match})"
+
+
+def _route_sql(rows: str, score: str, n: int = search.PER_ROUTE) -> str:
+    return f"(SELECT chunk_id, row_number() OVER (ORDER BY {score} DESC, source, chunk_index) AS rank FROM {rows} QUALIFY rank <= {n})"
+
+
+def _exact_sql(terms: tuple[str, ...]) -> str:
+    hits = " + ".join(_occ("lower(content)", t) for t in terms)
+    held = " AND ".join(f"contains(lower(content), '{t}')" for t in terms)
+    return f"(SELECT *, {hits} AS hits FROM {CHUNKS} WHERE {held})"
+
+
+LEX = f"(SELECT *, {_lexical_sql(QUERY)} AS lexical FROM {CHUNKS})"
+ROUTES = [_route_sql(_bm25_sql(QUERY), "round(bm25, 9)"), _route_sql(f"(SELECT * FROM {LEX} WHERE lexical > 0)", "lexical"), _route_sql(_exact_sql(TERMS), "hits")]
+FUSED = "(WITH a AS %s, b AS %s, c AS %s, k AS (SELECT chunk_id FROM a UNION SELECT chunk_id FROM b UNION SELECT chunk_id FROM c) SELECT k.chunk_id, (coalesce(1.0::DOUBLE / (60 + a.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0)) + coalesce(1.0::DOUBLE / (60 + c.rank), 0.0) AS score FROM k LEFT JOIN a USING (chunk_id) LEFT JOIN b USING (chunk_id) LEFT JOIN c USING (chunk_id))" % tuple(ROUTES)
+HYBRID = f"(SELECT c.*, f.score FROM {CHUNKS} c JOIN {FUSED} f USING (chunk_id))"
+
+
+@query(f"SELECT doc_id, chunk_id, content_hash FROM {CHUNKS}")
+def chunk_ids_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("doc_id", "chunk_id", "content_hash")
+
+
+@query("SELECT regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) AS ext, count(*) AS n FROM pages GROUP BY 1")
+def ext_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").groupBy(F.regexp_extract(F.lower("url"), r"\.([a-z0-9]+)$", 1).alias("ext")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS chunks, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM documents WHERE starts_with(source, 'src1') GROUP BY 1 ORDER BY source LIMIT 5 OFFSET 2")
+def list_files_page(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where(F.col("source").startswith("src1"))
+    got = docs.groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    return search.page(got, [F.col("source")], 2, 5)
+
+
+_RULES = ((r"^src1", True), (r"/[0-9]*7\.md$", False), (r"/[0-9]*77\.md$", True))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(path, '/[0-9]*77\\.md$') THEN true WHEN regexp_matches(path, '/[0-9]*7\\.md$') THEN false WHEN regexp_matches(path, '^src1') THEN true ELSE false END AS is_ignored FROM (SELECT doc_id, source || '/' || doc_id || '.md' AS path FROM documents)")
+def ignore_last_match(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return facts.ignored(docs, _RULES).select("doc_id", "is_ignored")
+
+
+@query(f"SELECT doc_id FROM {CHUNKS} WHERE starts_with(source, 'doc/1') AND vault IN ('src1', 'src2') AND list_has_any([lang, vault], ['de', 'src2'])")
+def filter_prefix_tags(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.arrays_overlap(F.array("lang", "vault"), F.array(F.lit("de"), F.lit("src2")))
+    return chunks(spark, d).where(F.col("source").startswith("doc/1") & F.col("vault").isin("src1", "src2") & tags).select("doc_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM (SELECT *, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS mtime FROM orders) WHERE mtime IS NULL OR mtime BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'")
+def mtime_null_pass(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumn("mtime", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")))
+    near = F.col("mtime").between(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1996-12-31").cast("timestamp_ntz"))
+    return o.where(F.col("mtime").isNull() | near).select("o_orderkey", "o_orderstatus")
+
+
+@query(f"SELECT doc_id, hits FROM {_exact_sql(TERMS)}")
+def exact_terms_and(spark: SparkSession, d: str) -> DataFrame:
+    return search.exact_matches(chunks(spark, d), TERMS).select("doc_id", "hits")
+
+
+_CLEAN = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
+
+
+def _snippet_sql(terms: list[str], w: int = 150) -> str:
+    at = "coalesce(" + ", ".join(f"nullif(instr(lower(x), '{t}'), 0)" for t in terms if len(t) >= 2) + ", 0) - 1"
+    return f"CASE WHEN n <= {w} THEN x WHEN pos0 < 0 THEN rtrim(substr(x, 1, {w})) || '...' ELSE (CASE WHEN s > 0 THEN '...' ELSE '' END) || trim(substr(x, s + 1, e - s)) || (CASE WHEN e < n THEN '...' ELSE '' END) END", f"(SELECT *, CASE WHEN e - s0 < {w} THEN greatest(0, e - {w}) ELSE s0 END AS s FROM (SELECT *, least(n, s0 + {w}) AS e FROM (SELECT *, greatest(0, pos0 - {w // 2}) AS s0 FROM (SELECT *, length(x) AS n, {at} AS pos0 FROM (SELECT *, {_CLEAN} AS x FROM {CHUNKS})))))"
+
+
+_SN, _SN_FROM = _snippet_sql(["version", "license"])
+
+
+@query(f"SELECT doc_id, {_SN} AS snippet, length(content) AS char_count FROM {_SN_FROM}")
+def preview_projection(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("doc_id", tx.snippet("content", ["version", "license"]).alias("snippet"), F.length("content").cast("long").alias("char_count"))
+
+
+@query(f"SELECT doc_id, {_lexical_sql(QUERY)} AS lexical FROM {CHUNKS}")
+def lexical_score(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("doc_id", search.lexical_score(QUERY).alias("lexical"))
+
+
+@query(f"SELECT doc_id, {_lexical_sql('AI in IT of a plan')} AS lexical FROM {CHUNKS}")
+def acronym_score(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("doc_id", search.lexical_score("AI in IT of a plan").alias("lexical"))
+
+
+@query(f"SELECT doc_id, round(bm25, 6) AS bm25 FROM {_bm25_sql(QUERY)}")
+def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+    return search.bm25(chunks(spark, d), QUERY).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"SELECT chunk_id, rank FROM {ROUTES[0]}")
+def bm25_route(spark: SparkSession, d: str) -> DataFrame:
+    return search.bm25_route(chunks(spark, d), QUERY)
+
+
+@query(f"SELECT chunk_id, rank FROM {ROUTES[2]}")
+def exact_route(spark: SparkSession, d: str) -> DataFrame:
+    return search.exact_route(chunks(spark, d), TERMS)
+
+
+_VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * [%s][i]))" % ", ".join(f"{v}::DOUBLE" for v in _VECTOR)
+_NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))"
+_QNORM = sum(v * v for v in _VECTOR) ** 0.5
+
+
+@query(f"SELECT vec_id, round({_DOT} / ({_NORM} * {_QNORM}), 6) AS similarity FROM embeddings ORDER BY round({_DOT} / ({_NORM} * {_QNORM}), 12) DESC, vec_id LIMIT 20")
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.cosine_topk(table(spark, d, "embeddings"), _VECTOR, 20).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT label, count(*) AS n, CAST(sum(CAST({_DOT} > 0 AS BIGINT)) AS BIGINT) AS ahead FROM embeddings GROUP BY label")
+def cosine_by_label(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").withColumn("s", search.cosine(F.col("embedding"), _VECTOR))
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("s") > 0).cast("long")).alias("ahead"))
+
+
+@query(f"SELECT chunk_id, round(score, 9) AS score FROM {FUSED}")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d)
+    routes = [search.bm25_route(c, QUERY), search.lexical_route(c, QUERY), search.exact_route(c, TERMS)]
+    return search.fuse(routes).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(f"SELECT source, vault, round(score, 9) AS score FROM (SELECT * FROM {HYBRID} QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY score DESC, source, chunk_index) = 1) ORDER BY score DESC, source, chunk_index LIMIT 10")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Routes, fusion, filter-free de-duplication and the first page."""
+    got = search.hybrid(chunks(spark, d), QUERY, TERMS)
+    order = search.place(F.col("score"))
+    return search.page(search.dedupe(got, ["content_hash"], order), order, 0, 10).select("source", "vault", F.round("score", 9).alias("score"))
+
+
+@query(f"SELECT doc_id, lexical AS score FROM {LEX} WHERE lexical > 0 ORDER BY lexical DESC, source, chunk_index LIMIT 25")
+def fallback_rank(spark: SparkSession, d: str) -> DataFrame:
+    got = search.fallback(chunks(spark, d), QUERY)
+    return search.page(got, search.place(F.col("score")), 0, 25).select("doc_id", "score")
+
+
+@query(f"SELECT doc_id FROM {CHUNKS} QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY source, chunk_index) = 1")
+def dedupe_hash(spark: SparkSession, d: str) -> DataFrame:
+    return search.dedupe(chunks(spark, d), ["content_hash"], [F.col("source"), F.col("chunk_index")]).select("doc_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'system' UNION ALL (SELECT conv_id, turn FROM conversations WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1)")
+def dedupe_occurrence(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").withColumn("kind", F.when(F.col("role") != "system", F.col("role")))
+    return search.dedupe(rows, ["conv_id", "kind"], [F.col("turn")]).select("conv_id", "turn")
+
+
+@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR (l.toxic = 0 AND d.doc_id % 3 = l.quality)")
+def visibility_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("source"), (F.col("doc_id") % 3).alias("revision"))
+    known = table(spark, d, "labels").select(F.col("doc_id").alias("source"), F.when(F.col("toxic") == 0, "active").otherwise("deleted").alias("visibility"), F.col("quality").cast("long").alias("active_revision"))
+    return facts.visible(rows, known).select("doc_id")
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents QUALIFY pos < 100), s AS (SELECT r.*, CASE WHEN pos < 60 THEN CAST(l.quality AS DOUBLE) END AS relevance FROM r LEFT JOIN labels l USING (doc_id)) SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN pos >= 60 THEN 2 WHEN relevance IS NULL THEN 1 ELSE 0 END, relevance DESC NULLS LAST, pos) - 1 AS new_pos FROM s")
+def rerank_reorder(spark: SparkSession, d: str) -> DataFrame:
+    first = table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(100)
+    ranked = first.select("doc_id", (F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1).alias("pos"))
+    scores = ranked.join(table(spark, d, "labels"), "doc_id").select("pos", F.col("quality").cast("double").alias("relevance"))
+    return search.rerank(ranked, scores).select("doc_id", F.col("new_pos").cast("long").alias("new_pos"))
+
+
+_VAULTS = "(SELECT 'src' || i AS vault, 1.0::DOUBLE + i / 4 AS weight, i % 7 = 3 AS solo, i AS position FROM range(20) t(i))"
+_MERGED = f"(SELECT h.* EXCLUDE (lexical), lexical * weight AS score, v.position FROM (SELECT * FROM {LEX} WHERE lexical > 0 QUALIFY row_number() OVER (PARTITION BY vault ORDER BY lexical DESC, source, chunk_index) <= 20) h JOIN {_VAULTS} v USING (vault) WHERE NOT solo)"
+
+
+def _vaults(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "documents").select(F.col("source").alias("vault")).distinct()
+    i = F.regexp_extract("vault", r"(\d+)", 1).cast("int")
+    return names.select("vault", (1.0 + i / 4).alias("weight"), (i % 7 == 3).alias("solo"), i.alias("position"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return search.fallback(chunks(spark, d), QUERY)
+
+
+@query(f"SELECT vault, source, round(score, 6) AS score FROM {_MERGED} ORDER BY score DESC, source, chunk_index, position LIMIT 30")
+def fanout_weighted(spark: SparkSession, d: str) -> DataFrame:
+    got = search.merge_vaults(_hits(spark, d), _vaults(spark, d), 20)
+    return search.page(got, [*search.place(F.col("score")), F.col("position")], 0, 30).select("vault", "source", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vault, source, pos, round(max_score, 6) AS max_score FROM (SELECT *, max(score) OVER (PARTITION BY vault) AS max_score, row_number() OVER (PARTITION BY vault ORDER BY score DESC, source, chunk_index) AS pos FROM {_MERGED}) WHERE pos > 1 AND pos <= 4")
+def fanout_grouped(spark: SparkSession, d: str) -> DataFrame:
+    got = search.group_vaults(search.merge_vaults(_hits(spark, d), _vaults(spark, d), 20), 3, 1)
+    return got.select("vault", "source", F.col("pos").cast("long").alias("pos"), F.round("max_score", 6).alias("max_score"))
+
+
+@query(f"WITH m AS (SELECT doc_id, content_hash FROM {CHUNKS} WHERE doc_id % 2 = 1), g AS (SELECT content_hash, min(doc_id) AS donor_id FROM {CHUNKS} WHERE doc_id % 2 = 0 GROUP BY 1) SELECT m.doc_id, g.donor_id FROM m LEFT JOIN g USING (content_hash)")
+def vector_reuse(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d).select(F.col("doc_id").alias("id"), "content_hash")
+    return facts.reuse_vectors(c.where("id % 2 = 1"), c.where("id % 2 = 0"), "content_hash").select(F.col("id").alias("doc_id"), "donor_id")
+
+
+@query(f"SELECT count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars, CAST(ceil(count(*) / 32.0) AS BIGINT) AS batches FROM (SELECT content_hash, max(length(content)) AS chars FROM {CHUNKS} WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY 1)")
+def reembed_cost(spark: SparkSession, d: str) -> DataFrame:
+    have = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    new = chunks(spark, d).join(have, "doc_id", "left_anti").groupBy("content_hash").agg(F.max(F.length("content")).alias("chars"))
+    return new.agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.ceil(F.count("*") / 32).alias("batches"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def removed_sources(spark: SparkSession, d: str) -> DataFrame:
+    return facts.unreferenced(table(spark, d, "customer"), "c_custkey", (table(spark, d, "orders"), "o_custkey")).select("c_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)")
+def gc_unreferenced(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    a, b = li.where("l_quantity > 45"), li.where("l_returnflag = 'R' and l_quantity > 40")
+    return facts.unreferenced(table(spark, d, "part"), "p_partkey", (a, "l_partkey"), (b, "l_partkey")).select("p_partkey")
+
+
+_SPANS = "(SELECT event_id AS id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + 1 + CAST(floor(abs(value)) AS BIGINT) % 900 AS \"end\" FROM events)"
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", start.alias("start"), (start + 1 + F.floor(F.abs("value")) % 900).alias("end"))
+
+
+@query(f"SELECT a.id AS a_id, b.id AS b_id FROM {_SPANS} a JOIN {_SPANS} b ON a.user_id = b.user_id AND a.start < b.\"end\" AND b.start < a.\"end\" WHERE a.event_type = 'click' AND b.event_type <> 'click'")
+def overlap_links(spark: SparkSession, d: str) -> DataFrame:
+    s = _spans(spark, d)
+    return facts.overlaps(s.where("event_type = 'click'"), s.where("event_type <> 'click'"), "user_id", 1800)
+
+
+@query(f"WITH a AS (SELECT *, max(\"end\") OVER (PARTITION BY user_id ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {_SPANS}), g AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS p FROM a) SELECT user_id, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n FROM g GROUP BY user_id, p")
+def merge_islands(spark: SparkSession, d: str) -> DataFrame:
+    return facts.islands(_spans(spark, d), ["user_id"])
+
+
+_LEVELS = "(SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations)"
+
+
+@query(f"SELECT a.conv_id, a.turn, min(b.turn) AS next_at FROM {_LEVELS} a LEFT JOIN {_LEVELS} b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.level <= a.level GROUP BY 1, 2")
+def next_heading(spark: SparkSession, d: str) -> DataFrame:
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", level.alias("level"))
+    return facts.next_at_most(rows, "conv_id", "turn", "level").select("conv_id", "turn", "next_at")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def revision_latest(spark: SparkSession, d: str) -> DataFrame:
+    return facts.latest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS age FROM orders QUALIFY age > 2")
+def prune_keep_two(spark: SparkSession, d: str) -> DataFrame:
+    return facts.prune(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", F.col("age").cast("long").alias("age"))
+
+
+@query("WITH RECURSIVE f AS (SELECT user_id, CAST(event_id % 5 AS BIGINT) AS v, min(event_id) AS seen FROM events GROUP BY 1, 2), r AS (SELECT user_id, v, seen FROM f WHERE v = 0 UNION ALL SELECT f.user_id, f.v, f.seen FROM f JOIN r ON f.user_id = r.user_id AND f.v = r.v + 1 AND f.seen > r.seen) SELECT user_id, v AS version, seen AS event_id FROM r")
+def cas_fold(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "events").withColumn("expected", F.col("event_id") % 5)
+    return facts.cas_fold(log, "user_id", "event_id", "expected")
+
+
+@query("SELECT event_type AS state, count(*) AS n FROM events GROUP BY 1")
+def job_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST((SELECT coalesce(sum(strlen(coalesce(text, ''))), 0) FROM documents) + (SELECT coalesce(sum(strlen(coalesce(html, ''))), 0) FROM pages) + (SELECT count(*) * 256 FROM pages) AS BIGINT) AS used")
+def quota_sum(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("a"))
+    pages = table(spark, d, "pages").agg((F.coalesce(F.sum(F.octet_length("html")), F.lit(0)) + F.count("*") * 256).alias("b"))
+    return docs.crossJoin(pages).select((F.col("a") + F.col("b")).alias("used"))  # a row each
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS slice, len(string_split(text, chr(10))) > 4 AS more FROM documents WHERE text IS NOT NULL")
+def line_slice(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text is not null").withColumn("l", F.split("text", "\n", -1))
+    return rows.select("doc_id", F.array_join(F.slice("l", 2, 3), "\n").alias("slice"), (F.size("l") > 4).alias("more"))
+
+
+@query("SELECT doc_id, substr(text, 101, 80) AS part, CASE WHEN length(text) > 180 THEN 180 END AS next_char FROM documents WHERE text IS NOT NULL")
+def char_cursor(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.substring("text", 101, 80).alias("part"), F.when(F.length("text") > 180, 180).alias("next_char"))
+
+
+@query("SELECT doc_id, sha256(CASE WHEN length(t) = 0 OR t LIKE '%' || chr(10) THEN t ELSE t || chr(10) END) AS sha FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t FROM documents)")
+def markdown_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2(tx.normalised_markdown(F.coalesce("text", F.lit(""))), 256).alias("sha"))
+
+
+@query("SELECT gram, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM benchmark_docs) GROUP BY 1".replace("benchmark_docs", "(SELECT item_id AS doc_id, text FROM benchmark WHERE length(text) >= 3)"))
+def trigram_postings(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tx.trigrams("text"))).alias("gram"))
+    return rows.groupBy("gram").agg(F.count("*").alias("docs"))
+
+
+_RANKED = "(SELECT source AS query, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, d.doc_id) AS rank, CAST(coalesce(quality, 0) AS DOUBLE) AS relevance FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, rank) AS best FROM {_RANKED}), a AS (SELECT query, max(CAST(rank <= 10 AND relevance > 0 AS INT)) AS hit, min(CASE WHEN relevance > 0 THEN rank END) AS f, sum(CAST(rank <= 10 AND relevance > 0 AS INT)) AS g, sum(CAST(relevance > 0 AS INT)) AS n, sum(CASE WHEN rank <= 10 THEN round((pow(2, relevance) - 1) / log2(rank + 1.0), 12)::DECIMAL(30, 12) END) AS dcg, sum(CASE WHEN best <= 10 THEN round((pow(2, relevance) - 1) / log2(best + 1.0), 12)::DECIMAL(30, 12) END) AS idcg FROM r GROUP BY 1) SELECT query, hit, round(coalesce(1.0::DOUBLE / f, 0.0), 9) AS rr, CASE WHEN n > 0 THEN round(g::DOUBLE / n::DOUBLE, 9) ELSE 0.0 END AS recall, CASE WHEN idcg > 0 THEN round(dcg::DOUBLE / idcg::DOUBLE, 9) ELSE 0.0 END AS ndcg FROM a")
+def ranking_quality(spark: SparkSession, d: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars").withColumn("rank", rank).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return facts.ranking_metrics(rows.select(F.col("source").alias("query"), "rank", F.coalesce("quality", F.lit(0)).cast("double").alias("relevance")), 10)
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start_s, event_type, count(*) AS n, CAST(sum(CAST(round(value, 2) AS DECIMAL(20, 2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return ev.tumbling(table(spark, d, "events"))
+
+
+@query("WITH a AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM g GROUP BY user_id, s")
+def stream_session(spark: SparkSession, d: str) -> DataFrame:
+    return ev.sessions(table(spark, d, "events"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return ev.first_of_each(table(spark, d, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
