@@ -39,52 +39,63 @@ class Encoder:
         for w, i in words.items():
             self.width[i] = len(w)
 
-    def _learn(self, cuts: Sequence[str]) -> dict[str, bytes]:
-        """Ids of each cut. Cuts that may stand beside each other are encoded as one text and told apart by length."""
-        out: dict[str, bytes] = {}
-        joined = [c for c in cuts if len(c) > 1 and c[0] == " " and not (c[1].isspace() or c[-1].isspace())]
-        alone = set(cuts).difference(joined)
-        for i in range(0, len(joined), 4096):
-            some = joined[i : i + 4096]
-            ids = np.array(self.model.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(c.encode()) for c in some])
+    def _learn(self, words: Sequence[str]) -> None:
+        """Remembers the ids of each word with a space before it: many are encoded as one text and told apart by length."""
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
             upto = np.searchsorted(np.cumsum(self.width[ids]), ends, side="right").tolist()
             raw, last = ids.tobytes(), 0
-            for c, k in zip(some, upto, strict=True):
-                out[c] = raw[4 * last : 4 * k]
+            for w, k in zip(some, upto, strict=True):
+                self.known[w] = raw[4 * last : 4 * k]
                 last = k
-        rest = sorted(alone)
-        for c, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[c] = np.array(e.ids, np.uint32).tobytes()
-        return out
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        got = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32).tobytes() for e in got]
 
     def encode(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
         """uint32 ids of each text, with ``end`` appended if given; a null text is an empty one."""
         tail = b"" if end is None else np.array([end], np.uint32).tobytes()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        cut_texts = [self._cuts(t) if t else [] for t in texts]
-        new = {c for cuts in cut_texts for c in cuts}.difference(known)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        cuts = [_cuts(t or "") for t in texts]
+        heads = self._alone([c[0] for c, _ in cuts])
+        new = set().union(*(words for _, words in cuts)).difference(self.known)
         if new:
-            known.update(self._learn(list(new)))
-        return [np.frombuffer(b"".join([known[c] for c in cuts]) + tail, np.uint32) for cuts in cut_texts]
-
-    @staticmethod
-    def _cuts(text: str) -> list[str]:
-        parts = text.split(" ")
-        cuts = [parts[0], *[" " + p for p in parts[1:]]]
-        if all(map(str.strip, parts)) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return cuts
-        out: list[str] = []
-        safe = False  # the cut before ends with a non-space
-        for p, c in zip(parts, cuts, strict=True):
-            if out and not (safe and p and not p[0].isspace()):
-                out[-1] += c
-            else:
-                out.append(c)
-            safe = bool(p) and not p[-1].isspace()
-        return out
+            self._learn(list(new))
+        get = self.known.__getitem__
+        return [np.frombuffer(head + b"".join(map(get, words)) + tail, np.uint32) for head, (_, words) in zip(heads, cuts, strict=True)]
+
+
+#: White space other than the space and the line feed.
+_RARE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+
+
+def _plain(text: str) -> bool:
+    """No white space but line feeds inside, and no space beside another white space; quick to see."""
+    ends = text[:1] + text[-1:]
+    return not (" " in ends or "\n" in ends or "  " in text or " \n" in text or "\n " in text or any(map(text.__contains__, _RARE)))
+
+
+def _cuts(text: str) -> tuple[list[str], list[str]]:
+    """([beginning], words): the text is the beginning and then each word after a single space, all safe to cut there."""
+    if _plain(text):
+        first, *words = text.split(" ")
+        return [first], words
+    out: list[str] = []
+    safe = False  # what is before ends with a non-space
+    for p in text.split(" "):
+        if out and not (safe and p and not p[0].isspace()):
+            out[-1] += " " + p
+        else:
+            out.append(p)
+        safe = bool(p) and not p[-1].isspace()
+    # only the last word can end with white space, where nothing may follow when many words are encoded at once
+    if len(out) > 1 and out[-1][-1].isspace():
+        return [" ".join(out)], []
+    return out[:1], out[1:]
 
 
 _ENCODERS: dict[str, Encoder] = {}
