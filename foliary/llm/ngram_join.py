@@ -42,6 +42,8 @@ def token_counts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             sets = shingler.sets(batch.column("text"))
             toks, c = np.unique(np.concatenate([s[: 3 * prefix_length(len(s), num, den) // 2] for s in sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(toks.view(np.int64)), pa.array(c)], ["tok", "n"])
@@ -72,6 +74,8 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, order, full: bool) ->
         shingler = Shingler(k)
         known, count = order.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
             sets = shingler.sets(batch.column("text"))
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             ns = [len(s) for s in sets]
