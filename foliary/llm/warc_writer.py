@@ -95,7 +95,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
-def write_archives(records: DataFrame, out: str, partitions: int, sample: int = SAMPLE_BYTES, dictionary: int = DICTIONARY_BYTES, level: int = LEVEL) -> DataFrame:
+def write_archives(records: DataFrame, out: str, sample: int = SAMPLE_BYTES, dictionary: int = DICTIONARY_BYTES, level: int = LEVEL) -> DataFrame:
     """Write ``records`` (as of :func:`plan_records`) below the URI ``out``. Returns file, records: those of successful attempts.
 
     The dictionary is trained on at most ``sample`` bytes of the first records of a file; with too few to train on, it is empty.
@@ -129,7 +129,8 @@ def write_archives(records: DataFrame, out: str, partitions: int, sample: int =
                     n += 1
         yield pa.RecordBatch.from_pylist([{"file": name, "records": n}], pa.schema([("file", pa.string()), ("records", pa.int64())]))
 
-    return materialise(records.repartition(partitions, F.hash("id", "url")).mapInArrow(run, "file string, records bigint"), "archives")
+    # the records are spread over salted digests already: no further shuffle of the payloads
+    return materialise(records.mapInArrow(run, "file string, records bigint"), "archives")
 
 
 def read_file(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -177,6 +178,5 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     """Write archives of ``pages`` to the shared folder and return what reading them back gives."""
     spark = pages.sparkSession
     out = shared_dir(spark, "warc")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = write_archives(plan_records(pages, id_col, url_col, payload_col, least), out, n)
+    files = write_archives(plan_records(pages, id_col, url_col, payload_col, least), out)
     return read_archives(files, out)
