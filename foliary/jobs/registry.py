@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as tx
-from foliary.operators import facts, search
+from foliary.operators import chunking, facts, search
 from foliary.sources.tables import document_chunks, table
 from foliary.streaming import events as ev
 
@@ -355,6 +355,24 @@ def trigram_postings(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("gram").agg(F.count("*").alias("docs"))
 
 
+@query("SELECT doc_id, (15 * len(regexp_extract_all(t, '\\s')) + 130 * len(regexp_extract_all(t, '[A-Za-z0-9_]+')) + 25 * (length(t) - len(regexp_extract_all(t, '[^A-Za-z0-9_]')) - len(regexp_extract_all(t, '[A-Za-z0-9_]+'))) + 115 * len(regexp_extract_all(t, '[^A-Za-z0-9_\\s]'))) / 100.0::DOUBLE AS tokens FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", chunking.estimated_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+@query("SELECT item_id, round((('0x' || substr(sha256(text), 1, 2))::INT / 127.5 - 1.0) / (('0x' || substr(sha256(text), 3, 2))::INT / 127.5 - 1.0), 6) AS ratio FROM benchmark")
+def static_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """The ratio of the first two components does not depend on the norm."""
+    e = table(spark, d, "benchmark").withColumn("e", chunking.hash_embedding("text"))
+    return e.select("item_id", F.round(F.col("e")[0] / F.col("e")[1], 6).alias("ratio"))
+
+
+@query()
+def chunk_chars(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    return chunking.chunk_documents(docs, "path", "text").select("source", "chunk_index", "chunk_id", "heading", "start_line", "end_line", "content_hash")
+
+
 _RANKED = "(SELECT source AS query, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, d.doc_id) AS rank, CAST(coalesce(quality, 0) AS DOUBLE) AS relevance FROM documents d LEFT JOIN labels l USING (doc_id))"
 
 
