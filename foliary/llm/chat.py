@@ -39,7 +39,7 @@ def render(role: str | None, text: str, first: bool) -> tuple[str, int, int]:
     """One formatted turn, and where in it the loss counts (start, end; equal where it does not)."""
     opening, closing = MARKS.get(role or "", ("", " [/TURN]"))
     if not opening:
-        opening = "[TURN null] " if role is None else f"[TURN ={escape(role)}\\ ] "
+        opening = "[TURN null] " if role is None else f"[TURN ={escape(role)}[/TURN] "
     body = escape(text)
     head = (BEGIN if first else "") + opening
     start = len(head)
@@ -57,8 +57,8 @@ def read(turn: str) -> tuple[str | None, str]:
     if s.startswith("[TURN null] "):
         role, at = None, len("[TURN null] ")
     elif s.startswith("[TURN ="):
-        at = s.index("\\ ] ")
-        role, at = unescape(s[len("[TURN =") : at]), at + 4
+        at = s.index("[/TURN] ")  # an escaped name cannot hold it
+        role, at = unescape(s[len("[TURN =") : at]), at + len("[/TURN] ")
     else:
         raise ValueError("a turn does not begin")
     return role, unescape(s[at : len(s) - len(" [/TURN]")])
@@ -76,7 +76,7 @@ def fold(events: DataFrame) -> DataFrame:
     # the text starts at the last event that is no delta
     last = F.expr("size(log) - coalesce(nullif(array_position(transform(reverse(log), x -> x.op <> 'delta'), true), 0), size(log)) + 1")
     text = F.expr("array_join(transform(slice(log, cut, size(log)), x -> if(x.op = 'regenerate', '', x.text)), '')")
-    role = F.expr("coalesce(element_at(filter(log, x -> x.op not in ('delta', 'edit', 'regenerate') and x.role is not null), -1).role, element_at(filter(log, x -> x.role is not null), -1).role)")
+    role = F.expr("coalesce(try_element_at(filter(log, x -> x.op not in ('delta', 'edit', 'regenerate') and x.role is not null), -1).role, try_element_at(filter(log, x -> x.role is not null), -1).role)")
     return logs.withColumn("cut", last).select("conv_id", "msg", role.alias("role"), text.alias("text"))
 
 

@@ -107,7 +107,15 @@ def _patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int
 
 
 def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL) -> list[tuple[int, list[int]]]:
-    """(times, lengths): ``times`` sequences that each hold these lengths. Every piece of the histogram is in one."""
+    """(times, lengths): ``times`` sequences that each hold these lengths. Every piece of the histogram is in one.
+
+    Rounding costs room where there are few small pieces to fill it, so the plan is compared with that of no large lengths.
+    """
+    plans = [_grouped(dict(histogram), capacity, groups, s) for s in (small, 1.0)]
+    return min(plans, key=lambda runs: sum(times for times, _ in runs))
+
+
+def _grouped(histogram: dict[int, int], capacity: int, groups: int, small: float) -> list[tuple[int, list[int]]]:
     left = {n: c for n, c in histogram.items() if c}
     runs: list[tuple[int, list[int]]] = []
     if full := left.pop(capacity, 0):
