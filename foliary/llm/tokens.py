@@ -34,13 +34,32 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         words = self.model.get_vocab()
         self.width = np.zeros(max(words.values()) + 1, np.int64)  # bytes of each token: a character of the vocabulary is a byte
         for w, i in words.items():
             self.width[i] = len(w)
 
-    def _learn(self, words: Sequence[str]) -> None:
-        """Remembers the ids of each word with a space before it: many are encoded as one text and told apart by length."""
+    def _learn(self, words: set[str]) -> None:
+        """Remembers the ids of each word with a space before it.
+
+        Marks after a letter or digit are a piece of their own, so a word with marks is put together from its parts.
+        """
+        known, ended, plain = self.known, [], []
+        for w in words:
+            base = w.rstrip(_MARKS)
+            if base and base != w and base[-1].isalnum():
+                ended.append((w, base))
+            else:
+                plain.append(w)
+        self._learn_plain(list({base for _, base in ended}.difference(known).union(plain)))
+        new = list({w[len(base) :] for w, base in ended}.difference(self.marks))
+        self.marks.update(zip(new, self._alone(new), strict=True))
+        for w, base in ended:
+            known[w] = known[base] + self.marks[w[len(base) :]]
+
+    def _learn_plain(self, words: list[str]) -> None:
+        """Many words are encoded as one text and told apart by length."""
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
             ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
@@ -60,15 +79,18 @@ class Encoder:
         tail = b"" if end is None else np.array([end], np.uint32).tobytes()
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.marks.clear()
         cuts = [_cuts(t or "") for t in texts]
         heads = self._alone([c[0] for c, _ in cuts])
         new = set().union(*(words for _, words in cuts)).difference(self.known)
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.known.__getitem__
         return [np.frombuffer(head + b"".join(map(get, words)) + tail, np.uint32) for head, (_, words) in zip(heads, cuts, strict=True)]
 
 
+#: Marks that may end a word.
+_MARKS = ".,;:!?#$%&*|)]}\"/-_+=~"
 #: White space other than the space and the line feed.
 _RARE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
