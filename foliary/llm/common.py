@@ -154,7 +154,7 @@ class Shingler:
         of = np.searchsorted(first, starts)  # the first word of each text
         m = len(h)
         acc = np.full(m, self.k, np.uint64)
-        for j in range(self.k):
+        for j in range(min(self.k, m)):
             acc[: m - j] = mix64(acc[: m - j] * np.uint64(0x9E3779B97F4A7C15) + h[j:])
         out = []
         for a, z in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
