@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 
@@ -80,15 +83,27 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
             self.marks.clear()
-        cuts = [_cuts(t or "") for t in texts]
-        heads = self._alone([c[0] for c, _ in cuts])
-        new = set().union(*(words for _, words in cuts)).difference(self.known)
+        heads, out, gaps = [], [], []
+        new: set[str] = set()
+        get = self.known.get
+        for t in texts:
+            (head,), words = _cuts(t or "")
+            ids = [*map(get, words)]
+            if None in ids:
+                at = [*compress(range(len(ids)), map(_NONE, ids))]
+                gaps.append((ids, words, at))
+                new.update([words[i] for i in at])
+            heads.append(head)
+            out.append(ids)
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        return [np.frombuffer(head + b"".join(map(get, words)) + tail, np.uint32) for head, (_, words) in zip(heads, cuts, strict=True)]
+            for ids, words, at in gaps:
+                for i in at:
+                    ids[i] = get(words[i])
+        return [np.frombuffer(b"".join([head, *ids, tail]), np.uint32) for head, ids in zip(self._alone(heads), out, strict=True)]
 
 
+_NONE = partial(is_, None)
 #: Marks that may end a word.
 _MARKS = ".,;:!?#$%&*|)]}\"/-_+=~"
 #: White space other than the space and the line feed.
