@@ -105,33 +105,52 @@ class _Node:
 
 
 def _trie(sets: list[tuple[int, ...]], lo: int, hi: int, depth: int) -> _Node:
-    """Trie over sets[lo:hi], which are sorted and equal before ``depth``; nodes hold up to SEGMENT tokens."""
-    first, last = sets[lo], sets[hi - 1]
-    end, top = depth, min(len(first), len(last), depth + SEGMENT)
-    while end < top and first[end] == last[end]:
-        end += 1
-    node = _Node(first[depth:end], lo, hi)
-    i = lo
-    while i < hi and len(sets[i]) == end:
-        i += 1
-    node.ends = i - lo  # sets that end here come first
-    if node.ends:
-        node.least = node.deepest = end
-    while i < hi:
-        j, t = i + 1, sets[i][end]
-        while j < hi and sets[j][end] == t:
-            j += 1
-        kid = _trie(sets, i, j, end)
-        node.kids.append(kid)
-        node.least, node.deepest = min(node.least, kid.least), max(node.deepest, kid.deepest)
-        i = j
-    return node
+    """Trie over sets[lo:hi], which are sorted and equal before ``depth``; nodes hold up to SEGMENT tokens.
+
+    Long sets make deep tries, so open nodes are on a stack of its own.
+    """
+    made: list[_Node] = []
+    stack: list[tuple[int, int, int, _Node | None]] = [(lo, hi, depth, None)]
+    while stack:
+        lo, hi, depth, parent = stack.pop()
+        first, last = sets[lo], sets[hi - 1]
+        end, top = depth, min(len(first), len(last), depth + SEGMENT)
+        while end < top and first[end] == last[end]:
+            end += 1
+        node = _Node(first[depth:end], lo, hi)
+        made.append(node)
+        if parent:
+            parent.kids.append(node)
+        i = lo
+        while i < hi and len(sets[i]) == end:
+            i += 1
+        node.ends = i - lo  # sets that end here come first
+        if node.ends:
+            node.least = node.deepest = end
+        below = []
+        while i < hi:
+            j, t = i + 1, sets[i][end]
+            while j < hi and sets[j][end] == t:
+                j += 1
+            below.append((i, j, end, node))
+            i = j
+        stack += reversed(below)
+    for node in reversed(made):  # kids come after their parents
+        for kid in node.kids:
+            node.least, node.deepest = min(node.least, kid.least), max(node.deepest, kid.deepest)
+    return made[0]
 
 
 def _settle(node: _Node, uf: UnionFind) -> bool:
     """Marks the subtrees whose sets are all in one component."""
-    if not node.one:
-        node.one = all([_settle(c, uf) for c in node.kids]) and len({uf.find(i) for i in (*range(node.lo, node.lo + node.ends), *(c.lo for c in node.kids))}) == 1
+    found, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if not x.one:
+            found.append(x)
+            stack += x.kids
+    for x in reversed(found):  # kids come after their parents
+        x.one = all(c.one for c in x.kids) and len({uf.find(i) for i in (*range(x.lo, x.lo + x.ends), *(c.lo for c in x.kids))}) == 1
     return node.one
 
 

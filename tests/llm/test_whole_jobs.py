@@ -3,7 +3,7 @@
 import random
 import string
 
-from foliary.llm import line_dedup
+from foliary.llm import line_dedup, ngram_join
 from foliary.llm.common import shared_dir
 from foliary.llm.edit_fingerprint import edit_distance
 
@@ -37,3 +37,14 @@ def test_line_dedup_finds_lines_with_one_edit(spark):
     want = [i for i, s in near.items() if s]
     assert len(want) > 120 and sum(got[i] for i in want) >= 0.97 * len(want)
     assert all(not got[i] for i in got if i not in want)
+
+
+def test_jaccard_of_very_long_near_copies(spark):
+    long = [f"w{i}" for i in range(300_000)]
+    near = [*long[:150_000], "changed", *long[150_001:]]
+    a, b = list(range(300_000)), list(range(299_999)) + [300_001]
+    links = ngram_join.trie_links([tuple(a), tuple(b), tuple(b[1:])], [0, 0, 0], 9, 10)
+    assert len(links) == 2 and {i for e in links for i in e} == {0, 1, 2}
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, "another text of a few words")]
+    got = {x.id: x.component_id for x in ngram_join.jaccard_groups(written(spark, rows), "doc_id", "text", 3, 90, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
