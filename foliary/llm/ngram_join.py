@@ -206,10 +206,11 @@ def trie_links(sets: list[tuple[int, ...]], side: list[int], num: int, den: int,
 
 
 def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKED, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): rows has rid, id, key, n per row of ``docs`` (id, text); edges a, b between keys."""
+    """(rows, edges): rows has rid, id, key, n per row of ``docs`` (id, text, and rid if rows are numbered already); edges a, b between keys."""
     spark = docs.sparkSession
+    numbered = docs if "rid" in docs.columns else docs.withColumn("rid", F.monotonically_increasing_id())
     order = spark.sparkContext.broadcast(ranks(materialise(token_counts(docs, k, num, den), "counts"), ranked))
-    pools = materialise(set_table(docs.withColumn("rid", F.monotonically_increasing_id()), k, num, den, order, full=False), "pools")
+    pools = materialise(set_table(numbered, k, num, den, order, full=False), "pools")
     one = pools.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"))
     heads = pools.where("n > 0").join(one.select("rid"), "rid", "left_semi")
     posts = heads.select("rid", F.col("n").cast("long").alias("n"), F.posexplode("toks").alias("at", "tok")).select("tok", "rid", "n", F.col("at").cast("long").alias("at"))
@@ -317,15 +318,17 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, cap: int, wh
     return materialise(tasks.repartition("tok", "blk_a", "blk_b").sortWithinPartitions("tok", "blk_a", "blk_b").mapInArrow(run, "a binary, b binary"), "links")
 
 
-def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 8, den: int = 10, ranked: int = RANKED, cap: int = CAP) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 8, den: int = 10, ranked: int = RANKED, cap: int = CAP, rid_col: str | None = None) -> DataFrame:
     """Rows of ``docs`` as (rid, id, n_shingles, component_id, kept): groups of texts linked by shingle-set Jaccard >= num/den.
 
     component_id is the smallest id reachable by links, the row's own included; exactly one row of each group is
     ``kept``. A null or wordless text has n_shingles 0, links with nothing and is kept. Rows with equal texts
     are in one group even where ids repeat; null ids count as larger than others. Other columns are not read.
-    ``rid`` numbers the rows in a table that is written once, so all steps agree on it.
+    ``rid`` numbers the rows in a table that is written once, so all steps agree on it; with ``rid_col`` it is that column,
+    whose values must be distinct and the same in each pass.
     """
-    rows, edges = class_links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), k, num, den, ranked, cap)
+    number = [F.col(rid_col).alias("rid")] if rid_col else []
+    rows, edges = class_links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *number), k, num, den, ranked, cap)
     comp = components(edges)
     named = rows.join(comp.withColumnRenamed("node", "key"), "key", "left").select("rid", "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("grp"))
     least = named.where("grp is not null").groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "rid")).alias("m"))

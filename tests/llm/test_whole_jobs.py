@@ -48,3 +48,15 @@ def test_jaccard_of_very_long_near_copies(spark):
     rows = [(1, " ".join(long)), (2, " ".join(near)), (3, "another text of a few words")]
     got = {x.id: x.component_id for x in ngram_join.jaccard_groups(written(spark, rows), "doc_id", "text", 3, 90, 100).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_one_document_of_each_group_stays_whatever_its_id(spark):
+    import corpus_pipeline
+
+    r = random.Random(22)
+    a, b, c = (words(r, 60) for _ in range(3))
+    near = " ".join([*a[:-1], "changed"])
+    rows = [(5, " ".join(a)), (None, near), (None, " ".join(b)), (None, near + " more"), (7, " ".join(c)), (7, near), (None, None), (5, " ".join(a)), (8, "")]
+    left = corpus_pipeline.one_of_each_group(spark, written(spark, rows), "").collect()
+    want = [(5, " ".join(a)), (None, " ".join(b)), (7, " ".join(c)), (None, None), (8, "")]
+    assert sorted(map(str, left)) == sorted(f"Row(doc_id={x[0]!r}, text={x[1]!r})" for x in want)
