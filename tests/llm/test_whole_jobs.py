@@ -3,6 +3,8 @@
 import random
 import string
 
+from pyspark.sql import functions as F
+
 from foliary.llm import line_dedup, ngram_join
 from foliary.llm.common import shared_dir
 from foliary.llm.edit_fingerprint import edit_distance
@@ -60,3 +62,29 @@ def test_one_document_of_each_group_stays_whatever_its_id(spark):
     left = corpus_pipeline.one_of_each_group(spark, written(spark, rows), "").collect()
     want = [(5, " ".join(a)), (None, " ".join(b)), (7, " ".join(c)), (None, None), (8, "")]
     assert sorted(map(str, left)) == sorted(f"Row(doc_id={x[0]!r}, text={x[1]!r})" for x in want)
+
+
+def test_line_dedup_of_lines_without_spaces_with_marks_and_of_great_length(spark):
+    r = random.Random(23)
+    han, thai = ["".join(chr(lo + r.randrange(n)) for _ in range(40)) for lo, n in ((0x4E00, 2000), (0x0E01, 46))]
+    hindi = "कि खि गि घि चि"
+    vowels = hindi.replace("ि", "ु")
+    long = words(r, 33_000)
+    rows = [(1, han), (2, han), (3, han[:20] + "龘" + han[21:]), (4, thai), (5, thai), (6, hindi), (7, vowels), (8, han[:4]), (9, han[:4]), (10, hindi)]
+    rows += [(11, " ".join(long)), (12, " ".join([*long[:9], "changed", *long[10:]]))]
+    got = {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(written(spark, rows)).collect()}
+    assert got == {i: int(i in (2, 3, 5, 10, 12)) for i in range(1, 13)}
+
+
+def test_distance_is_that_of_whole_lines(spark):
+    r = random.Random(24)
+    pairs = []
+    for n in (1, 10, 60, 200):
+        for _ in range(10):
+            a = words(r, n)
+            b = list(a)
+            for _ in range(r.randrange(4)):
+                b[r.randrange(n)] = "x"
+            pairs.append((" ".join(a), " ".join(b + ["more"] * r.randrange(2))))
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.distance(F.col("x"), F.col("y"), F.lit(20)).alias("d")).collect()
+    assert all(g.d == (e if (e := edit_distance(g.x, g.y)) <= 20 else -1) for g in got)
