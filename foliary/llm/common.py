@@ -47,6 +47,19 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
+def row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart in the same way in each pass, and the name of that column.
+
+    Of a table read from files it is the file and the place therein, whatever tasks read it; anything else is numbered and written once.
+    """
+    rid = free_name(docs.columns, "rid")
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    if plan.nodeName().startswith("LogicalRelation") and "_metadata" not in (c.lower() for c in docs.columns):
+        return docs.withColumn(rid, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))), rid
+    number = F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r"))
+    return materialise(docs.withColumn(rid, number), "rows"), rid
+
+
 def free_name(columns: Sequence[str], stem: str) -> str:
     """A column name that clashes with none of ``columns`` (names compare without case)."""
     taken = {c.lower() for c in columns}
