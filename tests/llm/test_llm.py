@@ -314,19 +314,16 @@ def test_line_dedup(spark):
 
 
 def test_simhash_blocks_are_those_of_the_heaviest_features(spark):
+    import bisect
+
     import xxhash
 
     r = random.Random(14)
     texts = [prose(r, n) for n in (1, 5, 100, 1000)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-
-    def signed(x):
-        return x - (1 << 64) if x >> 63 else x
-
-    for t, (got,) in zip(texts, df.select(line_dedup.simhash(F.transform(F.split("t", " "), lambda w: F.xxhash64(w)))).collect(), strict=True):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split()]
-        orders = [[signed(x ^ (salt % (1 << 64))) for x in h] for salt in line_dedup.SALTS]
-        assert got == [e(o) & ((1 << 31) - 1) for o in orders for e in (min, max)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("h", F.transform(F.split("t", " "), lambda w: F.xxhash64(w)))
+    for t, got in df.select("t", line_dedup.simhash(*line_dedup.with_points(F.col("h")))).collect():
+        h = sorted((x - (1 << 64) if x >> 63 else x) for x in (xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split()))
+        assert got == [h[bisect.bisect_left(h, p) % len(h)] & ((1 << 31) - 1) for p in line_dedup.POINTS]
 
 
 def test_warc_round_trip(spark):

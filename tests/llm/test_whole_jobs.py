@@ -86,5 +86,9 @@ def test_distance_is_that_of_whole_lines(spark):
             for _ in range(r.randrange(4)):
                 b[r.randrange(n)] = "x"
             pairs.append((" ".join(a), " ".join(b + ["more"] * r.randrange(2))))
-    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.distance(F.col("x"), F.col("y"), F.lit(20)).alias("d")).collect()
-    assert all(g.d == (e if (e := edit_distance(g.x, g.y)) <= 20 else -1) for g in got)
+    df = spark.createDataFrame(pairs, "x string, y string")
+    got = df.select("x", "y", line_dedup.distance(F.col("x"), F.col("y"), F.lit(20), F.lit(-1)).alias("d"), line_dedup.distance(F.col("x"), F.col("y"), F.lit(40), F.lit(20)).alias("e")).collect()
+    for g in got:
+        want = edit_distance(g.x, g.y)
+        assert g.d == (want if want <= 20 else -1)
+        assert want <= g.e <= 20 or g.e == (want if want <= 40 else -1)
