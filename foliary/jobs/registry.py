@@ -315,7 +315,7 @@ def prune_keep_two(spark: SparkSession, d: str) -> DataFrame:
     return facts.prune(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", F.col("age").cast("long").alias("age"))
 
 
-@query("WITH RECURSIVE f AS (SELECT user_id, CAST(event_id % 5 AS BIGINT) AS v, min(event_id) AS seen FROM events GROUP BY 1, 2), r AS (SELECT user_id, v, seen FROM f WHERE v = 0 UNION ALL SELECT f.user_id, f.v, f.seen FROM f JOIN r ON f.user_id = r.user_id AND f.v = r.v + 1 AND f.seen > r.seen) SELECT user_id, v AS version, seen AS event_id FROM r")
+@query("WITH RECURSIVE r AS (SELECT user_id, CAST(0 AS BIGINT) AS v, min(event_id) AS seen FROM events WHERE event_id % 5 = 0 GROUP BY 1 UNION ALL SELECT user_id, v + 1, (SELECT min(e.event_id) FROM events e WHERE e.user_id IS NOT DISTINCT FROM r.user_id AND e.event_id % 5 = r.v + 1 AND e.event_id > r.seen) FROM r WHERE v < 5 AND seen IS NOT NULL) SELECT user_id, v AS version, seen AS event_id FROM r WHERE seen IS NOT NULL")
 def cas_fold(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "events").withColumn("expected", F.col("event_id") % 5)
     return facts.cas_fold(log, "user_id", "event_id", "expected")

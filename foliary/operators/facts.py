@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +22,30 @@ def prune(log: DataFrame, key: Sequence[str], order: Sequence[Column], keep: int
 
 
 def cas_fold(log: DataFrame, key: str, seq: str, expected: str) -> DataFrame:
-    """Accepted commits of a log sorted by ``seq``: those whose expected version is the number of commits accepted before.
+    """Accepted commits (key, version, seq) of a log in the order of ``seq``: those whose expected version is the number of commits accepted before.
 
-    Commits of a key are numbered as they arrive; one that expects version v is accepted if it is the first to do so after v - 1 was.
-    The first arrival for each version is the candidate; the chain ends at the first gap, or where a candidate comes too early.
+    A commit that comes too early or too late is rejected; a later one that expects the same version may still be accepted. Ties of ``seq`` go by the
+    expected version. Each key's log is read in order by one task, which holds a counter and no rows. Null keys are a key of their own; a commit
+    without a sequence or an expected version is rejected.
     """
-    first = log.groupBy(key, F.col(expected).alias("v")).agg(F.min(seq).alias("at"))
-    line = Window.partitionBy(key).orderBy("v")
-    ok = first.withColumn("want", F.row_number().over(line) - 1).withColumn("prev", F.lag("at").over(line))
-    good = (F.col("v") == F.col("want")) & (F.col("prev").isNull() | (F.col("at") > F.col("prev")))
-    broken = F.sum((~good).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    return ok.withColumn("broken", broken).where("broken = 0").select(key, F.col("v").alias("version"), F.col("at").alias(seq))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count = object(), 0
+        for b in batches:
+            taken, versions = [], []
+            for i, (k, e) in enumerate(zip(b.column("k").to_pylist(), b.column("e").to_pylist(), strict=True)):
+                if k != now:
+                    now, count = k, 0
+                if e == count:
+                    taken.append(i)
+                    versions.append(count)
+                    count += 1
+            some = b.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("k"), pa.array(versions, pa.int64()), some.column("s")], [key, "version", seq])
+
+    rows = log.select(F.col(key).alias("k"), F.col(seq).alias("s"), F.col(expected).cast("long").alias("e")).where("s is not null and e is not null")
+    kinds = dict(log.dtypes)
+    return rows.repartition("k").sortWithinPartitions("k", "s", "e").mapInArrow(fold, f"`{key}` {kinds[key]}, version bigint, `{seq}` {kinds[seq]}")
 
 
 def unreferenced(facts: DataFrame, key: str, *users: tuple[DataFrame, str]) -> DataFrame:

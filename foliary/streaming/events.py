@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,23 +33,38 @@ def first_of_each(events: DataFrame, keys: list[str]) -> DataFrame:
     return e.dropDuplicatesWithinWatermark(keys) if e.isStreaming else e.dropDuplicates(keys)
 
 
-def upsert(changes: DataFrame, path: str, key: str, order: str, checkpoint: str, deleted: str = "deleted") -> Callable[[], object]:
-    """A stream that keeps the newest row of each key in the Parquet folders ``path``/v=N, one folder per batch.
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of all buckets of an upserted table, the newest version of each bucket marked."""
+    every = spark.read.parquet(path)
+    newest = every.groupBy("bucket").agg(F.max("v").alias("top"))
+    return every.join(F.broadcast(newest), "bucket").where("v = top").drop("top")
 
-    Each batch is folded to its newest change per key, merged with the last folder, and written as a new folder; a repeated
-    batch rewrites its own folder. Deletes leave the table. Returns a function that starts the query.
+
+def current(spark: SparkSession, path: str, deleted: str = "deleted") -> DataFrame:
+    """The rows of an upserted table that are not deleted."""
+    return _versions(spark, path).where(~F.coalesce(F.col(deleted), F.lit(False))).drop("v", "bucket")
+
+
+def upsert(changes: DataFrame, path: str, key: str, order: str, checkpoint: str, deleted: str = "deleted", buckets: int = 64) -> Callable[[], object]:
+    """A stream that keeps the newest change of each key, by ``order``, in Parquet folders ``path``/v=N/bucket=B.
+
+    A batch is folded to its newest change per key and merged with the newest version of the buckets of its keys, which are written anew;
+    other buckets stay as they are. The newest change wins whichever batch brings it; of equal orders the one that came first stays. A delete is
+    kept with its order, so that a late change does not revive the row; ``current`` leaves such rows out. A repeated batch rewrites its own folder.
+    Every batch but the first needs the table that those before it wrote, and fails without it. Returns a function that starts the query.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        try:
-            old = spark.read.parquet(f"{path}/v={n - 1}") if n else None
-        except Exception as e:  # the first batch of a table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        rows = new if old is None else old.join(new, key, "left_anti").unionByName(new)
-        rows.where(~F.coalesce(F.col(deleted), F.lit(False))).write.mode("overwrite").parquet(f"{path}/v={n}")
+        new = batch.where(F.col(order).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        rows = new.withColumn("age", F.lit(0)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        if n:
+            every = spark.read.parquet(path).where(F.col("v") < n)
+            touched = rows.select("bucket").distinct()
+            newest = every.groupBy("bucket").agg(F.max("v").alias("top")).join(touched, "bucket")
+            old = every.join(F.broadcast(newest), "bucket").where("v = top").select(*batch.columns, F.lit(1).alias("age"), "bucket")
+            both = rows.unionByName(old)
+            rows = both.groupBy("bucket", key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, "age")).alias("r")).select("bucket", "r.*")
+        rows.drop("age").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
 
     return lambda: changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
