@@ -36,17 +36,17 @@ def first_of_each(events: DataFrame, keys: list[str]) -> DataFrame:
 def _versions(spark: SparkSession, path: str) -> DataFrame:
     """All versions of all buckets of an upserted table, the newest version of each bucket marked."""
     every = spark.read.parquet(path)
-    newest = every.groupBy("bucket").agg(F.max("v").alias("top"))
-    return every.join(F.broadcast(newest), "bucket").where("v = top").drop("top")
+    newest = every.groupBy("__bucket").agg(F.max("__version").alias("__top"))
+    return every.join(F.broadcast(newest), "__bucket").where("__version = __top").drop("__top")
 
 
 def current(spark: SparkSession, path: str, deleted: str = "deleted") -> DataFrame:
     """The rows of an upserted table that are not deleted."""
-    return _versions(spark, path).where(~F.coalesce(F.col(deleted), F.lit(False))).drop("v", "bucket")
+    return _versions(spark, path).where(~F.coalesce(F.col(deleted), F.lit(False))).drop("__version", "__bucket")
 
 
 def upsert(changes: DataFrame, path: str, key: str, order: str, checkpoint: str, deleted: str = "deleted", buckets: int = 64) -> Callable[[], object]:
-    """A stream that keeps the newest change of each key, by ``order``, in Parquet folders ``path``/v=N/bucket=B.
+    """A stream that keeps the newest change of each key, by ``order``, in Parquet folders ``path``/__version=N/__bucket=B.
 
     A batch is folded to its newest change per key and merged with the newest version of the buckets of its keys, which are written anew;
     other buckets stay as they are. The newest change wins whichever batch brings it; of equal orders the one that came first stays. A delete is
@@ -57,14 +57,14 @@ def upsert(changes: DataFrame, path: str, key: str, order: str, checkpoint: str,
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         new = batch.where(F.col(order).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        rows = new.withColumn("age", F.lit(0)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows = new.withColumn("__age", F.lit(0)).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         if n:
-            every = spark.read.parquet(path).where(F.col("v") < n)
-            touched = rows.select("bucket").distinct()
-            newest = every.groupBy("bucket").agg(F.max("v").alias("top")).join(touched, "bucket")
-            old = every.join(F.broadcast(newest), "bucket").where("v = top").select(*batch.columns, F.lit(1).alias("age"), "bucket")
+            every = spark.read.parquet(path).where(F.col("__version") < n)
+            touched = rows.select("__bucket").distinct()
+            newest = every.groupBy("__bucket").agg(F.max("__version").alias("__top")).join(touched, "__bucket")
+            old = every.join(F.broadcast(newest), "__bucket").where("__version = __top").select(*batch.columns, F.lit(1).alias("__age"), "__bucket")
             both = rows.unionByName(old)
-            rows = both.groupBy("bucket", key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, "age")).alias("r")).select("bucket", "r.*")
-        rows.drop("age").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
+            rows = both.groupBy("__bucket", key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, "__age")).alias("r")).select("__bucket", "r.*")
+        rows.drop("__age").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/__version={n}")
 
     return lambda: changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -100,7 +100,7 @@ def test_text_folder(spark, tmp_path):
 
 
 def test_upsert_stream(spark, tmp_path):
-    from foliary.streaming.events import upsert
+    from foliary.streaming.events import current, upsert
 
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     ddl = "k string, v int, at int, deleted boolean"
@@ -109,5 +109,4 @@ def test_upsert_stream(spark, tmp_path):
     start().awaitTermination(120)
     spark.createDataFrame([("b", 1, 2, True), ("c", 3, 2, False)], ddl).coalesce(1).write.mode("append").parquet(src)
     start().awaitTermination(120)
-    last = sorted(os for os in __import__("os").listdir(out))[-1]
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{out}/{last}").collect()) == [("a", 2), ("c", 3)]
+    assert sorted((r.k, r.v) for r in current(spark, out).collect()) == [("a", 2), ("c", 3)]
