@@ -64,15 +64,17 @@ def allocate(docs: DataFrame, source_col: str, key_cols: Sequence[str], size: Co
     """Adds to every row size, source_size, target (words of its source), taken (words) and shard_copies.
 
     ``weights`` repeat over the sources by code point, null last. shard_copies lists the shard of each copy taken: a row is taken
-    0 to ``cap`` times, whole, so a source's taken words differ from its target by at most half of one row. Rows of size 0 are not taken.
+    0 to ``cap`` times, whole, where its copy begins in a block that the tree has dealt to a shard and the larger half of the row is before the
+    target, so a source's taken words differ from its target by at most half of one row. Rows of size 0 are not taken.
     ``key_cols`` fix the pseudo-random order; rows equal in them are interchangeable. Reruns give equal results. Blocks
-    have ``block`` words. Number and order of the other columns do not matter; an empty table gives an empty result.
+    have ``block`` words. Other columns may have any names; those named like a new one are replaced. An empty table gives an empty result.
     """
-    cols = docs.columns
-    place, bucket, src = (free_name(cols, x) for x in ("place", "bucket", "src"))
-    rows = docs.withColumn("size", size.cast("long")).withColumn(src, F.col(source_col).cast("string"))
-    rows = rows.withColumn(place, F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]))
+    cols = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "shard_copies")]
+    place, bucket, src = "place", "bucket", "src"
+    # the columns of docs travel in one struct, where their names meet no others
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), size.cast("long").alias("size"), F.col(source_col).cast("string").alias(src), F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]).alias(place))
     rows = rows.withColumn(bucket, F.shiftrightunsigned(place, 64 - 10).cast("int"))
+    keys = [F.col(f"doc.{c}") for c in key_cols]
     per = materialise(rows.groupBy(F.col(src).alias("s"), F.col(bucket).alias("b")).agg(F.sum("size").alias("w")), "buckets")
 
     def targets(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,17 +101,18 @@ def allocate(docs: DataFrame, source_col: str, key_cols: Sequence[str], size: Co
     def shard_of(s: pd.Series, k: pd.Series, quota: pd.Series, cuts: pd.Series) -> pd.Series:
         n, x = quota.to_numpy(np.int64), k.to_numpy(np.int64)
         p = permute(x, n, seed)
-        return pd.Series([int(np.searchsorted(c, v, side="right")) for c, v in zip(cuts, p, strict=True)], dtype="int32")
+        at = [int(np.searchsorted(c, v, side="right")) for c, v in zip(cuts, p, strict=True)]
+        return pd.Series([i if i < len(c) else None for i, c in zip(at, cuts, strict=True)], dtype="Int32")  # null: no shard has drawn it
 
     dealt = spread.withColumn("shard", shard_of("s", "k", "quota", "cuts")).groupBy(F.col("s").alias("s3"), F.col("b").alias("b3")).agg(F.map_from_entries(F.collect_list(F.struct("k", "shard"))).alias("shards"))
     marks = marks.join(dealt, on("s", "s3") & (F.col("b") == F.col("b3")), "left").select("s", "b", "c0", "source_size", "target", "shards")
     marks = materialise(marks, "marks")
     met = rows.join(marks, (F.col(src).eqNullSafe(F.col("s"))) & (F.col(bucket) == F.col("b")))
-    within = Window.partitionBy(src, bucket).orderBy(place, *key_cols, "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(src, bucket).orderBy(place, *keys, "size").rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("c0", F.col("c0") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     starts = F.expr(f"filter(transform(sequence(0, {cap - 1}), e -> c0 + e * source_size), p -> size > 0 and p + size / 2 <= target)")
-    met = met.withColumn("shard_copies", F.coalesce(F.transform(starts, lambda p: F.element_at("shards", F.floor(p / block))), F.array().cast("array<int>")))
-    return met.withColumn("taken", F.col("size") * F.size("shard_copies")).select(*cols, "size", "source_size", "target", "taken", "shard_copies")
+    met = met.withColumn("shard_copies", F.coalesce(F.filter(F.transform(starts, lambda p: F.try_element_at("shards", F.floor(p / block))), lambda x: x.isNotNull()), F.array().cast("array<int>")))
+    return met.withColumn("taken", F.col("size") * F.size("shard_copies")).select(*[F.col(f"doc.`{c}`") for c in cols], "size", "source_size", "target", "taken", "shard_copies")
 
 
 def permute(k: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:

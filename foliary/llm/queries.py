@@ -27,7 +27,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import allocate, words
 
     took = allocate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", ["doc_id"], words("text"))
-    return took.select("doc_id", "size", "source_size", "target", "taken")
+    return took.select("doc_id", "size", "source_size", "target", "taken", F.col("shard_copies").cast("string").alias("shards"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

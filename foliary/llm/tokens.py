@@ -35,7 +35,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         words = self.model.get_vocab()
@@ -87,7 +87,9 @@ class Encoder:
         new: set[str] = set()
         get = self.known.get
         for t in texts:
-            (head,), words = _cuts(t or "")
+            t = t or ""
+            # a text that holds a special token's string is encoded whole, as the library reads such strings as that token
+            (head,), words = _cuts(t) if not any(map(t.__contains__, self.special)) else ([t], [])
             ids = [*map(get, words)]
             if None in ids:
                 at = [*compress(range(len(ids)), map(_NONE, ids))]

@@ -89,28 +89,28 @@ def votes(x: np.ndarray, n_words: int) -> np.ndarray:
 
 
 def label_model(v: np.ndarray, start: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
-    """Posterior of the toxic class per row; ``start`` is what the row's own label, one more voter that is seldom wrong, says of it.
+    """Posterior of the toxic class per row, from signed votes (1, 0, -1); ``start`` is the first guess and no evidence afterwards.
 
-    Each voter has, per class, a chance of speaking; a naive product would count correlated voters many times, so each
-    voter's evidence is divided by one plus the sum of its positive correlations with others within the classes.
+    Each voter has, per class, its own chances of each vote. A naive product would count correlated voters many times; their
+    correlations within the classes are estimated each round, and a voter's evidence is weighed by the generalised least squares weight that
+    they give it: the row sums of the inverse of the (ridged) correlation matrix, which are 1 for independent voters and 1/k for k equal ones.
     """
     n, m = v.shape
-    spoke = v != 0
+    kinds = [(v == x).astype(float) for x in (-1, 0, 1)]
     post = start.astype(float)
-    said = np.log(post / (1 - post))
     for _ in range(rounds):
-        t1, t0 = post.sum(), n - post.sum()
-        p1 = (post @ spoke + prior) / (t1 + 1)
-        p0 = ((1 - post) @ spoke + (1 - prior)) / (t0 + 1)
-        p1, p0 = np.clip(p1, 1e-4, 1 - 1e-4), np.clip(p0, 1e-4, 1 - 1e-4)
-        # correlation within classes: what is left after the class means
-        rest = spoke - np.outer(post, p1) - np.outer(1 - post, p0)
+        t1 = post.sum()
+        t0 = n - t1
+        p1, p0 = (np.stack([(w @ k + 0.5 * (x + 1)) / (t + 2) for x, k in enumerate(kinds)]) for w, t in ((post, t1), (1 - post, t0)))
+        p1, p0 = (np.clip(p / p.sum(axis=0), 1e-4, 1) for p in (p1, p0))
+        means = [p[2] - p[0] for p in (p1, p0)]
+        rest = v - np.outer(post, means[0]) - np.outer(1 - post, means[1])
         sd = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         corr = (rest.T @ rest) / n / np.outer(sd, sd)
-        np.fill_diagonal(corr, 0)
-        share = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
-        on, off = np.log(p1 / p0) * share, np.log((1 - p1) / (1 - p0)) * share
-        z = said + spoke @ on + (~spoke) @ off
+        np.fill_diagonal(corr, 1)
+        weight = np.clip(np.linalg.solve(corr + 0.1 * np.eye(m), np.ones(m)) * 1.1, 0, 1)
+        told = (np.log(p1) - np.log(p0)) * weight
+        z = math.log((t1 + 1) / (t0 + 1)) + sum(k @ told[x] for x, k in enumerate(kinds))
         new = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
         if np.abs(new - post).max() < 1e-4:
             return new
@@ -189,8 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(words, fit_linear(x, post))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 if score >= 0.5) to every row; null and empty texts are scored by their lack of evidence."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """Adds a score (0 to 1) and the prediction (1 if score >= 0.5) to every row, in place of columns of these names.
+
+    Null and empty texts are scored by their lack of evidence.
+    """
 
     @F.pandas_udf("double")
     def run(texts):
@@ -198,7 +201,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         return pd.Series([model.score(t) for t in texts])
 
-    return docs.withColumn("score", run(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn(score_col, run(F.col(text_col))).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
 
 
 def label_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

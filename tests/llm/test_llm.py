@@ -123,6 +123,19 @@ def test_mix_reaches_targets(spark):
     assert copies.count() == sum(len(x.shard_copies) for x in took) and "shard" in copies.columns
 
 
+def test_mix_takes_only_what_the_tree_deals(spark, monkeypatch):
+    rows = [(i, "word " * 20, "ab"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = df.withColumns({c: F.lit("own") for c in ("s", "b", "c0", "target", "size", "shards", "place", "doc", "w", "quota", "src")})
+    took = mixing.allocate(df, "source", ["doc_id"], mixing.words("text"), shards=4, block=100)
+    assert {(x.s, x.shards, x.doc) for x in took.collect()} == {("own", "own", "own")}
+    assert took.agg(F.sum("taken")).first()[0] > 3000
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, rng: np.zeros((shards, len(quotas)), np.int64))
+    none = mixing.allocate(df, "source", ["doc_id"], mixing.words("text"), shards=4, block=100)
+    assert none.agg(F.sum("taken")).first()[0] == 0
+    assert mixing.allocate(df.limit(0), "source", ["doc_id"], mixing.words("text")).count() == 0
+
+
 def test_split_tree_exhausts_quotas():
     q = np.array([100, 7, 0, 53])
     out = mixing.split_tree(q, 9, np.random.default_rng(0))
@@ -135,9 +148,7 @@ def test_split_tree_exhausts_quotas():
 def model():
     from tokenizers import Tokenizer
 
-    m = Tokenizer.from_file(tokens.default_path())
-    m.encode_special_tokens = True
-    return m
+    return Tokenizer.from_file(tokens.default_path())
 
 
 def test_encoder_agrees_with_whole_texts(model):
