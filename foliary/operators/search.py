@@ -143,10 +143,10 @@ def fallback(chunks: DataFrame, query: str, similarity: DataFrame | None = None)
 
 
 def dedupe(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in this order; rows with a null in the key all stay. A window group limit keeps one row per task and key."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    """The first row of each key in this order; rows with a null in the key all stay, each in a group of its own. A window group limit keeps one row per task and key."""
     open_ = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    return rows.where(~open_).withColumn("__n", n).where("__n = 1").drop("__n").unionByName(rows.where(open_))
+    n = F.row_number().over(Window.partitionBy(*keys, "__own").orderBy(*order))
+    return rows.withColumn("__own", F.when(open_, F.monotonically_increasing_id())).withColumn("__n", n).where("__n = 1").drop("__own", "__n")
 
 
 def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
