@@ -5,18 +5,22 @@ rare tokens first, by the counts of all documents, ties by hash. Two sets can re
 their first |x| - ceil(t|x|) + 1 tokens, so each such token that two classes share opens a bucket. In a bucket the
 whole ordered sets are stored in a trie; a traversal shares the overlap of common beginnings and prunes
 subtrees whose remaining lengths cannot reach the bound. Only edges of a spanning forest leave a bucket.
+
+Near copies share many tokens, so their buckets hold much the same classes. The largest bucket of each class comes first. What may still link
+across the components found is sent once per chain of overlapping buckets, where that is less than once per bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shingler, UnionFind, block_pairs, groups, materialise
+from .common import Shingler, UnionFind, attach, block_pairs, groups, materialise
 from .graph import components
 
 #: Most tokens whose counts every task holds (12 MB). Beyond it, only larger counts are told apart, which
@@ -154,19 +158,35 @@ def _settle(node: _Node, uf: UnionFind) -> bool:
     return node.one
 
 
-def trie_links(sets: list[tuple[int, ...]], side: list[int], num: int, den: int, token: int | None = None) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph that links sets with Jaccard >= num/den.
+def _rare_first(sets: Sequence[Sequence[int]]) -> list[tuple[int, ...]]:
+    """The sets with their tokens numbered from the rarest among them up, ascending: what differs comes first, so bounds end most visits early."""
+    sizes = [len(x) for x in sets]
+    toks, at, c = np.unique(np.concatenate([np.asarray(x, np.int64) for x in sets]), return_inverse=True, return_counts=True)
+    number = np.empty(len(toks), np.int64)
+    number[np.argsort(c, kind="stable")] = np.arange(len(toks))
+    return [tuple(np.sort(x).tolist()) for x in np.split(number[at], np.cumsum(sizes)[:-1])]
+
+
+def trie_links(sets: Sequence[Sequence[int]], side: list[int], num: int, den: int, token: int | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges that, with the groups ``known`` (one number per set), span the graph that links sets with Jaccard >= num/den.
 
     ``side`` marks the block of a set; where both blocks occur, only pairs across them are tried, as pairs
     within a block meet elsewhere. Sets hold distinct tokens in one common order. Pairs that are
     connected already, one by one or as a whole subtree, are not tried again. With ``token``, only pairs whose first shared
-    token it is are tried: the others meet in another bucket.
+    token it is are tried: the others meet in another bucket. Without it, the order may be any, and is that of the counts in ``sets``.
     """
+    if not sets:
+        return []
+    sets = _rare_first(sets) if token is None else [tuple(x.tolist() if isinstance(x, np.ndarray) else x) for x in sets]
     n = len(sets)
     place = sorted(range(n), key=sets.__getitem__)
     sets, side = [sets[i] for i in place], [side[i] for i in place]
     both = len(set(side)) > 1
     uf, out = UnionFind(n), []
+    if known:
+        first: dict[int, int] = {}
+        for i, p in enumerate(place):
+            uf.join(first.setdefault(known[p], i), i)
     top = _Node((), 0, n)
     i = 0
     while i < n:  # the root's children, by first token
@@ -175,6 +195,8 @@ def trie_links(sets: list[tuple[int, ...]], side: list[int], num: int, den: int,
             j += 1
         top.kids.append(_trie(sets, i, j, 0))
         i = j
+    for c in top.kids if known else ():
+        _settle(c, uf)
     settled = 0
     for x in range(n):
         xs, nx = None, len(sets[x])
@@ -192,7 +214,10 @@ def trie_links(sets: list[tuple[int, ...]], side: list[int], num: int, den: int,
                 shared += len(both_have)
                 depth += len(node.seg)
             need = -(-(nx + max(node.least, -(-nx * num // den))) * num // (num + den))
-            if min(nx, shared + node.deepest - depth) < need:
+            left = node.deepest - depth
+            if token is None and node.seg:  # x is ascending too: what it has up to here is shared or lost
+                left = min(left, nx - bisect_right(sets[x], node.seg[-1]))
+            if min(nx, shared + left) < need:
                 continue
             for y in range(max(node.lo, x + 1), node.lo + node.ends):
                 if (not both or side[x] != side[y]) and shared * den >= num * (nx + depth - shared) and uf.join(x, y):
@@ -230,14 +255,15 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     held = members.join(best, "rid")
     tops = best.select(F.col("best").alias("tok")).distinct()
     within = held.groupBy("tok").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo = hi").select("tok")
-    first = _links(members.join(tops, "tok", "left_semi"), sets, num, den, cap, whole=True)
+    tried = members.join(tops, "tok", "left_semi").select(F.lit(True).alias("whole"), "tok", "c", "rid", "key", F.col("rid").alias("grp"))
+    first = _links(tried, sets, num, den, cap)
     # then what holds members of several components; most buckets are done by now
     found = components(first).withColumnRenamed("node", "key")
     named = members.join(tops.unionByName(within), "tok", "left_anti").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = named.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
     named = named.join(mixed, "tok", "left_semi").withColumn("grp", F.xxhash64("root")).select("tok", "rid", "n", "at", "grp", "c")
     apart = named.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(_partnered(num, den, ("grp", "c")), "tok bigint, rid bigint, n bigint, at bigint, grp bigint, c bigint")
-    rest = _links(apart.join(pools.select("rid", "key"), "rid").select("tok", "rid", "c", "key"), sets, num, den, cap, whole=False)
+    rest = _links(_together(materialise(apart.select("tok", "rid", "grp"), "apart"), cap).join(pools.select("rid", "key"), "rid"), sets, num, den, cap)
     return pools.select("rid", "id", "key", "n"), first.unionByName(rest)
 
 
@@ -301,21 +327,38 @@ def _partnered(num: int, den: int, more: tuple[str, ...] = (), reach: int = 64):
     return run
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int, cap: int, whole: bool) -> DataFrame:
-    """Edges within the buckets ``tok`` of ``members`` (tok, c, rid, key), whose ordered sets are in ``sets``.
+def _together(apart: DataFrame, cap: int) -> DataFrame:
+    """(whole, tok, c, rid, grp): the buckets of ``apart`` (tok, rid, grp), or in their place whole chains of overlapping buckets (``whole``).
+
+    Chains are the components of the classes that share buckets, so all that a bucket tries meets in its chain too. A chain replaces its
+    buckets where that sends fewer sets, with the blocks that each is split into counted.
+    """
+    sized = materialise(attach(apart, ["tok"], [("c", F.count("*")), ("least", F.min("rid"))], [F.sum("c"), F.min("least")], F.hash("rid")), "sized")
+    chains = components(sized.select(F.col("rid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("rid"), "root")
+    sent = lambda c: F.ceil(c / F.lit(cap))
+    per_class = sized.groupBy("rid").agg(F.sum(sent(F.col("c"))).alias("apart"), F.first("grp").alias("grp")).join(chains, "rid")
+    per_class = attach(per_class, ["root"], [("n", F.count("*")), ("all", F.sum("apart"))], [F.sum("n"), F.sum("all")], F.hash("rid"))
+    per_class = materialise(per_class.withColumn("whole", F.col("n") * sent(F.col("n")) <= F.col("all")), "chains")
+    chained = per_class.where("whole").select("whole", F.col("root").alias("tok"), F.col("n").alias("c"), "rid", "grp")
+    return chained.unionByName(sized.join(per_class.where("not whole").select("rid", "whole"), "rid").select("whole", "tok", "c", "rid", "grp"))
+
+
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int, cap: int) -> DataFrame:
+    """Edges within the buckets ``tok`` of ``members`` (whole, tok, c, rid, key, grp), whose ordered sets are in ``sets``, between groups.
 
     Not ``whole``: only between sets whose first shared token is the bucket's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["tok", "blk_a", "blk_b"]):
-            keys = t.column("key").to_pylist()
-            found = trie_links([tuple(x.values.to_numpy().tolist()) for x in t.column("toks")], t.column("blk").to_pylist(), num, den, None if whole else t.column("tok")[0].as_py())
+        for t in groups(batches, ["whole", "tok", "blk_a", "blk_b"]):
+            keys, token = t.column("key").to_pylist(), None if t.column("whole")[0].as_py() else t.column("tok")[0].as_py()
+            found = trie_links([x.values.to_numpy() for x in t.column("toks")], t.column("blk").to_pylist(), num, den, token, t.column("grp").to_pylist())
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.binary()), pa.array([keys[j] for _, j in found], pa.binary())], ["a", "b"])
 
-    tasks = block_pairs(members, "tok", "c", F.xxhash64("rid"), cap).join(sets, "key").select("tok", "blk", "blk_a", "blk_b", "key", "toks")
-    return materialise(tasks.repartition("tok", "blk_a", "blk_b").sortWithinPartitions("tok", "blk_a", "blk_b").mapInArrow(run, "a binary, b binary"), "links")
+    tasks = block_pairs(members, "tok", "c", F.xxhash64("rid"), cap).join(sets, "key").select("whole", "tok", "blk", "blk_a", "blk_b", "grp", "key", "toks")
+    by = ["whole", "tok", "blk_a", "blk_b"]
+    return materialise(tasks.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary"), "links")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 8, den: int = 10, ranked: int = RANKED, cap: int = CAP, rid_col: str | None = None) -> DataFrame:

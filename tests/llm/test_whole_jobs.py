@@ -3,6 +3,7 @@
 import random
 import string
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliary.llm import line_dedup, ngram_join
@@ -92,3 +93,59 @@ def test_distance_is_that_of_whole_lines(spark):
         want = edit_distance(g.x, g.y)
         assert g.d == (want if want <= 20 else -1)
         assert want <= g.e <= 20 or g.e == (want if want <= 40 else -1)
+
+
+def test_trie_links_join_what_known_groups_leave_apart():
+    r = random.Random(31)
+    for _ in range(150):
+        base = [r.sample(range(400), r.randrange(10, 60)) for _ in range(3)]
+        sets = []
+        for _ in range(r.randrange(1, 40)):
+            x = dict.fromkeys(r.choice(base))
+            for t in r.sample(sorted(x), r.randrange(4)):
+                del x[t]
+            sets.append(tuple(sorted({*x, *(r.randrange(400, 440) for _ in range(r.randrange(3)))})))
+        side, known = [r.randrange(2) for _ in sets], [r.randrange(60) for _ in sets]
+        meet = range(len(sets))
+        both = len(set(side)) > 1
+        near = [(i, j) for i in meet for j in meet if i < j and (not both or side[i] != side[j]) and len({*sets[i]} & {*sets[j]}) * 10 >= 8 * len({*sets[i]} | {*sets[j]})]
+        told = [(i, j) for i in meet for j in meet if i < j and known[i] == known[j]]
+        got = ngram_join.trie_links(sets, side, 8, 10, None, known)
+        assert all(tuple(sorted(e)) in near for e in got)
+        assert union_of(meet, told + got) == union_of(meet, told + near)
+    assert ngram_join.trie_links([], [], 8, 10) == []
+
+
+def union_of(ids, pairs):
+    up = {i: i for i in ids}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("cap", [9])
+def test_groups_of_copies_that_barely_link_are_exact(spark, cap):
+    r = random.Random(32)
+    texts = []
+    for size in (70, 40, 12):
+        base = words(r, 90)
+        for _ in range(size):
+            w = list(base)
+            for _ in range(r.randrange(5)):
+                w[r.randrange(len(w))] = r.choice(["changed", "other", "third"]) + str(r.randrange(4))
+            texts.append(" ".join(w))
+    # a passage in texts that are otherwise different
+    passage = words(r, 12)
+    texts += [" ".join([*words(r, 20), *passage, *words(r, 20)]) for _ in range(30)]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    meet = range(len(texts))
+    near = [(i, j) for i in meet for j in meet if i < j and len(sets[i] & sets[j]) * 10 >= 9 * len(sets[i] | sets[j])]
+    got = ngram_join.jaccard_groups(written(spark, list(enumerate(texts))), "doc_id", "text", 3, 90, 100, cap=cap).collect()
+    assert {x.id: x.component_id for x in got} == union_of(meet, near)
