@@ -1,181 +1,97 @@
-"""Markdown as sections and chunks: the order-dependent part of chunking, one document at a time."""
+"""Markdown as expressions: front matter as a map of lists, and what each line of a text is. All of it stays in the JVM."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-# What opens a heading, a fence, an ignored block, and a chapter of a book.
-HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
-FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
-IGNORE_BEGIN = re.compile(r"^\s*<!--\s*(?:rag-ignore|rag:ignore|no-rag|norag)\s*-->", re.IGNORECASE)
-IGNORE_END = re.compile(r"^\s*<!--\s*(?:/rag-ignore|/rag:ignore|/no-rag|/norag|end-rag-ignore)\s*-->", re.IGNORECASE)
-CHAPTER = re.compile(r"^\s*(第[0-9一二三四五六七八九十百千]+[章回节卷]|Chapter\s+[0-9]+)\s*(.*)$", re.IGNORECASE)
+# What opens a heading, a fence, an ignored block, and a chapter of a book; truth words.
+HEADING = r"^(#{1,6})\s+(.+?)\s*$"
+FENCE = r"^\s*(`{3,}|~{3,})"
+IGNORE_BEGIN = r"(?i)^\s*<!--\s*(?:rag-ignore|rag:ignore|no-rag|norag)\s*-->"
+IGNORE_END = r"(?i)^\s*<!--\s*(?:/rag-ignore|/rag:ignore|/no-rag|/norag|end-rag-ignore)\s*-->"
+CHAPTER = r"(?i)^(第[0-9一二三四五六七八九十百千]+[章回节卷]|Chapter\s+[0-9]+)\s*(.*)$"
 CHAPTER_ENDS, CHAPTER_NEVER, CHAPTER_LENGTH = "。！？!?；;…", "，,；;“”\"", 60
-TRUE_WORDS, FALSE_WORDS = frozenset(("true", "yes", "on")), frozenset(("false", "no", "off"))
+NO_WORDS = ("false", "no", "off", "0")
 
+#: Ends of lines; \r\n is one.
+BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+_BLANK = r"^[\s\x{3000}\x{A0}]+|[\s\x{3000}\x{A0}]+$"
 
-@dataclass
-class Section:
-    heading: str
-    first_line: int
-    lines: list[str]
 
+def bare(s: Column) -> Column:
+    """Without white space at the ends, then without quotes."""
+    return F.regexp_replace(F.regexp_replace(s, _BLANK, ""), "^['\"]+|['\"]+$", "")
 
-def properties(lines: list[str]) -> tuple[int, dict[str, object]]:
-    """(lines used, properties) of the block between two --- lines at the top; (0, {}) without one.
 
-    A value is a list ([a, b], or items on lines of their own), a truth word, or text; keys are lower-case.
+def lines_of(text: Column) -> Column:
+    """The lines of a text; a line end at the end of the text begins no further line. None of a null or empty text."""
+    parts = F.split(F.coalesce(text, F.lit("")), BREAK, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def front_size(lines: Column) -> Column:
+    """How many lines the block between two --- lines at the top takes; 0 without one."""
+    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.trim(x))
+    end = F.array_position(rest, "---").cast("int")
+    return F.when((F.trim(F.get(lines, F.lit(0))) == "---") & (end > 0), end + 1).otherwise(0)
+
+
+def front_matter(lines: Column, size: Column) -> Column:
+    """Properties of the block as a map of lower-case keys to lists of strings; of repeated keys the last counts.
+
+    Comments and blank lines are taken out first. What is then left is cut before every line that is no list item, so that a property comes with its
+    items. A value in the property's own line is a list of one; [a, b] is cut at commas; items count only where there is no such value.
     """
-    marks = [i for i, x in enumerate(lines) if x.strip() == "---"]
-    if len(marks) < 2 or marks[0] != 0:
-        return 0, {}
-    found: dict[str, object] = {}
-    open_list: list[str] | None = None
-    bare = lambda s: s.strip().strip("'\"")
-    for line in lines[1 : marks[1]]:
-        s = line.strip()
-        if not s or s.startswith("#"):
-            continue
-        if s.startswith("- ") and open_list is not None:
-            open_list.append(bare(s[2:]))
-            continue
-        open_list = None
-        key, colon, value = line.partition(":")
-        if not colon:
-            continue
-        key, value = key.strip().lower(), value.strip()
-        if not value:
-            open_list = found[key] = []
-        elif value[0] == "[" and value[-1] == "]":
-            found[key] = [bare(x) for x in value[1:-1].split(",") if x.strip()]
-        elif value.lower() in TRUE_WORDS | FALSE_WORDS:
-            found[key] = value.lower() in TRUE_WORDS
-        else:
-            found[key] = value.strip("'\"")
-    return marks[1] + 1, found
-
-
-def listed(value: object) -> list[str]:
-    """A list property, or a text one cut at commas."""
-    if isinstance(value, str):
-        value = [x.strip().strip("'\"") for x in value.split(",")]
-    return [str(x) for x in value if str(x).strip()] if isinstance(value, list) else []
-
-
-def exempt(found: dict[str, object]) -> bool:
+    block = F.filter(F.transform(F.slice(lines, 2, F.greatest(size - 2, F.lit(0))), lambda x: F.regexp_replace(x, _BLANK, "")), lambda x: ~x.rlike("^(#|$)"))
+    entries = F.filter(F.split(F.array_join(block, "\n"), r"\n(?!- )"), lambda e: e.rlike(r"^(?!- )[^\n:]*:"))
+
+    def entry(e: Column) -> Column:
+        value = F.trim(F.regexp_extract(e, r"^[^\n:]*:([^\n]*)", 1))
+        items = F.transform(F.slice(F.split(e, "\n- "), 2, F.length(e) + 1), bare)
+        flow = F.transform(F.filter(F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), ","), lambda x: F.trim(x) != ""), bare)
+        values = F.when(value == "", items).when(value.rlike(r"^\[.*\]$"), flow).otherwise(F.array(bare(value)))
+        return F.struct(F.lower(F.trim(F.substring_index(e, ":", 1))).alias("key"), values.alias("value"))
+
+    pairs = F.transform(entries, entry)
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
+def listed(values: Column) -> Column:
+    """A list property; a single text is cut at commas. Empty without one."""
+    one = F.transform(F.split(F.get(values, F.lit(0)), ","), bare)
+    return F.coalesce(F.filter(F.when(F.size(values) == 1, one).otherwise(values), lambda x: F.trim(x) != ""), F.array().cast("array<string>"))
+
+
+def exempt(found: Column) -> Column:
     """The property ``rag`` says no."""
-    v = found.get("rag")
-    return v is False or (isinstance(v, str) and v.lower() in FALSE_WORDS | {"0"})
+    v = found["rag"]
+    return F.coalesce((F.size(v) == 1) & F.lower(F.get(v, F.lit(0))).isin(*NO_WORDS), F.lit(False))
 
 
-def without_ignored(lines: list[str]) -> list[str]:
-    """Lines of ignored blocks are emptied, so that line numbers stay."""
-    out, inside = [], False
-    for line in lines:
-        begins = not inside and bool(IGNORE_BEGIN.search(line))
-        out.append("" if inside or begins else line)
-        inside = (inside or begins) and not IGNORE_END.search(line)
-    return out
+def ignore_mark(line: Column) -> Column:
+    """2 if the line ends an ignored block, 1 if it begins one, 3 if it does both, else 0."""
+    return (line.rlike(IGNORE_BEGIN).cast("int") + line.rlike(IGNORE_END).cast("int") * 2).cast("tinyint")
 
 
-def outside_fences(lines: list[str]) -> Iterator[bool]:
-    """For each line, whether a heading may stand there: not in a fence, nor on the line that opens one."""
-    fence = ""
-    for line in lines:
-        m = FENCE.match(line)
-        if m and not fence:
-            fence = m[1]
-        elif m and m[1][0] == fence[0] and len(m[1]) >= len(fence):
-            fence = ""
-        yield not fence
+def fence_mark(line: Column) -> Column:
+    """The marks of a fence line; empty for another line."""
+    return F.regexp_extract(line, FENCE, 1)
 
 
-def chapter(line: str) -> str:
+def chapter(line: Column) -> Column:
     """The heading of a chapter line; empty for any other line, such as a sentence that begins like one."""
-    s = line.strip()
-    m = None if not s or len(s) > CHAPTER_LENGTH or s[-1] in CHAPTER_ENDS or not set(s).isdisjoint(CHAPTER_NEVER) else CHAPTER.match(s)
-    return f"{m[1].strip()} {m[2].strip()}".strip() if m else ""
-
-
-def headings(lines: list[str]) -> list[tuple[int, int, str]]:
-    """(line index, level, text) of the headings outside fences; chapters have level 0."""
-    out = []
-    for i, ok in enumerate(outside_fences(lines)):
-        if ok and (m := HEADING.match(lines[i])):
-            out.append((i, len(m[1]), re.sub(r"\s+#*$", "", m[2]).strip()))
-        elif ok and (name := chapter(lines[i])):
-            out.append((i, 0, name))
-    return out
-
-
-def title_of(lines: list[str], fallback: str) -> str:
-    """The first heading of level one, else the first heading, else the fallback; chapters give no title."""
-    found = [h for h in headings(lines) if h[1]]
-    return next((t for _, level, t in found if level == 1), found[0][2] if found else fallback)
-
-
-def sections(lines: list[str], title: str, first_line: int = 1) -> list[Section]:
-    """The lines under each heading, the heading's own first; blank ones before any text, and blank sections, are left out."""
-    cuts = headings(lines)
-    starts = [(0, title), *((i, t) for i, _, t in cuts)]
-    if cuts and cuts[0][0] == 0:
-        starts.pop(0)
-    out = []
-    for (a, name), (z, _) in zip(starts, [*starts[1:], (len(lines), "")], strict=True):
-        part = lines[a:z]
-        lead = next((i for i, x in enumerate(part) if x.strip()), None)
-        if lead is not None:
-            out.append(Section(name, first_line + a + lead, part[lead:]))
-    return out
-
-
-def packed(section: Section, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
-    """(first line, last line, text) of chunks of about ``size`` characters, counting a line end for each line.
-
-    A chunk ends before the line that would not fit; the next begins with the last lines that cover ``overlap`` characters. A line
-    above ``size`` is cut into pieces that are chunks of their own, the last of which goes on with what follows.
-    """
-    held: list[str] = []
-    first = last = section.first_line
-    cost = lambda ls: sum(len(x) + 1 for x in ls)
-
-    def tail() -> list[str]:
-        k = 0
-        while overlap > 0 and k < len(held) and cost(held[len(held) - k :]) < overlap:
-            k += 1
-        return held[len(held) - k :]
-
-    for at, line in enumerate(section.lines, section.first_line):
-        parts = [line[i : i + size] for i in range(0, len(line), size)] if len(line) > size else [line]
-        if held and cost(held) + len(line) + 1 > size:
-            yield first, last, "\n".join(held)
-            held = tail()
-            first = at - len(held)
-        for k, part in enumerate(parts):
-            if len(parts) > 1:
-                if held and (k or len(parts) > 1):
-                    yield first, max(first, at - 1), "\n".join(held)
-                held, first = [part], at
-            else:
-                held.append(part)
-        last = at
-    if held:
-        yield first, section.first_line + len(section.lines) - 1, "\n".join(held)
-
-
-def chunk(source: str, text: str, size: int = 800, overlap: int = 120) -> tuple[dict[str, object], list[tuple[int, str, str, int, int, str]]]:
-    """(properties, [(index, title, heading, first line, last line, content)]); no chunks of an exempt document."""
-    lines = text.splitlines()
-    used, found = properties(lines)
-    if exempt(found):
-        return found, []
-    body = without_ignored(lines[used:])
-    stem = re.sub(r"\.[^.]*$", "", source.rsplit("/", 1)[-1]) or source
-    title = title_of(body, stem)
-    out: list[tuple[int, str, str, int, int, str]] = []
-    for s in sections(body, title, used + 1):
-        for a, z, content in packed(s, size, overlap):
-            out.append((len(out), title, s.heading, a, max(a, z), content.strip()))
-    return found, out
+    s = F.regexp_replace(line, _BLANK, "")
+    sentence = s.rlike(f"[{CHAPTER_NEVER}]|[{CHAPTER_ENDS}]$") | (F.length(s) > CHAPTER_LENGTH)
+    return F.when(sentence, "").otherwise(F.trim(F.regexp_replace(F.regexp_extract(s, CHAPTER, 0), CHAPTER, "$1 $2")))
+
+
+def heading(line: Column) -> Column:
+    """(level, text) of a line that looks like a heading; chapters have level 0, other lines -1."""
+    marks = F.regexp_extract(line, HEADING, 1)
+    name = F.trim(F.regexp_replace(F.regexp_extract(line, HEADING, 2), r"\s+#*$", ""))
+    other = F.when(line.rlike(r"(?i)^\s*(第|chapter)"), chapter(line)).otherwise("")
+    is_heading = marks != ""
+    level = F.when(is_heading, F.length(marks)).when(other != "", 0).otherwise(-1)
+    return F.struct(level.cast("tinyint").alias("level"), F.when(is_heading, name).otherwise(other).alias("name"))

@@ -49,18 +49,11 @@ def split_acronyms(query: str) -> tuple[list[str], list[str]]:
 
     Such a stop word is left out if anything else is in the query, and regular if not.
     """
-    terms = query_terms(query)
     capitals = {p.lower() for p in _PIECE.findall(query) if p.isupper()}
-    told = any(t not in STOP_WORDS or t in capitals for t in terms)
-    regular, acronyms = [], []
-    for t in terms:
-        if not (t.isascii() and t.isalnum() and len(t) < 3):
-            regular.append(t)
-        elif t not in STOP_WORDS or t in capitals:
-            acronyms.append(t)
-        elif not told:
-            regular.append(t)
-    return regular, acronyms
+    kinds: dict[str, list[str]] = {"stop": [], "acronym": [], "word": []}
+    for t in query_terms(query):
+        kinds["stop" if t in STOP_WORDS - capitals else "acronym" if re.fullmatch("[a-z0-9]{1,2}", t) else "word"].append(t)
+    return kinds["word"] if kinds["word"] or kinds["acronym"] else kinds["stop"], kinds["acronym"]
 
 
 def occurrences(text: str | Column, term: str) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliary.functions import markdown
+from foliary.functions import markdown as md
 from foliary.functions.text import chunk_id, col, content_hash
 
 # Estimated tokens of a space, a Han character, the start and the rest of an ASCII word, a mark, any other character.
@@ -16,10 +17,92 @@ SPACE, HAN, START, REST, MARK, OTHER = 0.15, 0.62, 1.30, 0.25, 0.0, 1.15
 _HAN = r"[㐀-鿿豈-﫿\x{20000}-\x{323AF}]"
 
 
+def line_table(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
+    """source, tags, used, and one entry for each line below the front matter in lines, ignore, fence, level, name. Exempt documents are left out."""
+    rows = docs.select(F.col(source_col).cast("string").alias("source"), md.lines_of(F.col(text_col)).alias("all")).withColumn("used", md.front_size(F.col("all")))
+    rows = rows.withColumn("found", F.when(F.col("used") > 0, md.front_matter(F.col("all"), F.col("used")))).where(~md.exempt(F.col("found")))
+    rows = rows.select("source", md.listed(F.col("found")["tags"]).alias("tags"), "used", F.slice("all", F.col("used") + 1, F.greatest(F.size("all"), F.lit(1))).alias("lines"))
+    rows = rows.withColumn("heads", F.transform("lines", md.heading))
+    return rows.select("source", "tags", "used", "lines", F.transform("lines", md.ignore_mark).alias("ignore"), F.transform("lines", md.fence_mark).alias("fence"), F.col("heads.level").alias("level"), F.col("heads.name").alias("name"))
+
+
+def hidden_lines(ignore: np.ndarray) -> np.ndarray:
+    """Lines of ignored blocks: those that begin one, and those after which the nearest mark above leaves one open."""
+    at = np.maximum.accumulate(np.where(ignore > 0, np.arange(len(ignore)), -1))
+    is_open = (at >= 0) & (ignore[at] == 1)
+    return (ignore & 1 > 0) | np.concatenate([[False], is_open[:-1]])
+
+
+def fenced_lines(fence: Sequence[str], hidden: np.ndarray) -> np.ndarray:
+    """Lines from one that opens a fence to the one before that which closes it with as many of the same mark."""
+    change = np.zeros(len(fence) + 1, np.int64)
+    mark = ""
+    for i in [i for i, f in enumerate(fence) if f and not hidden[i]]:
+        if not mark:
+            mark = fence[i]
+            change[i] += 1
+        elif fence[i].startswith(mark):
+            mark = ""
+            change[i] -= 1
+    return np.cumsum(change)[:-1] > 0
+
+
+def packed(lines: Sequence[str], first_line: int, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+    """(first line, last line, text) of chunks of about ``size`` characters, counting a line end for each line.
+
+    A chunk ends before the line that would not fit; the next begins with the last lines that cover ``overlap`` characters. A line
+    above ``size`` is cut into pieces that are chunks of their own, the last of which goes on with what follows.
+    """
+    held: list[str] = []
+    first, cost = first_line, 0
+    for at, line in enumerate(lines, first_line):
+        if held and cost + len(line) + 1 > size:
+            yield first, at - 1, "\n".join(held)
+            room, keep = overlap, len(held)
+            while keep and room > 0:
+                keep -= 1
+                room -= len(held[keep]) + 1
+            held = held[keep:]
+            first, cost = at - len(held), sum(len(x) + 1 for x in held)
+        if len(line) <= size:
+            held.append(line)
+            cost += len(line) + 1
+            continue
+        for i in range(0, len(line), size):
+            if held:
+                yield first, max(first, at - 1), "\n".join(held)
+            held, first = [line[i : i + size]], at
+        cost = len(held[0]) + 1
+    if held:
+        yield first, first_line + len(lines) - 1, "\n".join(held)
+
+
+def document_rows(source: str, used: int, lines: list[str], ignore: np.ndarray, fence: list[str], level: np.ndarray, name: list[str], size: int, overlap: int) -> Iterator[tuple[int, str, str, int, int, str]]:
+    """(index, title, heading, first line, last line, content) of the chunks of one document.
+
+    A section is a heading outside fences with the lines to the next; blank lines before any text, and blank sections, are left out.
+    The title is the first heading of level one, else the first but chapters, else the file name.
+    """
+    hidden = hidden_lines(ignore)
+    cuts = np.flatnonzero((level >= 0) & ~hidden & ~fenced_lines(fence, hidden))
+    ranked = sorted((int(level[i]) != 1, i) for i in cuts if level[i])
+    file = source.rsplit("/", 1)[-1]
+    title = name[ranked[0][1]] if ranked else file.rpartition(".")[0] or file or source
+    edges = np.unique([0, *cuts, len(lines)])
+    index = 0
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        text = ["" if hidden[i] else lines[i] for i in range(a, z)]
+        lead = next((i for i, x in enumerate(text) if x.strip()), len(text))
+        for p, q, content in packed(text[lead:], used + a + lead + 1, size, overlap):
+            yield index, title, name[a] if a in cuts else title, p, q, content.strip()
+            index += 1
+
+
 def chunk_documents(docs: DataFrame, source_col: str, text_col: str, size: int = 800, overlap: int = 120) -> DataFrame:
     """source, chunk_index, chunk_id, title, heading, start_line, end_line, content, content_hash, tags.
 
-    Documents are chunked one by one in Arrow batches; identities are native expressions. A null text has no chunks.
+    Front matter, marks and headings are native expressions, as are identities. What depends on the lines above (open fences and ignored blocks, and
+    what a chunk holds so far) is folded document by document in Arrow batches, without a shuffle. A null text has no chunks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,14 +110,17 @@ def chunk_documents(docs: DataFrame, source_col: str, text_col: str, size: int =
         kinds = [pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
         for b in batches:
             rows = []
-            for source, text in zip(b.column("source").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found, chunks = markdown.chunk(source or "", text or "", size, overlap)
-                rows += [(source, markdown.listed(found.get("tags")), *c) for c in chunks]
+            for i in range(b.num_rows):
+                d = {c: b.column(c)[i] for c in b.schema.names}
+                marks = [np.array(d[c].as_py(), np.int8) for c in ("ignore", "level")]
+                source, tags = d["source"].as_py(), d["tags"].as_py()
+                found = document_rows(source or "", d["used"].as_py(), d["lines"].as_py(), marks[0], d["fence"].as_py(), marks[1], d["name"].as_py(), size, overlap) if len(marks[0]) else ()
+                rows += [(source, tags, *c) for c in found]
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     ddl = "source string, tags array<string>, chunk_index int, title string, heading string, start_line int, end_line int, content string"
-    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    rows = line_table(docs, source_col, text_col).mapInArrow(run, ddl)
     return rows.withColumn("chunk_id", chunk_id("source", "chunk_index", "content")).withColumn("content_hash", content_hash("content"))
 
 
