@@ -72,7 +72,21 @@ def _exact_sql(terms: tuple[str, ...]) -> str:
 
 LEX = f"(SELECT *, {_lexical_sql(QUERY)} AS lexical FROM {CHUNKS})"
 ROUTES = [_route_sql(_bm25_sql(QUERY), "round(bm25, 9)"), _route_sql(f"(SELECT * FROM {LEX} WHERE lexical > 0)", "lexical"), _route_sql(_exact_sql(TERMS), "hits")]
-FUSED = "(WITH a AS %s, b AS %s, c AS %s, k AS (SELECT chunk_id FROM a UNION SELECT chunk_id FROM b UNION SELECT chunk_id FROM c) SELECT k.chunk_id, (coalesce(1.0::DOUBLE / (60 + a.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0)) + coalesce(1.0::DOUBLE / (60 + c.rank), 0.0) AS score FROM k LEFT JOIN a USING (chunk_id) LEFT JOIN b USING (chunk_id) LEFT JOIN c USING (chunk_id))" % tuple(ROUTES)
+_VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * [%s][i]))" % ", ".join(f"{v}::DOUBLE" for v in _VECTOR)
+_NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))"
+_QNORM = sum(v * v for v in _VECTOR) ** 0.5
+VECTOR_ROUTE = _route_sql(f"(SELECT c.*, round({_DOT} / ({_NORM} * {_QNORM}), 12) AS similarity FROM {CHUNKS} c JOIN embeddings ON vec_id = doc_id)", "similarity")
+
+
+def _fused_sql(routes: list[str]) -> str:
+    names = "abcd"[: len(routes)]
+    keys = " UNION ".join(f"SELECT chunk_id FROM {n}" for n in names)
+    score = " + ".join(f"coalesce(1.0::DOUBLE / (60 + {n}.rank), 0.0)" for n in names)
+    return f"(WITH {', '.join(f'{n} AS {r}' for n, r in zip(names, routes, strict=True))}, k AS ({keys}) SELECT k.chunk_id, {score} AS score FROM k {' '.join(f'LEFT JOIN {n} USING (chunk_id)' for n in names)})"
+
+
+FUSED = _fused_sql([ROUTES[0], VECTOR_ROUTE, *ROUTES[1:]])
 HYBRID = f"(SELECT c.*, f.score FROM {CHUNKS} c JOIN {FUSED} f USING (chunk_id))"
 
 
@@ -161,12 +175,6 @@ def exact_route(spark: SparkSession, d: str) -> DataFrame:
     return search.exact_route(chunks(spark, d), TERMS)
 
 
-_VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
-_DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * [%s][i]))" % ", ".join(f"{v}::DOUBLE" for v in _VECTOR)
-_NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))"
-_QNORM = sum(v * v for v in _VECTOR) ** 0.5
-
-
 @query(f"SELECT vec_id, round({_DOT} / ({_NORM} * {_QNORM}), 6) AS similarity FROM embeddings ORDER BY round({_DOT} / ({_NORM} * {_QNORM}), 12) DESC, vec_id LIMIT 20")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.cosine_topk(table(spark, d, "embeddings"), _VECTOR, 20).withColumn("similarity", F.round("similarity", 6))
@@ -178,21 +186,38 @@ def cosine_by_label(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("s") > 0).cast("long")).alias("ahead"))
 
 
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    return search.vector_route(chunks(spark, d), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _VECTOR)
+
+
+@query(f"SELECT chunk_id, rank FROM {VECTOR_ROUTE}")
+def vector_route(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d)
+
+
 @query(f"SELECT chunk_id, round(score, 9) AS score FROM {FUSED}")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d)
-    routes = [search.bm25_route(c, QUERY), search.lexical_route(c, QUERY), search.exact_route(c, TERMS)]
+    routes = [search.bm25_route(c, QUERY), _near(spark, d), search.lexical_route(c, QUERY), search.exact_route(c, TERMS)]
     return search.fuse(routes).select("chunk_id", F.round("score", 9).alias("score"))
 
 
 @query(f"SELECT source, vault, round(score, 9) AS score FROM (SELECT * FROM {HYBRID} QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY score DESC, source, chunk_index) = 1) ORDER BY score DESC, source, chunk_index LIMIT 10")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Routes, fusion, filter-free de-duplication and the first page."""
-    got = search.hybrid(chunks(spark, d), QUERY, TERMS)
+    """Four routes, fusion, de-duplication and the first page."""
+    got = search.hybrid(chunks(spark, d), QUERY, TERMS, _near(spark, d))
     order = search.place(F.col("score"))
     return search.page(search.dedupe(got, ["content_hash"], order), order, 0, 10).select("source", "vault", F.round("score", 9).alias("score"))
 
 
+@query(f"SELECT source, vault, round(score, 9) AS score FROM {HYBRID} WHERE starts_with(source, 'doc/') AND list_has_any([lower(lang), lower(vault)], ['en', 'src0']) AND (doc_id % 3 = 0 OR doc_id >= 40)")
+def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """All fused hits that pass a prefix, tags, and a range of mtime, which one row in three does not know (its doc_id stands for it)."""
+    got = search.hybrid(chunks(spark, d), QUERY, TERMS, _near(spark, d))
+    got = got.withColumn("tags", F.array("lang", "vault")).withColumn("mtime", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")))
+    return got.where(search.admitted("doc/", ["#EN", "src0"], since=40)).select("source", "vault", F.round("score", 9).alias("score"))
+
+
 @query(f"SELECT doc_id, lexical AS score FROM {LEX} WHERE lexical > 0 ORDER BY lexical DESC, source, chunk_index LIMIT 25")
 def fallback_rank(spark: SparkSession, d: str) -> DataFrame:
     got = search.fallback(chunks(spark, d), QUERY)
@@ -251,6 +276,20 @@ def fanout_grouped(spark: SparkSession, d: str) -> DataFrame:
     return got.select("vault", "source", F.col("pos").cast("long").alias("pos"), F.round("max_score", 6).alias("max_score"))
 
 
+@query(f"SELECT vault, source, pos, round(max_score, 6) AS max_score FROM (SELECT *, max(score) OVER (PARTITION BY vault) AS max_score, row_number() OVER (PARTITION BY vault ORDER BY score DESC, source, chunk_index) AS pos, CASE vault WHEN 'src1' THEN 2 WHEN 'src4' THEN 0 ELSE 1 END AS o FROM {_MERGED}) WHERE pos > o AND pos <= o + 3")
+def fanout_offsets(spark: SparkSession, d: str) -> DataFrame:
+    got = search.group_vaults(search.merge_vaults(_hits(spark, d), _vaults(spark, d), 20), 3, 1, {"src1": 2, "src4": 0})
+    return got.select("vault", "source", F.col("pos").cast("long").alias("pos"), F.round("max_score", 6).alias("max_score"))
+
+
+@query(f"SELECT vault, source, used FROM (SELECT vault, source, CAST(sum(strlen(content) + 200) OVER (PARTITION BY vault ORDER BY score DESC, source, chunk_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM {_MERGED}) WHERE used <= 6000")
+def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Of each vault's ranked hits as many as fit into 6000 bytes, each with 200 of its own."""
+    hits = search.merge_vaults(_hits(spark, d), _vaults(spark, d), 20)
+    got = search.within_budget(hits, ["vault"], search.place(F.col("score")), F.octet_length("content") + 200, 6000)
+    return got.select("vault", "source", F.col("used").cast("long").alias("used"))
+
+
 @query(f"WITH m AS (SELECT doc_id, content_hash FROM {CHUNKS} WHERE doc_id % 2 = 1), g AS (SELECT content_hash, min(doc_id) AS donor_id FROM {CHUNKS} WHERE doc_id % 2 = 0 GROUP BY 1) SELECT m.doc_id, g.donor_id FROM m LEFT JOIN g USING (content_hash)")
 def vector_reuse(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d).select(F.col("doc_id").alias("id"), "content_hash")
@@ -349,17 +388,28 @@ def markdown_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(tx.normalised_markdown(F.coalesce("text", F.lit(""))), 256).alias("sha"))
 
 
-@query("SELECT gram, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM benchmark_docs) GROUP BY 1".replace("benchmark_docs", "(SELECT item_id AS doc_id, text FROM benchmark WHERE length(text) >= 3)"))
+@query("SELECT gram, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM documents WHERE length(text) >= 3) GROUP BY 1")
 def trigram_postings(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tx.trigrams("text"))).alias("gram"))
+    rows = table(spark, d, "documents").select(F.explode(F.array_distinct(tx.trigrams("text"))).alias("gram"))
     return rows.groupBy("gram").agg(F.count("*").alias("docs"))
 
 
-@query("SELECT doc_id, (15 * len(regexp_extract_all(t, '\\s')) + 130 * len(regexp_extract_all(t, '[A-Za-z0-9_]+')) + 25 * (length(t) - len(regexp_extract_all(t, '[^A-Za-z0-9_]')) - len(regexp_extract_all(t, '[A-Za-z0-9_]+'))) + 115 * len(regexp_extract_all(t, '[^A-Za-z0-9_\\s]'))) / 100.0::DOUBLE AS tokens FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+_TOKENS = "SELECT doc_id, (15 * len(regexp_extract_all(t, '\\s')) + 130 * len(regexp_extract_all(t, '[A-Za-z0-9_]+')) + 25 * (length(t) - len(regexp_extract_all(t, '[^A-Za-z0-9_]')) - len(regexp_extract_all(t, '[A-Za-z0-9_]+'))) + 115 * len(regexp_extract_all(t, '[^A-Za-z0-9_\\s]'))) / 100.0::DOUBLE AS tokens FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+
+
+@query(_TOKENS)
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", chunking.estimated_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
+@query(f"SELECT lang, count(*) AS n, round(CAST(sum(e) AS DOUBLE) / count(*), 6) AS mean_error, CAST(max(e) AS DOUBLE) AS max_error FROM (SELECT lang, CAST(round(abs(tokens - words) / greatest(words, 1), 9) AS DECIMAL(20, 9)) AS e FROM (SELECT lang, tokens, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS words FROM documents JOIN ({_TOKENS}) USING (doc_id))) GROUP BY 1")
+def token_error(spark: SparkSession, d: str) -> DataFrame:
+    """How far the estimate is from the number of words, by language."""
+    t = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").select("lang", chunking.estimated_tokens(t).alias("tokens"), F.regexp_count(t, F.lit(r"[^ \t\n\x0B\f\r]+")).alias("words"))
+    return facts.estimate_error(rows, "lang", "tokens", "words")
+
+
 @query("SELECT item_id, round((('0x' || substr(sha256(text), 1, 2))::INT / 127.5 - 1.0) / (('0x' || substr(sha256(text), 3, 2))::INT / 127.5 - 1.0), 6) AS ratio FROM benchmark")
 def static_embedding(spark: SparkSession, d: str) -> DataFrame:
     """The ratio of the first two components does not depend on the norm."""

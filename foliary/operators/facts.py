@@ -84,11 +84,15 @@ def islands(rows: DataFrame, key: Sequence[str], start: str = "start", end: str
     return part.groupBy(*key, "__part").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__part")
 
 
-def next_at_most(rows: DataFrame, key: str, at: str, level: str) -> DataFrame:
-    """Adds next_at: the next row of the key whose level is no higher; null at the end. Keys are single documents."""
-    a, b = rows, rows.select(F.col(key).alias("__k"), F.col(at).alias("__a"), F.col(level).alias("__l"))
-    on = (F.col(key) == F.col("__k")) & (F.col("__a") > F.col(at)) & (F.col("__l") <= F.col(level))
-    return a.join(b, on, "left").groupBy(*rows.columns).agg(F.min("__a").alias("next_at"))
+def next_at_most(rows: DataFrame, key: str, at: str, level: str, levels: Sequence[int] = range(7)) -> DataFrame:
+    """Adds next_at: the next place of the key whose level is no higher; null at the end. Places are integers, levels one of ``levels``.
+
+    Running minima from the end, one for each level, in one pass of a sorted window: no row meets all later ones.
+    """
+    later = Window.partitionBy(key).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
+    seen = [F.min(F.when(F.col(level) == n, F.col(at))).over(later).alias(f"__l{n}") for n in levels]
+    nearest = F.least(*[F.when(F.col(level) >= n, F.col(f"__l{n}")) for n in levels], F.lit(None))
+    return rows.select("*", *seen).withColumn("next_at", nearest).drop(*[f"__l{n}" for n in levels])
 
 
 def ignored(paths: DataFrame, rules: Sequence[tuple[str, bool]], path: str = "path") -> DataFrame:
@@ -125,3 +129,10 @@ def ranking_metrics(ranked: DataFrame, k: int) -> DataFrame:
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a).cast("double") / F.col(b).cast("double"), 9)).otherwise(0.0)
     return agg.select("query", "hit", F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 9).alias("rr"), share("found", "relevant").alias("recall"), share("dcg", "idcg").alias("ndcg"))
+
+
+def estimate_error(rows: DataFrame, by: str, estimate: str, actual: str) -> DataFrame:
+    """Per ``by``: n, mean and largest |estimate - actual| / max(1, actual), as decimals of 9 digits, so that the sum has one order-free value."""
+    error = F.abs(F.col(estimate) - F.col(actual)) / F.greatest(F.col(actual), F.lit(1))
+    exact = F.round(error, 9).cast("decimal(20,9)")
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(exact).cast("double") / F.count("*"), 6).alias("mean_error"), F.max(exact).cast("double").alias("max_error"))

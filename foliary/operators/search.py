@@ -113,6 +113,15 @@ def cosine_topk(vectors: DataFrame, query: Sequence[float], k: int, key: str = "
     return vectors.select(key, F.round(cosine(F.col(vector), query), 12).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
+def vector_route(chunks: DataFrame, vectors: DataFrame, query: Sequence[float], n: int = PER_ROUTE, key: str = "doc_id") -> DataFrame:
+    """Chunks by cosine of their vector (``vectors``: ``key``, embedding) with a literal one; those without a vector are left out.
+
+    Similarities join chunk places only, not contents.
+    """
+    near = vectors.select(key, F.round(cosine(F.col("embedding"), query), 12).alias("similarity"))
+    return top(chunks.select(key, "chunk_id", "source", "chunk_index").join(near, key), place(F.col("similarity")), n)
+
+
 def fuse(routes: Sequence[DataFrame], key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """(key, score): the sum of 1 / (k + rank) over the routes, added in route order so that doubles agree between runs."""
     tagged = reduce(DataFrame.unionByName, [r.select(key, F.lit(i).alias("route"), "rank") for i, r in enumerate(routes)])
@@ -142,6 +151,30 @@ def fallback(chunks: DataFrame, query: str, similarity: DataFrame | None = None)
     return met.crossJoin(F.broadcast(best)).withColumn("score", F.col("similarity") + rel * 0.2).drop("lexical", "__best", "similarity")
 
 
+def admitted(prefix: str = "", tags: Sequence[str] = (), since: float | None = None, until: float | None = None, tag_col: str = "tags", mtime_col: str = "mtime") -> Column:
+    """Sources that begin with ``prefix``, any of ``tags`` (without # and case), and an mtime in the range, ends included; an unknown mtime passes.
+
+    What is not given admits all.
+    """
+    ok = F.lit(True)
+    if prefix.strip():
+        ok &= F.col("source").startswith(prefix.strip().replace("\\", "/").rstrip("/"))
+    wanted = [t.strip().lstrip("#").lower() for t in tags]
+    if wanted:
+        ok &= F.coalesce(F.arrays_overlap(F.transform(tag_col, lambda t: F.ltrim(F.lower(t), F.lit("#"))), F.array(*[F.lit(t) for t in wanted])), F.lit(False))
+    if since is not None:
+        ok &= F.col(mtime_col).isNull() | (F.col(mtime_col) >= since)
+    if until is not None:
+        ok &= F.col(mtime_col).isNull() | (F.col(mtime_col) <= until)
+    return ok
+
+
+def within_budget(rows: DataFrame, by: Sequence[str], order: Sequence[Column], size: Column, budget: int) -> DataFrame:
+    """Of each group the longest beginning in this order whose sizes add up to at most ``budget``, with ``used``. Groups are pages of hits."""
+    line = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("used", F.sum(size).over(line)).where(F.col("used") <= budget)
+
+
 def dedupe(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in this order; rows with a null in the key all stay, each in a group of its own. A window group limit keeps one row per task and key."""
     open_ = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
@@ -175,8 +208,11 @@ def merge_vaults(hits: DataFrame, vaults: DataFrame, k: int, include_solo: bool
     return met.withColumn("score", F.col("score") * F.col("weight"))
 
 
-def group_vaults(merged: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """A page of each vault, with ``max_score`` to sort the groups by."""
+def group_vaults(merged: DataFrame, limit: int, offset: int = 0, offsets: dict[str, int] | None = None) -> DataFrame:
+    """A page of each vault, with ``max_score`` to sort the groups by. ``offsets`` names vaults whose page begins elsewhere."""
     best = F.max("score").over(Window.partitionBy("vault"))
     n = F.row_number().over(Window.partitionBy("vault").orderBy(*place(F.col("score"))))
-    return merged.withColumns({"max_score": best, "pos": n}).where((F.col("pos") > offset) & (F.col("pos") <= offset + limit))
+    start = F.lit(offset)
+    for vault, at in (offsets or {}).items():
+        start = F.when(F.col("vault") == vault, at).otherwise(start)
+    return merged.withColumns({"max_score": best, "pos": n}).where((F.col("pos") > start) & (F.col("pos") <= start + limit))

@@ -58,3 +58,13 @@ def test_windows_of_a_stream_leave_out_rows_behind_the_watermark(spark, tmp_path
     q.awaitTermination()
     got = {(x.event_type, x.n, x.total) for x in spark.table("windows").collect()}
     assert {("a", 2, 3.0), ("a", 1, 4.0), ("b", 1, 16.0)} <= got and ("a", 3, 11.0) not in got
+
+
+def test_next_at_most_against_a_loop(spark):
+    r = random.Random(5)
+    rows = [(k, at, r.randrange(4)) for k in ("a", "b", None) for at in sorted(r.sample(range(60), 25))] + [("a", 7, 2), ("c", 1, 0), ("c", 2, None)]
+    df = spark.createDataFrame(rows, "k string, at int, level int")
+    got = sorted(map(repr, (tuple(x) for x in facts.next_at_most(df, "k", "at", "level").collect())))
+    later = lambda k, at, n: min((b for q, b, m in rows if q == k and b > at and n is not None and m is not None and m <= n), default=None)
+    assert got == sorted(map(repr, ((k, at, n, later(k, at, n)) for k, at, n in rows)))
+    assert facts.next_at_most(df.limit(0), "k", "at", "level").count() == 0

@@ -110,3 +110,10 @@ def test_upsert_stream(spark, tmp_path):
     spark.createDataFrame([("b", 1, 2, True), ("c", 3, 2, False)], ddl).coalesce(1).write.mode("append").parquet(src)
     start().awaitTermination(120)
     assert sorted((r.k, r.v) for r in current(spark, out).collect()) == [("a", 2), ("c", 3)]
+
+
+def test_admitted_rows(spark):
+    df = spark.createDataFrame([("a/x", ["#One"], 5.0), ("a/y", [], None), ("ab", None, 9.0), ("b", ["two"], 1.0)], "source string, tags array<string>, mtime double")
+    names = lambda **f: [r[0] for r in df.where(search.admitted(**f)).orderBy("source").collect()]
+    assert names() == ["a/x", "a/y", "ab", "b"] and names(prefix=" a/ ") == ["a/x", "a/y", "ab"] and names(tags=["ONE", "#two"]) == ["a/x", "b"]
+    assert names(since=5) == ["a/x", "a/y", "ab"] and names(until=5) == ["a/x", "a/y", "b"] and names(prefix="a/", since=6, until=7) == ["a/y"]
