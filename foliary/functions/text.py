@@ -118,7 +118,6 @@ def normalised_markdown(text: str | Column) -> Column:
 
 def trigrams(text: str | Column) -> Column:
     """Every three characters in a row of the lower-case text; none of a text of fewer than three."""
-    low = F.lower(col(text))
-    n = F.length(low)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return F.when(n >= 3, grams).otherwise(F.array().cast("array<string>"))
+    # the characters are bound once, and each gram reads three of them: linear in the text
+    chars = F.transform(F.array(F.split(F.lower(col(text)), "")), lambda c: F.transform(F.slice(c, 3, F.greatest(F.size(c), F.lit(1))), lambda z, i: F.concat(F.get(c, i), F.get(c, i + 1), z)))[0]
+    return F.when(F.length(col(text)) >= 3, chars).otherwise(F.array().cast("array<string>"))

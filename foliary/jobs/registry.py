@@ -282,11 +282,11 @@ def fanout_offsets(spark: SparkSession, d: str) -> DataFrame:
     return got.select("vault", "source", F.col("pos").cast("long").alias("pos"), F.round("max_score", 6).alias("max_score"))
 
 
-@query(f"SELECT vault, source, used FROM (SELECT vault, source, CAST(sum(strlen(content) + 200) OVER (PARTITION BY vault ORDER BY score DESC, source, chunk_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM {_MERGED}) WHERE used <= 6000")
+@query(f"SELECT vault, source, used FROM (SELECT vault, source, CAST(sum(strlen(content) + 200) OVER (PARTITION BY vault ORDER BY score DESC, source, chunk_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM {_MERGED}) WHERE used <= 60000")
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Of each vault's ranked hits as many as fit into 6000 bytes, each with 200 of its own."""
+    """Of each vault's ranked hits as many as fit into 60000 bytes, each with 200 of its own."""
     hits = search.merge_vaults(_hits(spark, d), _vaults(spark, d), 20)
-    got = search.within_budget(hits, ["vault"], search.place(F.col("score")), F.octet_length("content") + 200, 6000)
+    got = search.within_budget(hits, ["vault"], search.place(F.col("score")), F.octet_length("content") + 200, 60000)
     return got.select("vault", "source", F.col("used").cast("long").alias("used"))
 
 
