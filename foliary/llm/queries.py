@@ -96,6 +96,28 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id as vec_id", "n_links", "component_id", "kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents as prefix, suffix and middle, and of the texts rebuilt from them."""
+    from .fill_middle import digest, fill_in_middle
+
+    return digest(fill_in_middle(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the features of the benchmark, and the ranks of those drawn."""
+    from .importance import resample
+
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    from .collision_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -104,9 +126,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_source_mixing, op2_token_files, op3_bestfit_packing, op4_toxicity, op5_edit_fingerprints, op6_chat_formatting, op7_line_dedup, op8_warc_archives, op9_ngram_jaccard_join, op10_embedding_near_dedup)
+    found = (op1_source_mixing, op2_token_files, op3_bestfit_packing, op4_toxicity, op5_edit_fingerprints, op6_chat_formatting, op7_line_dedup, op8_warc_archives, op9_ngram_jaccard_join, op10_embedding_near_dedup, op11_fill_in_middle, op12_importance_resampling, op13_collision_search)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
+_DRAWS = ", ".join(f"('0x' || substr(sha256('1:' || doc_id), {1 + 8 * i}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+_FORM = "CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END"
+_OUTPUT = "CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END"
+FILL_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, {_DRAWS} FROM documents),
+f AS (SELECT *, {_FORM} AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256({_OUTPUT}) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the one operator here that SQL can express: the others need checksums, classifiers, tokenizers or approximate searches."""
+    return {"op11_fill_in_middle": FILL_SQL}
