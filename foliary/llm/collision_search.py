@@ -3,7 +3,7 @@
 Vectors are scaled by the largest norm of their shard and given one more component, so that all have length one and the largest inner product is
 the smallest distance. A hash function is a projection on one random direction, and a shard keeps the sorted projections of its vectors for each of
 ``arrays`` directions. A query opens a window around its own projection in every array; windows widen by steady factors (virtual rehashing: nothing is
-hashed again), and each step only counts what it adds. A vector that lies in at least ``share`` of the windows is verified by its exact inner product.
+hashed again). A vector that lies in at least ``share`` of the windows, which its ranks in the arrays tell, is verified by its exact inner product.
 
 A query is done with a shard when the windows are so wide that any vector as near as its k-th best so far would have been counted often enough with
 the chance ``sure``; there is no limit on how many vectors are verified. Shards are sorted by norm, so a query skips those whose norms cannot reach
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups, materialise
+from .common import groups, materialise, numbered
 
 #: Rows of one sorted shard, rows that one task streams, queries of one block.
 SHARD, STREAM, BLOCK = 8192, 32_768, 1024
@@ -53,25 +53,28 @@ def width_for(arrays: int, wins: int, sure: float) -> float:
 
 
 class Shard:
-    """Sorted projections of vectors of one length; row i of ``x`` has the ids ``ids[i]``, in rising order."""
+    """Sorted projections of at most 65,535 vectors of one length, and each vector's rank in every array."""
 
     def __init__(self, x: np.ndarray, top: float, planes: np.ndarray):
         self.x, self.top = x, top
         scaled = x / top
         rest = np.sqrt(np.clip(1 - np.einsum("ij,ij->i", scaled, scaled), 0, 1))
         spots = scaled @ planes[:-1] + np.outer(rest, planes[-1])
-        self.order = np.argsort(spots, axis=0, kind="stable").T.copy()
+        order = np.argsort(spots, axis=0, kind="stable").T
+        self.rank = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.rank, order, np.arange(len(x), dtype=np.uint16)[None], axis=1)
         self.low = spots.min() - 1
         self.step = spots.max() + 1 - self.low  # array i lies between i * step and (i + 1) * step: one sorted line of all arrays
-        self.lift = np.arange(len(self.order)) * self.step - self.low
-        self.line = (np.take_along_axis(spots, self.order.T, axis=0) + self.lift).T.ravel()
-        self.flat = self.order.ravel()
+        self.lift = np.arange(len(order)) * self.step - self.low
+        self.line = (np.take_along_axis(spots.T, order, axis=1) + self.lift[:, None]).ravel()
 
-    def windows(self, spots: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-        """First and last place, in the line of all arrays, of the windows of this width around a query's projections."""
+    def collisions(self, spots: np.ndarray, width: float) -> np.ndarray:
+        """In how many arrays each vector lies in the window of this width around a query's projection: where its rank is between the window's ends."""
+        n = len(self.x)
         low, high = self.lift + self.low, self.lift + self.low + self.step
-        ends = [np.searchsorted(self.line, np.clip(spots + self.lift + w, low, high)) for w in (-width, width)]
-        return ends[0], ends[1]
+        first, last = (np.searchsorted(self.line, np.clip(spots + self.lift + w, low, high)) - np.arange(len(self.lift)) * n for w in (-width, width))
+        inside = (self.rank - first.astype(np.uint16)[:, None]) < (last - first).astype(np.uint16)[:, None]  # ranks below the window wrap around
+        return inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
 
 
 class Best:
@@ -101,23 +104,25 @@ def search(shard: Shard, ids: list[np.ndarray], keys: np.ndarray, q: np.ndarray,
         if best[i].bound() > norm * shard.top * (1 + 1e-12):
             continue
         spots = (q[i] / norm) @ planes[:-1]
-        counts, left, width = np.zeros(n, np.int64), np.ones(n, bool), first
-        a = z = None
+        def need() -> float:
+            bound = best[i].bound() / (norm * shard.top)
+            return unit * math.sqrt(max(0.0, 2 - 2 * min(1.0, bound))) if bound > -np.inf else np.inf
+
+        left, started, known = np.ones(n, bool), False, need()
+        width = first if known == np.inf else min(known, max(first, known / growth))
         while left.any():
-            b, y = shard.windows(spots, width)
-            edges = [(b, y)] if a is None else [(b, a), (z, y)]
-            counts += np.bincount(np.concatenate([shard.flat[s:e] for x in edges for s, e in zip(*map(np.ndarray.tolist, x), strict=True)]), minlength=n)
-            enough = wins if a is not None else min(wins, max(1, np.partition(counts, -min(n, best[i].k))[-min(n, best[i].k)]))  # the first step also takes the most often counted
+            counts = shard.collisions(spots, width)
+            enough = wins
+            if not started:  # the first step also takes those that were counted most often, so that there is a k-th best
+                most = min(n, best[i].k)
+                enough, started = min(wins, np.partition(counts, n - most)[n - most]), True
             met = np.flatnonzero((counts >= enough) & left)
             left[met] = False
             if len(met):
                 verify(shard, ids, keys, q[i], q_keys[i], best[i], met)
-            a, z = b, y
-            bound = best[i].bound() / (norm * shard.top)
-            need = unit * math.sqrt(max(0.0, 2 - 2 * min(1.0, bound))) if bound > -np.inf else np.inf
-            if width >= need or (z - a == n).all():
+            if width >= (known := need()) or counts.min() == len(spots):
                 break
-            width = min(width * growth, need)
+            width = min(width * growth, known)
 
 
 def verify(shard: Shard, ids: list[np.ndarray], keys: np.ndarray, q: np.ndarray, q_key: bytes, best: Best, rows: np.ndarray) -> None:
@@ -161,16 +166,12 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 20, every: int =
     asked = df.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     asked = materialise(asked.select("id", F.unhex(F.md5(F.to_json(F.struct("v")).cast("binary"))).alias("key")).join(whole.select("key"), "key", "left_semi"), "asked")
     n, n_queries = whole.count(), asked.select("key").distinct().count()
-    blocks, parts = max(1, -(-n_queries // block)), max(1, -(-n // stream))
-    order = [F.col("size"), F.desc("norm"), F.col("key")]
-    placed = materialise(sized.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "placed")
-    part, row = F.shiftright("at", 33), F.col("at") % F.lit(1 << 33)
-    most = placed.agg(F.max(part).alias("p"), F.max(row).alias("r")).first()
-    if most["p"] is None:
+    if not n_queries:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    slots = most["r"] // stream + 1
-    streams = (most["p"] + 1) * slots
-    placed = placed.select("key", "ids", "v", "size", "norm", (part * slots + F.floor(row / stream)).alias("stream"), (F.floor(row % stream / shard)).alias("shard"))
+    blocks, streams = -(-n_queries // block), -(-n // stream)
+    order = [F.asc("size"), F.desc("norm"), F.asc("key")]
+    at = F.col("at")
+    placed = numbered(sized, order, "at").select("key", "ids", "v", "size", "norm", F.floor(at / stream).alias("stream"), F.floor(at % stream / shard).alias("shard"))
     rows = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = sized.join(asked.select("key").distinct(), "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     queries = queries.withColumn("stream", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(streams - 1).cast("long")))).withColumn("shard", F.lit(-1).cast("long"))

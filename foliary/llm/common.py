@@ -88,6 +88,26 @@ def attach(df: DataFrame, keys: Sequence[str], aggs: Sequence[tuple[str, Column]
     return salted.join(right, on).drop(s, f"{s}_r", *[f"{k}{s}" for k in keys])
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``rows`` with their place from 0 in this order. Rows that tie are told apart by a number of their own, so that a hot value spreads over ranges.
+
+    Ranges are sorted apart and written; the places before a range are prefix sums over the ranges' counts, of which there is one for each task.
+    """
+    own, at, base = (free_name(rows.columns, x) for x in ("own", "at", "base"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = [*order, F.col(own)]
+    ranges = rows.withColumn(own, F.monotonically_increasing_id()).repartitionByRange(parts, *line).sortWithinPartitions(*line)
+    done = materialise(ranges.drop(own).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright(at, 33)
+    before, bases = 0, []
+    for p, n in sorted((r["p"], r["n"]) for r in done.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        bases.append((p, before))
+        before += n
+    starts = rows.sparkSession.createDataFrame(bases, f"{own} bigint, {base} bigint")
+    met = done.join(F.broadcast(starts), part == F.col(own))
+    return met.withColumn(name, F.col(base) + F.col(at) - F.shiftleft(part, 33)).drop(own, at, base)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that sums of products spread over all bits."""
     x = x ^ (x >> np.uint64(30))

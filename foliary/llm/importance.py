@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise
+from .common import materialise, numbered
 
 #: Distances from the end in the table of contributions; longer spans are cut into blocks of so many bytes.
 REACH = 64
@@ -206,25 +206,8 @@ def score_rows(docs: DataFrame, id_col: str, text_col: str, gain: np.ndarray, se
 
 
 def ranked(rows: DataFrame, wanted: int, order: list, least: str, name: str = "rank") -> DataFrame:
-    """``rows`` with their rank from 1 in this order among those where ``least`` holds, up to ``wanted``; null beyond. No task sees more than its range.
-
-    Ranges are sorted apart and written, with the place in its range for each row; the ranks before a range are prefix sums over the ranges' counts.
-    """
-    spread = free_name(rows.columns, "spread")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = rows.where(least).withColumn(spread, F.monotonically_increasing_id())
-    order = [*order, F.col(spread)]
-    place = F.monotonically_increasing_id()
-    done = materialise(some.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(spread).withColumn("__at", place), "ranges")
-    part = F.shiftright("__at", 33)
-    counts = sorted((r["p"], r["n"]) for r in done.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each task
-    base, before = {}, 0
-    for p, n in counts:
-        base[p] = before
-        before += n
-    bases = rows.sparkSession.createDataFrame(sorted(base.items()), "__p int, __base bigint")
-    rank = F.col("__base") + (F.col("__at") - F.shiftleft(part, 33)) + 1
-    told = done.withColumn("__p", part.cast("int")).join(F.broadcast(bases), "__p").withColumn(name, F.when(rank <= wanted, rank)).drop("__p", "__base", "__at")
+    """``rows`` with their rank from 1 in this order among those where ``least`` holds, up to ``wanted``; null beyond. No task sees more than its range."""
+    told = numbered(rows.where(least), order, name).withColumn(name, F.when(F.col(name) < wanted, F.col(name) + 1))
     rest = rows.where(~F.coalesce(F.expr(least), F.lit(False))).withColumn(name, F.lit(None).cast("long"))
     return told.unionByName(rest)
 
