@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import groups, materialise, numbered
@@ -139,6 +139,11 @@ def verify(shard: Shard, ids: list[np.ndarray], keys: np.ndarray, q: np.ndarray,
     best.add(scores[order], [ids[r] for r in rows.tolist()], keys[rows] == q_key)
 
 
+def vector_key() -> Column:
+    """128 bits of the column v; equal for vectors that differ in the sign of zeros alone."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), "v")), 16, "0") for i in (1, 2)]))
+
+
 def classes(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """(key, size, norm, v, ids): distinct vectors that take part, as bytes of doubles, each with the k + 1 smallest ids of its rows, repeats counted.
 
@@ -146,12 +151,12 @@ def classes(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)).withColumn("key", F.unhex(F.md5(F.to_json(F.struct("v")).cast("binary"))))
+    rows = rows.where(F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)).withColumn("key", vector_key())
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= k + 1)
     return first.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v"))
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 20, every: int = 20, arrays: int = 128, share: float = 0.8, sure: float = 0.97, first: float = 0.7, growth: float = 1.5, seed: int = 13, shard: int = SHARD, stream: int = STREAM, block: int = BLOCK) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 20, every: int = 20, arrays: int = 64, share: float = 0.8, sure: float = 0.97, first: float = 0.7, growth: float = 1.5, seed: int = 13, shard: int = SHARD, stream: int = STREAM, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` the ``k`` rows found with the largest inner products, its own apart.
 
     Scores are inner products in double precision of the vectors as given, ties go to the smaller id. All rows are indexed. Vectors that are null,
@@ -164,7 +169,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 20, every: int =
     sized = whole.select("key", "ids", "v", F.size("v").alias("size"), norm.alias("norm"))
     is_query = F.pmod(F.col(id_col).cast("long"), F.lit(every)) == 0
     asked = df.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    asked = materialise(asked.select("id", F.unhex(F.md5(F.to_json(F.struct("v")).cast("binary"))).alias("key")).join(whole.select("key"), "key", "left_semi"), "asked")
+    asked = materialise(asked.select("id", vector_key().alias("key")).join(whole.select("key"), "key", "left_semi"), "asked")
     n, n_queries = whole.count(), asked.select("key").distinct().count()
     if not n_queries:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
