@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as tx
-from foliary.operators import chunking, facts, search
+from foliary.operators import chunking, facts, postings, search, vectors
 from foliary.sources.tables import document_chunks, table
 from foliary.streaming import events as ev
 
@@ -49,7 +49,7 @@ def _lexical_sql(q: str, h: str = "lower(content)") -> str:
     return f"(CAST({' + '.join(parts) or '0'} AS DOUBLE) + CASE WHEN contains({h}, '{q.lower()}') THEN 10.0 ELSE 0.0 END)"
 
 
-def _bm25_sql(q: str) -> str:
+def _bm25_sql(q: str, chunks: str = CHUNKS) -> str:
     """chunk columns and bm25 of matching chunks."""
     groups = tx.phrase_groups(q)
     flat = list(dict.fromkeys(p for g in groups for p in g))
@@ -57,7 +57,7 @@ def _bm25_sql(q: str) -> str:
     df = ", ".join(f"sum(CAST(tf{i} > 0 AS BIGINT)) AS df{i}" for i in range(len(flat)))
     score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avglen))" for i in (flat.index(p) for g in groups for p in g))
     match = " AND ".join("(" + " OR ".join(f"tf{flat.index(p)} > 0" for p in g) + ")" for g in groups)
-    return f"(WITH r AS (SELECT *, {tf}, greatest(length(content) - 2, 0) AS len FROM {CHUNKS}), s AS (SELECT count(*) AS n, avg(len) AS avglen, {df} FROM r) SELECT r.*, CAST({score} AS DOUBLE) AS bm25 FROM r, s WHERE {match})"
+    return f"(WITH r AS (SELECT *, {tf}, greatest(length(content) - 2, 0) AS len FROM {chunks}), s AS (SELECT count(*) AS n, avg(len) AS avglen, {df} FROM r) SELECT r.*, CAST({score} AS DOUBLE) AS bm25 FROM r, s WHERE {match})"
 
 
 def _route_sql(rows: str, score: str, n: int = search.PER_ROUTE) -> str:
@@ -170,6 +170,32 @@ def bm25_route(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25_route(chunks(spark, d), QUERY)
 
 
+_LIVE = f"(SELECT * FROM {CHUNKS} WHERE doc_id % 7 <> 0)"
+_LIVE_BM25 = _route_sql(_bm25_sql(QUERY, _LIVE), "round(bm25, 9)")
+
+
+def _index(spark: SparkSession, d: str) -> postings.TrigramIndex:
+    """All documents, after old contents of some were replaced and others were removed."""
+    every = chunks(spark, d)
+    index = postings.new_index(spark, shards=8, slots=8)
+    old = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("an old license "), "content")).otherwise(F.col("content"))
+    index.upsert(every.where("doc_id % 3 > 0").withColumn("content", old))
+    index.upsert(every.where("doc_id % 5 = 0 or doc_id % 3 = 0"), every.where("doc_id % 7 = 0").select("source"))
+    index.delete(every.where("doc_id % 7 = 0").select("source"))
+    return index
+
+
+@query(f"SELECT chunk_id, rank FROM {_LIVE_BM25}")
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The BM25 route from stored postings, after upserts and a delete."""
+    return _index(spark, d).bm25_route(QUERY)
+
+
+@query(f"SELECT count(*) AS chunks, CAST(sum(greatest(length(content) - 2, 0)) AS BIGINT) AS trigrams FROM {_LIVE}")
+def index_size(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).chunks().agg(F.count("*").alias("chunks"), F.sum("size").alias("trigrams"))
+
+
 @query(f"SELECT chunk_id, rank FROM {ROUTES[2]}")
 def exact_route(spark: SparkSession, d: str) -> DataFrame:
     return search.exact_route(chunks(spark, d), TERMS)
@@ -180,6 +206,34 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.cosine_topk(table(spark, d, "embeddings"), _VECTOR, 20).withColumn("similarity", F.round("similarity", 6))
 
 
+def _store(spark: SparkSession, d: str) -> vectors.VectorStore:
+    """Three quarters of the vectors, some of them replaced by their opposites; those of label 4 removed. A vector's source is its label."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("source"), "embedding")
+    store = vectors.new_store(spark, "test/64")
+    store.train(e, 8)
+    store.upsert(e.where("key % 4 > 0"))
+    turned = e.where("key % 20 = 2").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    store.upsert(turned, e.where("source = '4' and key % 20 <> 2").select("source").distinct())
+    return store
+
+
+_STORED = "(SELECT vec_id, CASE WHEN vec_id % 20 = 2 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 4 > 0 AND (label <> 4 OR vec_id % 20 = 2))"
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS key, round({_DOT} / ({_NORM} * {_QNORM}), 6) AS similarity FROM {_STORED} ORDER BY round({_DOT} / ({_NORM} * {_QNORM}), 12) DESC, key LIMIT 20")
+def cosine_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest in a stored table of cells, after an upsert and a removal."""
+    found = _store(spark, d).search(_VECTOR, 20)
+    return found.rows.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS chunk_id, round({_DOT}, 9) AS dot FROM {_STORED} WHERE vec_id % 3 = 0")
+def attach_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Stored vectors of given chunks."""
+    wanted = table(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").cast("string").alias("chunk_id"))
+    return _store(spark, d).attach(wanted).select("chunk_id", F.round(search.dot(F.col("embedding"), F.array(*[F.lit(v) for v in _VECTOR])), 9).alias("dot"))
+
+
 @query(f"SELECT label, count(*) AS n, CAST(sum(CAST({_DOT} > 0 AS BIGINT)) AS BIGINT) AS ahead FROM embeddings GROUP BY label")
 def cosine_by_label(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").withColumn("s", search.cosine(F.col("embedding"), _VECTOR))

@@ -38,6 +38,15 @@ def _phrase_hits(groups: Sequence[Sequence[str]], content: str) -> tuple[list[st
     return flat, match, [overlapping(low, p) for p in flat]
 
 
+def bm25_score(uses: Sequence[tuple[Column, Column]], size: Column) -> Column:
+    """Sum over (frequency, number of chunks that have it) of phrases, given the columns __n and __avg: chunks, and their mean size."""
+    score = F.lit(0.0)
+    for tf, df in uses:
+        idf = F.greatest(F.log((F.col("__n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.col("__avg")))
+    return score
+
+
 def bm25(chunks: DataFrame, query: str, content: str = "content") -> DataFrame:
     """chunks that match, with ``bm25`` (larger is better). A phrase's frequency counts overlaps in the lower-case text; a text's length is its
     number of trigrams; statistics are over all chunks, in one pass of partial aggregates whose single row is then joined.
@@ -50,12 +59,8 @@ def bm25(chunks: DataFrame, query: str, content: str = "content") -> DataFrame:
     size = F.greatest(F.length(content) - 2, F.lit(0))
     rows = chunks.withColumns(dict(zip(names, hits, strict=True)) | {"__len": size})
     stats = rows.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(t) > 0).cast("long")).alias(f"{t}_df") for t in names])
-    score = F.lit(0.0)
     uses = [flat.index(p) for g in groups for p in g]
-    for i in uses:
-        tf, df = F.col(names[i]), F.col(f"{names[i]}_df")
-        idf = F.greatest(F.log((F.col("__n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
+    score = bm25_score([(F.col(names[i]), F.col(f"{names[i]}_df")) for i in uses], F.col("__len"))
     met = rows.where(match).crossJoin(F.broadcast(stats))  # one row of statistics
     return met.withColumn("bm25", score).select(*chunks.columns, "bm25")
 
@@ -130,9 +135,12 @@ def fuse(routes: Sequence[DataFrame], key: str = "chunk_id", k: int = RRF_K) ->
     return tagged.groupBy(key).agg(*ranks).select(key, reduce(lambda a, b: a + b, parts).alias("score"))
 
 
-def hybrid(chunks: DataFrame, query: str, exact_terms: Sequence[str] = (), vector_route: DataFrame | None = None, per_route: int = PER_ROUTE) -> DataFrame:
-    """Ranked chunks with ``score``: the routes fused. At most four times ``per_route`` rows, so the join is with a bounded side."""
-    routes = [bm25_route(chunks, query, per_route)] if phrase_groups(query) else []
+def hybrid(chunks: DataFrame, query: str, exact_terms: Sequence[str] = (), vector_route: DataFrame | None = None, per_route: int = PER_ROUTE, bm25: DataFrame | None = None) -> DataFrame:
+    """Ranked chunks with ``score``: the routes fused. At most four times ``per_route`` rows, so the join is with a bounded side.
+
+    ``bm25`` is that route where it comes from elsewhere, such as stored postings.
+    """
+    routes = [bm25] if bm25 is not None else [bm25_route(chunks, query, per_route)] if phrase_groups(query) else []
     routes += [vector_route] if vector_route is not None else []
     routes.append(lexical_route(chunks, query, per_route))
     if clean_terms(exact_terms):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +32,25 @@ def document_chunks(docs: DataFrame) -> DataFrame:
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     rows = docs.select(F.col("source").alias("vault"), path.alias("source"), F.lit(0).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("content"), "doc_id", "lang")
     return rows.withColumn("chunk_id", chunk_id("source", "chunk_index", "content")).withColumn("content_hash", content_hash("content"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or below the warehouse where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{base.rstrip('/')}/foliary/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is worked out once and its lineage ends."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def overwrite_partitions(rows: DataFrame, path: str, parts: list[str], order: list[str]) -> None:
+    """Replace those partitions of the table at ``path`` that ``rows`` has rows of. One task writes a partition; its rows are sorted by ``order``.
+
+    Spark moves the partitions into place when all tasks are done, so the old ones may be read by the same job. One writer at a time.
+    """
+    ready = rows.repartition(*parts).sortWithinPartitions(*parts, *order)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
