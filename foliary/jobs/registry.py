@@ -477,6 +477,55 @@ def chunk_chars(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(docs, "path", "text").select("source", "chunk_index", "chunk_id", "heading", "start_line", "end_line", "content_hash")
 
 
+def _chunk_sql(cost: str, between: int, end: str, again: str, drop: str, content: str, columns: str) -> str:
+    """Chunks of documents with a word on each line: ``u`` has the running sums of costs, of which each step finds the next end and what is repeated."""
+    return f"""WITH RECURSIVE
+w AS (SELECT doc_id, string_split(replace(coalesce(text, ''), ' ', chr(10)), chr(10)) AS a FROM documents),
+t AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM w),
+l AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM t),
+f AS (SELECT *, min(CASE WHEN trim(x, ' ' || chr(9)) <> '' THEN i END) OVER (PARTITION BY doc_id) AS lead FROM l),
+s AS (SELECT doc_id, lead, x, i, sum(({cost}) + {between}) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM f WHERE i >= lead),
+d AS (SELECT doc_id, any_value(lead) AS lead, list(x ORDER BY i) AS lines, list_prepend(0, list(u ORDER BY i)) AS u FROM s GROUP BY doc_id),
+r AS (
+  SELECT doc_id, 0 AS n, 0 AS a, least(len(lines), greatest(1, len(list_filter(u, lambda v: v <= {end.format(a='0')})) - 1)) AS z FROM d
+  UNION ALL
+  SELECT doc_id, n, a, least(len(lines), greatest(z0 + 1, len(list_filter(u, lambda v: v <= {end.format(a='u[a + 1]')})) - 1)) FROM (
+    SELECT r.doc_id, r.n + 1 AS n, CASE WHEN {drop} THEN z ELSE least(z, greatest(a, {again})) END AS a, z AS z0, d.u, d.lines FROM r JOIN d USING (doc_id) WHERE z < len(d.lines)
+  )
+)
+SELECT {columns} FROM (SELECT 'doc/' || doc_id || '.md' AS source, CAST(n AS INTEGER) AS chunk_index, CAST(lead + a AS INTEGER) AS start_line, CAST(lead + z - 1 AS INTEGER) AS end_line, {content} AS content FROM r JOIN d USING (doc_id))"""
+
+
+_ID = "source, chunk_index, start_line, end_line, sha1(source || chr(0) || chunk_index || chr(0) || content) AS chunk_id, substr(sha256(content), 1, 16) AS content_hash"
+_COST = "15 * len(regexp_extract_all(x, '\\s')) + 130 * len(regexp_extract_all(x, '[A-Za-z0-9_]+')) + 25 * (length(x) - len(regexp_extract_all(x, '[^A-Za-z0-9_]')) - len(regexp_extract_all(x, '[A-Za-z0-9_]+'))) + 115 * len(regexp_extract_all(x, '[^A-Za-z0-9_\\s]'))"
+_TAIL = "len(list_filter(u, lambda v: v < u[z + 1] - 6415))"
+
+
+def _worded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a word on each line."""
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
+    return table(spark, d, "documents").select(path, F.replace("text", F.lit(" "), F.lit("\n")).alias("text"))
+
+
+@query(_chunk_sql(_COST, 15, "{a} + 38415", _TAIL, f"u[z + 2] - u[greatest(a, {_TAIL}) + 1] > 76815", "array_to_string(lines[a + 1 : z], chr(10))", _ID))
+def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 384 estimated tokens, 64 of them repeated."""
+    return chunking.chunk_documents_by_tokens(_worded(spark, d), "path", "text").select("source", "chunk_index", "start_line", "end_line", "chunk_id", "content_hash")
+
+
+@query(_chunk_sql("length(x)", 1, "{a} + 800", "len(list_filter(u, lambda v: v <= u[z + 1] - 120)) - 1", "false", "regexp_replace(array_to_string(lines[a + 1 : z], chr(10)), '^\\s+|\\s+$', '', 'g')", _ID))
+def chunk_char_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 800 characters, 120 of them repeated."""
+    return chunking.chunk_documents(_worded(spark, d), "path", "text").select("source", "chunk_index", "start_line", "end_line", "chunk_id", "content_hash")
+
+
+@query()
+def chunk_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by estimated tokens of the documents as they are, where long lines are cut."""
+    docs = table(spark, d, "documents").withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    return chunking.chunk_documents_by_tokens(docs, "path", "text").select("source", "chunk_index", "chunk_id", "heading", "start_line", "end_line", "start_char", "end_char", "content_hash", "tokens", "oversize")
+
+
 _RANKED = "(SELECT source AS query, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, d.doc_id) AS rank, CAST(coalesce(quality, 0) AS DOUBLE) AS relevance FROM documents d LEFT JOIN labels l USING (doc_id))"
 
 

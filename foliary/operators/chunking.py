@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.functions import markdown as md
+from foliary.functions import tables as tb
 from foliary.functions.text import chunk_id, col, content_hash
+from foliary.operators.token_chunks import Limits, section_pieces
 
 # Estimated tokens of a space, a Han character, the start and the rest of an ASCII word, a mark, any other character.
 SPACE, HAN, START, REST, MARK, OTHER = 0.15, 0.62, 1.30, 0.25, 0.0, 1.15
@@ -18,12 +21,16 @@ _HAN = r"[㐀-鿿豈-﫿\x{20000}-\x{323AF}]"
 
 
 def line_table(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
-    """source, tags, used, and one entry for each line below the front matter in lines, ignore, fence, level, name. Exempt documents are left out."""
+    """source, tags, used, and one entry for each line below the front matter in lines, ignore, fence, level, name, flags, opens, closes, cost.
+
+    Exempt documents are left out. Costs are hundredths of estimated tokens.
+    """
     rows = docs.select(F.col(source_col).cast("string").alias("source"), md.lines_of(F.col(text_col)).alias("all")).withColumn("used", md.front_size(F.col("all")))
     rows = rows.withColumn("found", F.when(F.col("used") > 0, md.front_matter(F.col("all"), F.col("used")))).where(~md.exempt(F.col("found")))
     rows = rows.select("source", md.listed(F.col("found")["tags"]).alias("tags"), "used", F.slice("all", F.col("used") + 1, F.greatest(F.size("all"), F.lit(1))).alias("lines"))
     rows = rows.withColumn("heads", F.transform("lines", md.heading))
-    return rows.select("source", "tags", "used", "lines", F.transform("lines", md.ignore_mark).alias("ignore"), F.transform("lines", md.fence_mark).alias("fence"), F.col("heads.level").alias("level"), F.col("heads.name").alias("name"))
+    marks = {"ignore": md.ignore_mark, "fence": md.fence_mark, "flags": tb.table_flags, "opens": lambda x: F.regexp_count(x, F.lit(tb.OPENS)), "closes": lambda x: F.regexp_count(x, F.lit(tb.CLOSES)), "cost": token_hundredths}
+    return rows.select("source", "tags", "used", "lines", F.col("heads.level").alias("level"), F.col("heads.name").alias("name"), *[F.transform("lines", f).alias(c) for c, f in marks.items()])
 
 
 def hidden_lines(ignore: np.ndarray) -> np.ndarray:
@@ -33,13 +40,13 @@ def hidden_lines(ignore: np.ndarray) -> np.ndarray:
     return (ignore & 1 > 0) | np.concatenate([[False], is_open[:-1]])
 
 
-def fenced_lines(fence: Sequence[str], hidden: np.ndarray) -> np.ndarray:
-    """Lines from one that opens a fence to the one before that which closes it with as many of the same mark."""
+def fenced_lines(fence: Sequence[str], hidden: np.ndarray, width: int | None = None) -> np.ndarray:
+    """Lines from one that opens a fence to the one before that which closes it with as many of the same mark, or with ``width`` of them."""
     change = np.zeros(len(fence) + 1, np.int64)
     mark = ""
     for i in [i for i, f in enumerate(fence) if f and not hidden[i]]:
         if not mark:
-            mark = fence[i]
+            mark = fence[i][:width]
             change[i] += 1
         elif fence[i].startswith(mark):
             mark = ""
@@ -77,62 +84,159 @@ def packed(lines: Sequence[str], first_line: int, size: int, overlap: int) -> It
         yield first, first_line + len(lines) - 1, "\n".join(held)
 
 
-def document_rows(source: str, used: int, lines: list[str], ignore: np.ndarray, fence: list[str], level: np.ndarray, name: list[str], size: int, overlap: int) -> Iterator[tuple[int, str, str, int, int, str]]:
-    """(index, title, heading, first line, last line, content) of the chunks of one document.
+class Lines:
+    """The lines of one document below its front matter, with what native expressions found in them; those of ignored blocks are blank."""
+
+    def __init__(self, row: dict):
+        self.hidden = hidden_lines(np.array(row["ignore"], np.int8))
+        for c in ("level", "flags", "opens", "closes", "cost"):
+            values = np.array(row[c], np.int64)
+            setattr(self, c, np.where(self.hidden, -1 if c == "level" else 0, values))
+        self.text = ["" if h else x for x, h in zip(row["lines"], self.hidden.tolist(), strict=True)]
+        self.fence = ["" if h else x for x, h in zip(row["fence"], self.hidden.tolist(), strict=True)]
+        self.name = row["name"]
+
+    def tables(self, a: int, z: int) -> list[tuple[int, int]]:
+        """HTML tables within these lines, counted from the first of them."""
+        fenced = fenced_lines(self.fence[a:z], np.zeros(z - a, bool), 3)
+        return tb.html_blocks(self.opens[a:z], self.closes[a:z], self.flags[a:z], fenced)
+
 
-    A section is a heading outside fences with the lines to the next; blank lines before any text, and blank sections, are left out.
-    The title is the first heading of level one, else the first but chapters, else the file name.
+def sections(source: str, doc: Lines) -> tuple[str, list[tuple[int, int, str]]]:
+    """The title, and (first line, end, heading) of the sections: a heading outside fences and tables with the lines to the next.
+
+    Blank lines before any text, and blank sections, are left out. The title is the first heading of level one, else the first but chapters, else the file name.
     """
-    hidden = hidden_lines(ignore)
-    cuts = np.flatnonzero((level >= 0) & ~hidden & ~fenced_lines(fence, hidden))
-    ranked = sorted((int(level[i]) != 1, i) for i in cuts if level[i])
+    fenced = fenced_lines(doc.fence, doc.hidden)
+    heads = np.flatnonzero((doc.level >= 0) & ~fenced)
+    ranked = sorted((int(doc.level[i]) != 1, i) for i in heads if doc.level[i])
     file = source.rsplit("/", 1)[-1]
-    title = name[ranked[0][1]] if ranked else file.rpartition(".")[0] or file or source
-    edges = np.unique([0, *cuts, len(lines)])
+    title = doc.name[ranked[0][1]] if ranked else file.rpartition(".")[0] or file or source
+    in_table = np.zeros(len(doc.text) + 1, bool)
+    for a, z in doc.tables(0, len(doc.text)):
+        in_table[a : z + 1] = True
+    cuts = heads[~in_table[heads]]
+    edges = np.unique([0, *cuts, len(doc.text)]).tolist()
+    found = []
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        lead = next((i for i in range(a, z) if doc.text[i].strip()), z)
+        if lead < z:
+            found.append((lead, z, doc.name[a] if a in cuts else title))
+    return title, found
+
+
+def document_rows(source: str, used: int, doc: Lines, size: int, overlap: int) -> Iterator[tuple]:
+    """(index, title, heading, first line, last line, content) of the chunks of one document by characters. A table is a chunk of its own, or several tables if longer than ``size``."""
+    title, found = sections(source, doc)
     index = 0
-    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        text = ["" if hidden[i] else lines[i] for i in range(a, z)]
-        lead = next((i for i, x in enumerate(text) if x.strip()), len(text))
-        for p, q, content in packed(text[lead:], used + a + lead + 1, size, overlap):
-            yield index, title, name[a] if a in cuts else title, p, q, content.strip()
+    for a, z, heading in found:
+        at, line = a, used + 1
+        made: list[tuple[int, int, str]] = []
+        for p, q in [*((a + p, a + q + 1) for p, q in doc.tables(a, z)), (z, z)]:
+            made += packed(doc.text[at:p], line + at, size, overlap)
+            some = doc.text[p:q]
+            if sum(len(x) + 1 for x in some) <= size:
+                made += [(line + p, line + q - 1, "\n".join(some))] if some else []
+            else:
+                made += [(line + p + x, line + p + y, "\n".join(t)) for x, y, t in tb.split_table(some, size)]
+            at = q
+        for p, q, content in made:
+            yield index, title, heading, p, q, content.strip()
             index += 1
 
 
-def chunk_documents(docs: DataFrame, source_col: str, text_col: str, size: int = 800, overlap: int = 120) -> DataFrame:
-    """source, chunk_index, chunk_id, title, heading, start_line, end_line, content, content_hash, tags.
+def token_rows(source: str, used: int, doc: Lines, limits: tuple[int, int, int]) -> Iterator[tuple]:
+    """(index, title, heading, first line, last line, content, first character, end character, synthetic characters, oversize) of the chunks of one document by estimated tokens.
 
-    Front matter, marks and headings are native expressions, as are identities. What depends on the lines above (open fences and ignored blocks, and
-    what a chunk holds so far) is folded document by document in Arrow batches, without a shuffle. A null text has no chunks.
+    Contents keep white space; blank ones are left out. Characters are those of a piece of one long line, else null.
     """
+    title, found = sections(source, doc)
+    index = 0
+    for a, z, heading in found:
+        for x in section_pieces(doc.text[a:z], doc.cost[a:z], doc.fence[a:z], doc.opens[a:z], doc.closes[a:z], doc.flags[a:z], limits):
+            body = "\n".join(doc.text[a + x.a : a + x.b]) if x.end is None else doc.text[a + x.a][x.start : x.end]
+            content = x.prefix + body + x.suffix
+            if content.strip():
+                cut = (None, None) if x.end is None else (x.start, x.end)
+                yield index, title, heading, used + a + x.a + 1, used + a + x.b, content, *cut, len(x.prefix) + len(x.suffix), x.oversize
+                index += 1
+
+
+_KEYS = {"source": pa.string(), "tags": pa.list_(pa.string())}
+_CHUNK = {"chunk_index": pa.int32(), "title": pa.string(), "heading": pa.string(), "start_line": pa.int32(), "end_line": pa.int32(), "content": pa.string()}
+_CUT = {"start_char": pa.int32(), "end_char": pa.int32(), "synthetic_chars": pa.int32(), "oversize": pa.bool_()}
+_DDL = "source string, tags array<string>, chunk_index int, title string, heading string, start_line int, end_line int, content string"
+
+
+def _fold(rows: DataFrame, make, kinds: dict[str, pa.DataType], ddl: str) -> DataFrame:
+    """The chunks that ``make`` (source, used, lines) gives of each document, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["source", "tags", "chunk_index", "title", "heading", "start_line", "end_line", "content"]
-        kinds = [pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
         for b in batches:
-            rows = []
+            out = []
             for i in range(b.num_rows):
-                d = {c: b.column(c)[i] for c in b.schema.names}
-                marks = [np.array(d[c].as_py(), np.int8) for c in ("ignore", "level")]
-                source, tags = d["source"].as_py(), d["tags"].as_py()
-                found = document_rows(source or "", d["used"].as_py(), d["lines"].as_py(), marks[0], d["fence"].as_py(), marks[1], d["name"].as_py(), size, overlap) if len(marks[0]) else ()
-                rows += [(source, tags, *c) for c in found]
-            cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    ddl = "source string, tags array<string>, chunk_index int, title string, heading string, start_line int, end_line int, content string"
-    rows = line_table(docs, source_col, text_col).mapInArrow(run, ddl)
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                if row["lines"]:
+                    out += [(row["source"], row["tags"], *c) for c in make(row["source"] or "", row["used"], Lines(row))]
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))
+
+    return rows.mapInArrow(run, ddl)
+
+
+def chunk_documents(docs: DataFrame, source_col: str, text_col: str, size: int = 800, overlap: int = 120) -> DataFrame:
+    """source, chunk_index, chunk_id, title, heading, start_line, end_line, content, content_hash, tags: chunks of about ``size`` characters.
+
+    Front matter, marks and headings are native expressions, as are identities. What depends on the lines above (open fences, tables and ignored blocks, and
+    what a chunk holds so far) is folded document by document in Arrow batches, without a shuffle. A null text has no chunks.
+    """
+    rows = _fold(line_table(docs, source_col, text_col).drop("cost").withColumn("cost", F.expr("array_repeat(0L, size(lines))")), lambda s, u, d: document_rows(s, u, d, size, overlap), _KEYS | _CHUNK, _DDL)
     return rows.withColumn("chunk_id", chunk_id("source", "chunk_index", "content")).withColumn("content_hash", content_hash("content"))
 
 
-def estimated_tokens(text: str | Column) -> Column:
-    """Estimated tokens, from counts of character classes: no Python, and the sum is exact in hundredths."""
-    t = col(text)
+def chunk_documents_by_tokens(docs: DataFrame, source_col: str, text_col: str, limits: Limits = Limits()) -> DataFrame:
+    """The columns of ``chunk_documents`` for chunks of about ``limits.target`` estimated tokens, with start_char, end_char, synthetic_chars, tokens, oversize, embeddable.
+
+    start_char and end_char are set where a chunk is a piece of one line; synthetic_chars are those of repeated table headers and added fence marks. Only an
+    HTML table or a table row may exceed the hard limit; such a chunk is oversize and is not for embedding. A null text has no chunks.
+    """
+    at = limits.hundredths()
+    rows = _fold(line_table(docs, source_col, text_col), lambda s, u, d: token_rows(s, u, d, at), _KEYS | _CHUNK | _CUT, _DDL + ", start_char int, end_char int, synthetic_chars int, oversize boolean")
+    rows = rows.withColumn("tokens", estimated_tokens("content")).withColumn("oversize", F.col("oversize") | (F.col("tokens") > limits.hard)).withColumn("embeddable", ~F.col("oversize"))
+    return rows.withColumn("chunk_id", chunk_id("source", "chunk_index", "content")).withColumn("content_hash", content_hash("content"))
+
+
+def small_tables_as_pipes(docs: DataFrame, text_col: str, most: int = 60) -> DataFrame:
+    """``docs`` with small plain HTML tables in the text as pipe tables; those with spans, unequal rows or more than ``most`` cells stay. Texts without tables are not touched."""
+
+    @F.pandas_udf("string")
+    def converted(texts):
+        return texts.map(lambda t: "\n".join(tb.with_pipe_tables(x := t.splitlines(), _plain_blocks(x), most)))
+
+    has = F.col(text_col).rlike(tb.OPENS)
+    return docs.withColumn(text_col, F.when(has, converted(F.when(has, F.col(text_col)).otherwise(""))).otherwise(F.col(text_col)))
+
+
+def _plain_blocks(lines: Sequence[str]) -> list[tuple[int, int]]:
+    """HTML tables of lines that no native expression has looked at."""
+    n = lambda pattern: np.array([len(re.findall(pattern, x)) for x in lines], np.int64)
+    fence = [(re.match(md.FENCE, x) or ["", ""])[1] for x in lines]
+    flags = (n(r"^#{1,6}\s+") > 0) * tb.HEAD + (n(tb.ROW_ENDS) > 0) * tb.ROW_END
+    return tb.html_blocks(n(tb.OPENS), n(tb.CLOSES), flags, fenced_lines(fence, np.zeros(len(lines), bool), 3))
+
+
+def token_hundredths(t: Column) -> Column:
+    """Hundredths of estimated tokens, from counts of character classes."""
     n = lambda pattern: F.regexp_count(t, F.lit(pattern))
     space, han, word = n(r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"), n(_HAN), n(r"[A-Za-z0-9_]")
     starts, marks = n(r"[A-Za-z0-9_]+"), n(r"\p{M}")
     other = F.length(t) - space - han - word - marks
-    hundredths = space * 15 + han * 62 + starts * 130 + (word - starts) * 25 + other * 115
-    return hundredths / F.lit(100.0)
+    return (space * 15 + han * 62 + starts * 130 + (word - starts) * 25 + other * 115).cast("long")
+
+
+def estimated_tokens(text: str | Column) -> Column:
+    """Estimated tokens: no Python, and the sum is exact in hundredths."""
+    return token_hundredths(col(text)) / F.lit(100.0)
 
 
 def hash_embedding(text: str | Column, size: int = 384) -> Column:
