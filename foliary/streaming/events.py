@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def timed(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -33,16 +34,22 @@ def first_of_each(events: DataFrame, keys: list[str]) -> DataFrame:
     return e.dropDuplicatesWithinWatermark(keys) if e.isStreaming else e.dropDuplicates(keys)
 
 
-def _versions(spark: SparkSession, path: str) -> DataFrame:
-    """All versions of all buckets of an upserted table, the newest version of each bucket marked."""
-    every = spark.read.parquet(path)
-    newest = every.groupBy("__bucket").agg(F.max("__version").alias("__top"))
-    return every.join(F.broadcast(newest), "__bucket").where("__version = __top").drop("__top")
+def _newest(every: DataFrame) -> DataFrame:
+    """Rows of the newest version of each bucket; the table of versions has a row for each bucket."""
+    top = every.groupBy("__bucket").agg(F.max("__version").alias("__top"))
+    return every.join(F.broadcast(top), "__bucket").where("__version = __top").drop("__top")
 
 
 def current(spark: SparkSession, path: str, deleted: str = "deleted") -> DataFrame:
     """The rows of an upserted table that are not deleted."""
-    return _versions(spark, path).where(~F.coalesce(F.col(deleted), F.lit(False))).drop("__version", "__bucket")
+    return _newest(spark.read.parquet(path)).where(~F.coalesce(F.col(deleted), F.lit(False))).drop("__version", "__bucket")
+
+
+def _drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders through the file system that Spark itself uses for them."""
+    for folder in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def upsert(changes: DataFrame, path: str, key: str, order: str, checkpoint: str, deleted: str = "deleted", buckets: int = 64) -> Callable[[], object]:
@@ -51,20 +58,28 @@ def upsert(changes: DataFrame, path: str, key: str, order: str, checkpoint: str,
     A batch is folded to its newest change per key and merged with the newest version of the buckets of its keys, which are written anew;
     other buckets stay as they are. The newest change wins whichever batch brings it; of equal orders the one that came first stays. A delete is
     kept with its order, so that a late change does not revive the row; ``current`` leaves such rows out. A repeated batch rewrites its own folder.
-    Every batch but the first needs the table that those before it wrote, and fails without it. Returns a function that starts the query.
+    Rows without an order are left out. A bucket keeps its newest version and the one before, so neither the table nor a batch grows with the number
+    of batches. Every batch but the first needs the table that those before it wrote, and fails without it. Returns a function that starts the query.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         new = batch.where(F.col(order).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        rows = new.withColumn("__age", F.lit(0)).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows = new.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        old_folders: list[str] = []
         if n:
-            every = spark.read.parquet(path).where(F.col("__version") < n)
-            touched = rows.select("__bucket").distinct()
-            newest = every.groupBy("__bucket").agg(F.max("__version").alias("__top")).join(touched, "__bucket")
-            old = every.join(F.broadcast(newest), "__bucket").where("__version = __top").select(*batch.columns, F.lit(1).alias("__age"), "__bucket")
-            both = rows.unionByName(old)
+            schema = StructType([*batch.schema.fields, StructField("__version", IntegerType()), StructField("__bucket", IntegerType())])
+            every = spark.read.schema(schema).parquet(path).where(F.col("__version") < n)  # with a schema, a table without rows is one
+            touched = {r["__bucket"] for r in rows.select("__bucket").distinct().collect()}  # at most ``buckets``, as are the versions' buckets
+            known = [(r["__bucket"], r["__version"]) for r in every.where(F.col("__bucket").isin(touched)).select("__bucket", "__version").distinct().collect()]
+            top = {b: max(v for c, v in known if c == b) for b, _ in known}
+            old_folders = [f"{path}/__version={v}/__bucket={b}" for b, v in known if v < top[b]]
+            newest = F.lit(False)
+            for b, v in top.items():
+                newest |= (F.col("__bucket") == b) & (F.col("__version") == v)
+            both = rows.withColumn("__age", F.lit(0)).unionByName(every.where(newest).select(*batch.columns, "__bucket", F.lit(1).alias("__age")))
             rows = both.groupBy("__bucket", key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, "__age")).alias("r")).select("__bucket", "r.*")
-        rows.drop("__age").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/__version={n}")
+        rows.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/__version={n}")
+        _drop_folders(spark, old_folders)  # superseded by the version before this one
 
     return lambda: changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
