@@ -11,6 +11,7 @@ from foliary.functions import text as tx
 from foliary.operators import chunking, facts, postings, search, vectors
 from foliary.sources.tables import document_chunks, table
 from foliary.streaming import events as ev
+from foliary.streaming import sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -551,6 +552,25 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return ev.first_of_each(table(spark, d, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
+_LOG = "(SELECT CAST(user_id AS VARCHAR) AS source, ts AS tm, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'sample' END AS kind, CASE WHEN event_type NOT IN ('error', 'purchase') THEN CAST(floor(value / 100) AS BIGINT) END AS size, event_type AS sha FROM events)"
+_PLACE = "PARTITION BY source ORDER BY tm, kind, size NULLS FIRST, sha"
+_SETTLED = f"""WITH l AS (SELECT *, last_value(CASE WHEN kind = 'sample' THEN size END IGNORE NULLS) OVER ({_PLACE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(CAST(kind = 'done' AS INT)) OVER ({_PLACE} ROWS UNBOUNDED PRECEDING) AS run FROM {_LOG}),
+s AS (SELECT *, kind = 'sample' AND size <> 0 AND coalesce(size = before, false) AS settled FROM l),
+t AS (SELECT *, last_value(CASE WHEN settled THEN sha END IGNORE NULLS) OVER ({_PLACE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ledger, min(CASE WHEN kind <> 'sample' THEN tm END) OVER ({_PLACE} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt, CASE WHEN kind = 'failed' THEN sum(CAST(kind = 'failed' AS INT)) OVER (PARTITION BY source, run ORDER BY tm, kind, size NULLS FIRST, sha ROWS UNBOUNDED PRECEDING) ELSE 0 END AS failures FROM s),
+u AS (SELECT *, tm + to_seconds(CAST(60 * pow(2, failures - 1) AS BIGINT)) AS due FROM t WHERE kind = 'failed'),
+o AS (SELECT source, CASE WHEN kind <> 'sample' THEN kind WHEN size = 0 THEN 'empty' WHEN NOT settled THEN 'settling' WHEN ledger IS NULL THEN 'new' WHEN ledger = sha THEN 'seen' ELSE 'changed' END AS status, failures FROM t
+UNION ALL SELECT source, CASE WHEN failures >= 5 THEN 'gave_up' ELSE 'retry' END, failures FROM u WHERE due < (SELECT max(ts) FROM events) AND (nxt IS NULL OR nxt > due))
+SELECT source, status, count(*) AS n, CAST(max(failures) AS BIGINT) AS most_failures FROM o GROUP BY 1, 2"""
+
+
+@query(_SETTLED)
+def source_status(spark: SparkSession, d: str) -> DataFrame:
+    """How often a source was in each state: errors are failures, purchases ends of work, and all other events samples of a file."""
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("sample")
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.lit(0.0).alias("mtime"), F.when(kind == "sample", F.floor(F.col("value") / 100)).alias("size"), F.col("event_type").alias("sha"))
+    return sources.statuses(log).groupBy("source", "status").agg(F.count("*").alias("n"), F.max("failures").alias("most_failures"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
