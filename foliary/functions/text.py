@@ -57,9 +57,9 @@ def split_acronyms(query: str) -> tuple[list[str], list[str]]:
 
 
 def occurrences(text: str | Column, term: str) -> Column:
-    """How often ``term`` occurs in the text, without overlaps."""
+    """How often ``term`` occurs in the text, without overlaps: by how many bytes are gone without it."""
     t = col(text)
-    return ((F.length(t) - F.length(F.replace(t, F.lit(term), F.lit("")))) / F.lit(len(term))).cast("long")
+    return ((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(term), F.lit("")))) / F.lit(len(term.encode()))).cast("long")
 
 
 def overlapping(text: str | Column, term: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions import text as tx
 from foliary.operators import chunking, facts, postings, search, vectors
-from foliary.sources.tables import document_chunks, table
+from foliary.sources.tables import document_chunks, identified, plain_chunks, table
 from foliary.streaming import events as ev
 from foliary.streaming import sources
 
@@ -37,6 +37,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_chunks(table(spark, sf_dir, "documents"))
 
 
+def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_chunks(table(spark, sf_dir, "documents"))
+
+
+#: With these a route's few rows can be named afterwards.
+_NAMED = (*search.PLACE, "content")
+
+
 def _occ(h: str, t: str) -> str:
     return f"CAST((length({h}) - length(replace({h}, '{t}', ''))) / {len(t)} AS BIGINT)"
 
@@ -132,7 +140,7 @@ def mtime_null_pass(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, hits FROM {_exact_sql(TERMS)}")
 def exact_terms_and(spark: SparkSession, d: str) -> DataFrame:
-    return search.exact_matches(chunks(spark, d), TERMS).select("doc_id", "hits")
+    return search.exact_matches(plain(spark, d), TERMS).select("doc_id", "hits")
 
 
 _CLEAN = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
@@ -168,7 +176,7 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT chunk_id, rank FROM {ROUTES[0]}")
 def bm25_route(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25_route(chunks(spark, d), QUERY)
+    return identified(search.bm25_route(plain(spark, d), QUERY, key=_NAMED)).select("chunk_id", "rank")
 
 
 _LIVE = f"(SELECT * FROM {CHUNKS} WHERE doc_id % 7 <> 0)"
@@ -199,7 +207,7 @@ def index_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT chunk_id, rank FROM {ROUTES[2]}")
 def exact_route(spark: SparkSession, d: str) -> DataFrame:
-    return search.exact_route(chunks(spark, d), TERMS)
+    return identified(search.exact_route(plain(spark, d), TERMS, key=_NAMED)).select("chunk_id", "rank")
 
 
 @query(f"SELECT vec_id, round({_DOT} / ({_NORM} * {_QNORM}), 6) AS similarity FROM embeddings ORDER BY round({_DOT} / ({_NORM} * {_QNORM}), 12) DESC, vec_id LIMIT 20")
@@ -241,26 +249,26 @@ def cosine_by_label(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("s") > 0).cast("long")).alias("ahead"))
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    return search.vector_route(chunks(spark, d), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _VECTOR)
+def _near(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
+    vecs = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    return search.vector_route(chunks if chunks is not None else plain(spark, d), vecs, _VECTOR, name=search.PLACE)
 
 
 @query(f"SELECT chunk_id, rank FROM {VECTOR_ROUTE}")
 def vector_route(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d)
+    """Places are ranked first; only those found are named by their contents."""
+    return identified(plain(spark, d).join(F.broadcast(_near(spark, d)), list(search.PLACE))).select("chunk_id", "rank")
 
 
 @query(f"SELECT chunk_id, round(score, 9) AS score FROM {FUSED}")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
-    routes = [search.bm25_route(c, QUERY), _near(spark, d), search.lexical_route(c, QUERY), search.exact_route(c, TERMS)]
-    return search.fuse(routes).select("chunk_id", F.round("score", 9).alias("score"))
+    return identified(search.hybrid(plain(spark, d), QUERY, TERMS, _near(spark, d))).select("chunk_id", F.round("score", 9).alias("score"))
 
 
 @query(f"SELECT source, vault, round(score, 9) AS score FROM (SELECT * FROM {HYBRID} QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY score DESC, source, chunk_index) = 1) ORDER BY score DESC, source, chunk_index LIMIT 10")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Four routes, fusion, de-duplication and the first page."""
-    got = search.hybrid(chunks(spark, d), QUERY, TERMS, _near(spark, d))
+    got = identified(search.hybrid(plain(spark, d), QUERY, TERMS, _near(spark, d)))
     order = search.place(F.col("score"))
     return search.page(search.dedupe(got, ["content_hash"], order), order, 0, 10).select("source", "vault", F.round("score", 9).alias("score"))
 
@@ -268,14 +276,14 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT source, vault, round(score, 9) AS score FROM {HYBRID} WHERE starts_with(source, 'doc/') AND list_has_any([lower(lang), lower(vault)], ['en', 'src0']) AND (doc_id % 3 = 0 OR doc_id >= 40)")
 def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
     """All fused hits that pass a prefix, tags, and a range of mtime, which one row in three does not know (its doc_id stands for it)."""
-    got = search.hybrid(chunks(spark, d), QUERY, TERMS, _near(spark, d))
+    got = search.hybrid(plain(spark, d), QUERY, TERMS, _near(spark, d))
     got = got.withColumn("tags", F.array("lang", "vault")).withColumn("mtime", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")))
     return got.where(search.admitted("doc/", ["#EN", "src0"], since=40)).select("source", "vault", F.round("score", 9).alias("score"))
 
 
 @query(f"SELECT doc_id, lexical AS score FROM {LEX} WHERE lexical > 0 ORDER BY lexical DESC, source, chunk_index LIMIT 25")
 def fallback_rank(spark: SparkSession, d: str) -> DataFrame:
-    got = search.fallback(chunks(spark, d), QUERY)
+    got = search.fallback(plain(spark, d), QUERY)
     return search.page(got, search.place(F.col("score")), 0, 25).select("doc_id", "score")
 
 
@@ -316,7 +324,7 @@ def _vaults(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return search.fallback(chunks(spark, d), QUERY)
+    return search.fallback(plain(spark, d), QUERY)
 
 
 @query(f"SELECT vault, source, round(score, 6) AS score FROM {_MERGED} ORDER BY score DESC, source, chunk_index, position LIMIT 30")

@@ -10,7 +10,7 @@ Every partition has a row without a chunk number, which stands for nothing: a pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -142,14 +142,14 @@ class TrigramIndex:
         held = [F.array_compact(F.array(*[F.col(f"g{codes.index(g)}") for _, g in c])) for c in covers]
         return found.select("shard", "no", *[F.when(F.size(h) == len(c), hits(c)).otherwise(0).alias(f"tf{i}") for i, (c, h) in enumerate(zip(covers, held, strict=True))])
 
-    def bm25_route(self, query: str, n: int = PER_ROUTE, prefix: str = "") -> DataFrame:
-        """(chunk_id, rank) of the best ``n`` chunks: what ``search.bm25_route`` gives for the contents, from postings alone.
+    def bm25_route(self, query: str, n: int = PER_ROUTE, prefix: str = "", key: Sequence[str] = ("chunk_id",)) -> DataFrame:
+        """(key, rank) of the best ``n`` chunks: what ``search.bm25_route`` gives for the contents, from postings alone.
 
         Statistics are over all chunks; ``prefix`` admits sources that begin with it. Only chunks that score no less than the n-th best are looked up by name.
         """
         groups = phrase_groups(query)
         if not groups:
-            return self.spark.createDataFrame([], "chunk_id string, rank bigint")
+            return self.chunks().select(*key, F.lit(0).cast("long").alias("rank")).limit(0)
         flat = list(dict.fromkeys(p for g in groups for p in g))
         hits = stored(self.phrase_hits(flat), "hits")
         sizes = self.chunks().agg(F.count("*").alias("__n"), F.avg("size").alias("__avg"))
@@ -164,7 +164,7 @@ class TrigramIndex:
         scored = stored(met.crossJoin(F.broadcast(stats)).select("shard", "no", F.round(score, 9).alias("score")), "scored")
         least = scored.orderBy(F.desc("score")).limit(n).agg(F.min("score").alias("least"))
         best = scored.crossJoin(F.broadcast(least)).where(F.col("score") >= F.col("least"))
-        return top(best.join(self.chunks(), ["shard", "no"]), place(F.col("score")), n)
+        return top(best.join(self.chunks(), ["shard", "no"]), place(F.col("score")), n, key)
 
 
 def _runs(sizes: list[int], most: int) -> Iterator[slice]:

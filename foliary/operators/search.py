@@ -7,35 +7,67 @@ given by ``row_number`` over a top-N, so only N rows ever meet in one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions.text import haystack, occurrences, overlapping, phrase_groups, split_acronyms
+from foliary.sources.tables import stored
 
 RRF_K = 60
 PER_ROUTE = 40
 K1, B = 1.2, 0.75
+#: What names a chunk without hashing its content.
+PLACE = ("source", "chunk_index")
 
 
-def lexical_score(query: str, content: str = "content", aliases: Column | None = None) -> Column:
-    """Occurrences of the terms, five for each acronym as a word, ten where the whole query occurs."""
-    h = haystack(content, aliases)
+def once(rows: DataFrame, name: str, over: Column, value: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with ``value(over)``, where both are worked out once for each row.
+
+    A filter on a plain column would work it out again, below the projection that has it, and each of its terms would work out ``over`` again.
+    """
+    return rows.select("*", F.explode(F.transform(F.array(over), value)).alias(name))
+
+
+def lexical_score(query: str, content: str = "content", aliases: Column | None = None, low: Column | None = None) -> Column:
+    """Occurrences of the terms, five for each acronym as a word, ten where the whole query occurs. ``low``: the haystack, where it is known."""
+    h = haystack(content, aliases) if low is None else low
     regular, acronyms = split_acronyms(query)
     score = reduce(lambda a, t: a + occurrences(h, t), regular, F.lit(0).cast("long")).cast("double")
     if acronyms:
-        words = r"(?iU)\b(?:" + "|".join(sorted(set(acronyms))) + r")\b"
-        score = score + F.regexp_count(F.col(content), F.lit(words)) * 5.0
+        score = score + acronym_hits(acronyms, content)
     return score + F.when(F.contains(h, F.lit(query.strip().lower())), 10.0).otherwise(0.0)
 
 
-def _phrase_hits(groups: Sequence[Sequence[str]], content: str) -> tuple[list[str], Column, list[Column]]:
-    low = F.lower(F.col(content))
-    flat = list(dict.fromkeys(p for g in groups for p in g))
-    match = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in g]) for g in groups])
-    return flat, match, [overlapping(low, p) for p in flat]
+def acronym_hits(acronyms: Sequence[str], content: str = "content") -> Column:
+    """Five for each acronym that is a word of the text."""
+    words = r"(?iU)\b(?:" + "|".join(sorted(set(acronyms))) + r")\b"
+    return F.regexp_count(F.col(content), F.lit(words)) * 5.0
+
+
+def _overlaps_itself(phrase: str) -> bool:
+    return any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase)))
+
+
+def _scored(chunks: DataFrame, query: str) -> DataFrame:
+    return once(chunks, "lexical", haystack("content"), lambda h: lexical_score(query, low=h))
+
+
+def _phrases(groups: Sequence[Sequence[str]]) -> list[str]:
+    return list(dict.fromkeys(p for g in groups for p in g))
+
+
+def _frequencies(groups: Sequence[Sequence[str]], low: Column) -> Column:
+    """How often each phrase occurs in a lower-case text, as an array."""
+    return F.array(*[overlapping(low, p) for p in _phrases(groups)])
+
+
+def _matches(groups: Sequence[Sequence[str]], tf: str) -> Column:
+    """Any phrase of each group occurs."""
+    flat = _phrases(groups)
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.col(tf)[flat.index(p)] > 0 for p in g]) for g in groups])
 
 
 def bm25_score(uses: Sequence[tuple[Column, Column]], size: Column) -> Column:
@@ -54,21 +86,18 @@ def bm25(chunks: DataFrame, query: str, content: str = "content") -> DataFrame:
     groups = phrase_groups(query)
     if not groups:
         return chunks.limit(0).withColumn("bm25", F.lit(0.0))
-    flat, match, hits = _phrase_hits(groups, content)
-    names = [f"__tf{i}" for i in range(len(flat))]
-    size = F.greatest(F.length(content) - 2, F.lit(0))
-    rows = chunks.withColumns(dict(zip(names, hits, strict=True)) | {"__len": size})
-    stats = rows.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(t) > 0).cast("long")).alias(f"{t}_df") for t in names])
-    uses = [flat.index(p) for g in groups for p in g]
-    score = bm25_score([(F.col(names[i]), F.col(f"{names[i]}_df")) for i in uses], F.col("__len"))
-    met = rows.where(match).crossJoin(F.broadcast(stats))  # one row of statistics
+    flat = _phrases(groups)
+    rows = once(chunks.withColumn("__len", F.greatest(F.length(content) - 2, F.lit(0))), "__tf", F.lower(F.col(content)), lambda h: _frequencies(groups, h))
+    stats = rows.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col("__tf")[i] > 0).cast("long")).alias(f"__df{i}") for i in range(len(flat))])
+    score = bm25_score([(F.col("__tf")[flat.index(p)], F.col(f"__df{flat.index(p)}")) for g in groups for p in g], F.col("__len"))
+    met = rows.where(_matches(groups, "__tf")).crossJoin(F.broadcast(stats))  # one row of statistics
     return met.withColumn("bm25", score).select(*chunks.columns, "bm25")
 
 
-def top(rows: DataFrame, order: Sequence[Column], n: int, key: str = "chunk_id") -> DataFrame:
+def top(rows: DataFrame, order: Sequence[Column], n: int, key: Sequence[str] = ("chunk_id",)) -> DataFrame:
     """(key, rank) of the first ``n`` rows in this order."""
     first = rows.orderBy(*order).limit(n)
-    return first.select(key, F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
+    return first.select(*key, F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
 
 
 def place(score: Column) -> list[Column]:
@@ -76,29 +105,36 @@ def place(score: Column) -> list[Column]:
     return [score.desc(), F.col("source"), F.col("chunk_index")]
 
 
-def bm25_route(chunks: DataFrame, query: str, n: int = PER_ROUTE) -> DataFrame:
-    return top(bm25(chunks, query), place(F.round("bm25", 9)), n)
+def bm25_route(chunks: DataFrame, query: str, n: int = PER_ROUTE, key: Sequence[str] = ("chunk_id",)) -> DataFrame:
+    return top(bm25(chunks, query), place(F.round("bm25", 9)), n, key)
 
 
-def lexical_route(chunks: DataFrame, query: str, n: int = PER_ROUTE) -> DataFrame:
-    return top(chunks.withColumn("lexical", lexical_score(query)).where("lexical > 0"), place(F.col("lexical")), n)
+def lexical_route(chunks: DataFrame, query: str, n: int = PER_ROUTE, key: Sequence[str] = ("chunk_id",)) -> DataFrame:
+    return top(_scored(chunks, query).where("lexical > 0"), place(F.col("lexical")), n, key)
 
 
-def exact_route(chunks: DataFrame, terms: Sequence[str], n: int = PER_ROUTE) -> DataFrame:
+def exact_route(chunks: DataFrame, terms: Sequence[str], n: int = PER_ROUTE, key: Sequence[str] = ("chunk_id",)) -> DataFrame:
     """Chunks that hold every term, by occurrences."""
-    return top(exact_matches(chunks, terms), place(F.col("hits")), n)
+    return top(exact_matches(chunks, terms), place(F.col("hits")), n, key)
 
 
 def clean_terms(terms: Sequence[str], most: int = 8, width: int = 100) -> list[str]:
+    """Exact terms as they are looked for: trimmed, cut to ``width`` characters, in lower case, each once, blank ones left out; the first ``most`` of them.
+
+    The limits bound the expression, and are the reference rule; a caller with longer lists raises them.
+    """
     return list(dict.fromkeys(t for t in (str(x).strip()[:width].lower() for x in terms) if t))[:most]
 
 
+def _held_terms(wanted: Sequence[str], h: Column) -> tuple[Column, Column]:
+    """Whether every term is held, and how often they occur in all."""
+    hits = reduce(lambda a, t: a + occurrences(h, t), wanted, F.lit(0).cast("long"))
+    return reduce(lambda a, t: a & F.contains(h, F.lit(t)), wanted, F.lit(True)), hits
+
+
 def exact_matches(chunks: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Chunks that hold every term, with ``hits``."""
-    h = haystack("content")
-    wanted = clean_terms(terms)
-    hits = reduce(lambda a, t: a + occurrences(h, t), wanted, F.lit(0).cast("long"))
-    held = reduce(lambda a, t: a & F.contains(h, F.lit(t)), wanted, F.lit(True))
+    held, hits = _held_terms(clean_terms(terms), haystack("content"))
     return chunks.where(held).withColumn("hits", hits)
 
 
@@ -118,39 +154,81 @@ def cosine_topk(vectors: DataFrame, query: Sequence[float], k: int, key: str = "
     return vectors.select(key, F.round(cosine(F.col(vector), query), 12).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def vector_route(chunks: DataFrame, vectors: DataFrame, query: Sequence[float], n: int = PER_ROUTE, key: str = "doc_id") -> DataFrame:
-    """Chunks by cosine of their vector (``vectors``: ``key``, embedding) with a literal one; those without a vector are left out.
+def vector_route(chunks: DataFrame, vectors: DataFrame, query: Sequence[float], n: int = PER_ROUTE, key: str = "doc_id", name: Sequence[str] = ("chunk_id",)) -> DataFrame:
+    """(name, rank) of chunks by cosine of their vector (``vectors``: ``key``, embedding) with a literal one; those without a vector are left out.
 
     Similarities join chunk places only, not contents.
     """
     near = vectors.select(key, F.round(cosine(F.col("embedding"), query), 12).alias("similarity"))
-    return top(chunks.select(key, "chunk_id", "source", "chunk_index").join(near, key), place(F.col("similarity")), n)
+    return top(chunks.select(key, *dict.fromkeys([*name, *PLACE])).join(near, key), place(F.col("similarity")), n, name)
 
 
-def fuse(routes: Sequence[DataFrame], key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
+def fuse(routes: Sequence[DataFrame], key: Sequence[str] = ("chunk_id",), k: int = RRF_K) -> DataFrame:
     """(key, score): the sum of 1 / (k + rank) over the routes, added in route order so that doubles agree between runs."""
-    tagged = reduce(DataFrame.unionByName, [r.select(key, F.lit(i).alias("route"), "rank") for i, r in enumerate(routes)])
+    tagged = reduce(DataFrame.unionByName, [r.select(*key, F.lit(i).alias("route"), "rank") for i, r in enumerate(routes)])
     ranks = [F.max(F.when(F.col("route") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(routes))]
     parts = [F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(f"r{i}")), F.lit(0.0)) for i in range(len(routes))]
-    return tagged.groupBy(key).agg(*ranks).select(key, reduce(lambda a, b: a + b, parts).alias("score"))
+    return tagged.groupBy(*key).agg(*ranks).select(*key, reduce(lambda a, b: a + b, parts).alias("score"))
 
 
-def hybrid(chunks: DataFrame, query: str, exact_terms: Sequence[str] = (), vector_route: DataFrame | None = None, per_route: int = PER_ROUTE, bm25: DataFrame | None = None) -> DataFrame:
-    """Ranked chunks with ``score``: the routes fused. At most four times ``per_route`` rows, so the join is with a bounded side.
+def text_routes(chunks: DataFrame, query: str, exact_terms: Sequence[str] = (), n: int = PER_ROUTE, with_bm25: bool = True) -> list[DataFrame]:
+    """The BM25, lexical and exact routes of a query, by place, from one reading of the contents.
 
-    ``bm25`` is that route where it comes from elsewhere, such as stored postings.
+    That reading leaves a sheet of one narrow row for each chunk, without content, from which statistics and ranks are taken.
     """
-    routes = [bm25] if bm25 is not None else [bm25_route(chunks, query, per_route)] if phrase_groups(query) else []
-    routes += [vector_route] if vector_route is not None else []
-    routes.append(lexical_route(chunks, query, per_route))
-    if clean_terms(exact_terms):
-        routes.append(exact_route(chunks, exact_terms, per_route))
-    return chunks.join(F.broadcast(fuse(routes)), "chunk_id")
+    groups = phrase_groups(query) if with_bm25 else []
+    terms = clean_terms(exact_terms)
+
+    regular, acronyms = split_acronyms(query)
+    # every term is counted once, whichever routes want it; phrases that overlap themselves are counted in another way
+    flat = _phrases(groups)
+    counted = list(dict.fromkeys([*((t, False) for t in [*regular, *terms]), *((p, _overlaps_itself(p)) for p in flat)]))
+
+    def told(h: Column) -> Column:
+        n = F.array(*[overlapping(h, t) if o else occurrences(h, t) for t, o in counted]) if counted else F.array().cast("array<bigint>")
+        return F.struct(n.alias("n"), F.contains(h, F.lit(query.strip().lower())).alias("whole"))
+
+    def n_of(t: str, overlapped: bool = False) -> Column:
+        return F.col("told.n")[counted.index((t, overlapped))]
+
+    read = once(chunks.select(*PLACE, "content"), "told", haystack("content"), told)
+    lexical = reduce(lambda a, t: a + n_of(t), regular, F.lit(0).cast("long")).cast("double") + (acronym_hits(acronyms) if acronyms else F.lit(0.0)) + F.when(F.col("told.whole"), 10.0).otherwise(0.0)
+    held = reduce(lambda a, t: a & (n_of(t) > 0), terms, F.lit(bool(terms)))
+    exact = F.when(held, reduce(lambda a, t: a + n_of(t), terms, F.lit(0).cast("long")))
+    tf = F.array(*[n_of(p, _overlaps_itself(p)) for p in flat]).cast("array<bigint>")
+    size = F.greatest(F.length("content") - 2, F.lit(0))
+    sheet = stored(read.select(*PLACE, size.alias("size"), lexical.alias("lexical"), tf.alias("tf"), exact.alias("exact")), "sheet")
+    routes = []
+    if groups:
+        stats = sheet.agg(F.count("*").alias("__n"), F.avg("size").alias("__avg"), *[F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(flat))])
+        score = bm25_score([(F.col("tf")[flat.index(p)], F.col(f"df{flat.index(p)}")) for g in groups for p in g], F.col("size"))
+        met = sheet.where(_matches(groups, "tf")).crossJoin(F.broadcast(stats))  # one row of statistics
+        routes.append(top(met.withColumn("bm25", score), place(F.round("bm25", 9)), n, PLACE))
+    routes.append(top(sheet.where("lexical > 0"), place(F.col("lexical")), n, PLACE))
+    if terms:
+        routes.append(top(sheet.where("exact is not null"), place(F.col("exact")), n, PLACE))
+    return routes
+
+
+def fused_places(chunks: DataFrame, query: str, exact_terms: Sequence[str] = (), vector_route: DataFrame | None = None, per_route: int = PER_ROUTE, bm25: DataFrame | None = None) -> DataFrame:
+    """source, chunk_index, score of what the routes find together: at most four times ``per_route`` rows.
+
+    ``vector_route`` and ``bm25`` are routes by place that come from elsewhere, such as stored vectors and postings.
+    """
+    routes = text_routes(chunks, query, exact_terms, per_route, bm25 is None)
+    first = [bm25] if bm25 is not None else routes[:1] if phrase_groups(query) else []
+    rest = routes[len(first) if bm25 is None else 0 :]
+    return fuse([*first, *([vector_route] if vector_route is not None else []), *rest], PLACE)
+
+
+def hybrid(chunks: DataFrame, query: str, exact_terms: Sequence[str] = (), vector_route: DataFrame | None = None, per_route: int = PER_ROUTE, bm25: DataFrame | None = None) -> DataFrame:
+    """``chunks`` that the fused routes find, with ``score``: two readings of the contents, the second for a bounded number of places."""
+    return chunks.join(F.broadcast(fused_places(chunks, query, exact_terms, vector_route, per_route, bm25)), list(PLACE))
 
 
 def fallback(chunks: DataFrame, query: str, similarity: DataFrame | None = None) -> DataFrame:
     """Without fused routes: similarity plus a fifth of the relative lexical score, or the lexical score alone where above zero."""
-    scored = chunks.withColumn("lexical", lexical_score(query))
+    scored = _scored(chunks, query)
     if similarity is None:
         return scored.where("lexical > 0").withColumn("score", F.col("lexical")).drop("lexical")
     met = scored.join(similarity, "chunk_id")

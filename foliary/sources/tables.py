@@ -27,11 +27,20 @@ def text_folder(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("path").alias("source"), F.col("modificationTime").cast("double").alias("mtime"), F.when(F.is_valid_utf8(F.col("content").cast("string")), text).alias("content"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
 
 
-def document_chunks(docs: DataFrame) -> DataFrame:
-    """Chunk rows of a documents table: vault, source, chunk_index, content, chunk_id, content_hash. A document is one chunk."""
+def plain_chunks(docs: DataFrame) -> DataFrame:
+    """vault, source, chunk_index, content, doc_id, lang of a documents table. A document is one chunk."""
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
-    rows = docs.select(F.col("source").alias("vault"), path.alias("source"), F.lit(0).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("content"), "doc_id", "lang")
-    return rows.withColumn("chunk_id", chunk_id("source", "chunk_index", "content")).withColumn("content_hash", content_hash("content"))
+    return docs.select(F.col("source").alias("vault"), path.alias("source"), F.lit(0).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("content"), "doc_id", "lang")
+
+
+def identified(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with chunk_id and content_hash. Both hash the whole content, so do this to the few rows that need them."""
+    return chunks.withColumn("chunk_id", chunk_id("source", "chunk_index", "content")).withColumn("content_hash", content_hash("content"))
+
+
+def document_chunks(docs: DataFrame) -> DataFrame:
+    """``plain_chunks`` with chunk_id and content_hash."""
+    return identified(plain_chunks(docs))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
