@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions import text as tx
 from foliary.operators import chunking, facts, postings, search, vectors
-from foliary.sources.tables import document_chunks, identified, plain_chunks, table
+from foliary.sources.tables import document_chunks, identified, plain_chunks, stored, table
 from foliary.streaming import events as ev
 from foliary.streaming import sources
 
@@ -513,7 +513,7 @@ _TAIL = "len(list_filter(u, lambda v: v < u[z + 1] - 6415))"
 def _worded(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a word on each line."""
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
-    return table(spark, d, "documents").select(path, F.replace("text", F.lit(" "), F.lit("\n")).alias("text"))
+    return table(spark, d, "documents").select(path, F.replace("text", F.lit(" "), F.lit("\n")).alias("text"), F.col("source").alias("vault"), "doc_id", "lang")
 
 
 @query(_chunk_sql(_COST, 15, "{a} + 38415", _TAIL, f"u[z + 2] - u[greatest(a, {_TAIL}) + 1] > 76815", "array_to_string(lines[a + 1 : z], chr(10))", _ID))
@@ -522,12 +522,29 @@ def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents_by_tokens(_worded(spark, d), "path", "text").select("source", "chunk_index", "start_line", "end_line", "chunk_id", "content_hash")
 
 
-@query(_chunk_sql("length(x)", 1, "{a} + 800", "len(list_filter(u, lambda v: v <= u[z + 1] - 120)) - 1", "false", "regexp_replace(array_to_string(lines[a + 1 : z], chr(10)), '^\\s+|\\s+$', '', 'g')", _ID))
+_CHAR_CONTENT = "regexp_replace(array_to_string(lines[a + 1 : z], chr(10)), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(_chunk_sql("length(x)", 1, "{a} + 800", "len(list_filter(u, lambda v: v <= u[z + 1] - 120)) - 1", "false", _CHAR_CONTENT, _ID))
 def chunk_char_lines(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of 800 characters, 120 of them repeated."""
     return chunking.chunk_documents(_worded(spark, d), "path", "text").select("source", "chunk_index", "start_line", "end_line", "chunk_id", "content_hash")
 
 
+_REAL = _chunk_sql("length(x)", 1, "{a} + 800", "len(list_filter(u, lambda v: v <= u[z + 1] - 120)) - 1", "false", _CHAR_CONTENT, f"{_ID}, content, doc_id").replace("AS content FROM r JOIN", "AS content, doc_id FROM r JOIN")
+_REAL = f"SELECT r.*, o.source AS vault, o.lang FROM ({_REAL}) r JOIN documents o USING (doc_id)"
+
+
+@query(f"WITH pieces AS MATERIALIZED ({_REAL}) SELECT source, chunk_index, vault, round(score, 9) AS score FROM (SELECT * FROM {HYBRID.replace(CHUNKS, 'pieces')} QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY score DESC, source, chunk_index) = 1) ORDER BY score DESC, source, chunk_index LIMIT 25")
+def hybrid_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut into chunks of 800 characters, searched by four routes, without repeats. A chunk has its document's vector."""
+    made = chunking.chunk_documents(_worded(spark, d), "path", "text", keep=("vault", "doc_id", "lang"))
+    made = stored(made.select("vault", "source", "chunk_index", "content", "doc_id"), "chunks")  # cut once, searched twice
+    got = identified(search.hybrid(made, QUERY, TERMS, _near(spark, d, made)))
+    order = search.place(F.col("score"))
+    return search.page(search.dedupe(got, ["content_hash"], order), order, 0, 25).select("source", "chunk_index", "vault", F.round("score", 9).alias("score"))
+
+
 @query()
 def chunk_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by estimated tokens of the documents as they are, where long lines are cut."""

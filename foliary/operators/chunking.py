@@ -20,17 +20,17 @@ SPACE, HAN, START, REST, MARK, OTHER = 0.15, 0.62, 1.30, 0.25, 0.0, 1.15
 _HAN = r"[㐀-鿿豈-﫿\x{20000}-\x{323AF}]"
 
 
-def line_table(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
-    """source, tags, used, and one entry for each line below the front matter in lines, ignore, fence, level, name, flags, opens, closes, cost.
+def line_table(docs: DataFrame, source_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """kept (a struct of the columns ``keep``), source, tags, used, and one entry for each line below the front matter in lines, ignore, fence, level, name, flags, opens, closes, cost.
 
     Exempt documents are left out. Costs are hundredths of estimated tokens.
     """
-    rows = docs.select(F.col(source_col).cast("string").alias("source"), md.lines_of(F.col(text_col)).alias("all")).withColumn("used", md.front_size(F.col("all")))
+    rows = docs.select(F.struct(F.lit(0).alias("__"), *keep).alias("kept"), F.col(source_col).cast("string").alias("source"), md.lines_of(F.col(text_col)).alias("all")).withColumn("used", md.front_size(F.col("all")))
     rows = rows.withColumn("found", F.when(F.col("used") > 0, md.front_matter(F.col("all"), F.col("used")))).where(~md.exempt(F.col("found")))
-    rows = rows.select("source", md.listed(F.col("found")["tags"]).alias("tags"), "used", F.slice("all", F.col("used") + 1, F.greatest(F.size("all"), F.lit(1))).alias("lines"))
+    rows = rows.select("kept", "source", md.listed(F.col("found")["tags"]).alias("tags"), "used", F.slice("all", F.col("used") + 1, F.greatest(F.size("all"), F.lit(1))).alias("lines"))
     rows = rows.withColumn("heads", F.transform("lines", md.heading))
     marks = {"ignore": md.ignore_mark, "fence": md.fence_mark, "flags": tb.table_flags, "opens": lambda x: F.regexp_count(x, F.lit(tb.OPENS)), "closes": lambda x: F.regexp_count(x, F.lit(tb.CLOSES)), "cost": token_hundredths}
-    return rows.select("source", "tags", "used", "lines", F.col("heads.level").alias("level"), F.col("heads.name").alias("name"), *[F.transform("lines", f).alias(c) for c, f in marks.items()])
+    return rows.select("kept", "source", "tags", "used", "lines", F.col("heads.level").alias("level"), F.col("heads.name").alias("name"), *[F.transform("lines", f).alias(c) for c, f in marks.items()])
 
 
 def hidden_lines(ignore: np.ndarray) -> np.ndarray:
@@ -168,42 +168,48 @@ _CUT = {"start_char": pa.int32(), "end_char": pa.int32(), "synthetic_chars": pa.
 _DDL = "source string, tags array<string>, chunk_index int, title string, heading string, start_line int, end_line int, content string"
 
 
-def _fold(rows: DataFrame, make, kinds: dict[str, pa.DataType], ddl: str) -> DataFrame:
-    """The chunks that ``make`` (source, used, lines) gives of each document, in Arrow batches."""
+def _fold(rows: DataFrame, make, kinds: dict[str, pa.DataType], ddl: str, keep: Sequence[str]) -> DataFrame:
+    """The chunks that ``make`` (source, used, lines) gives of each document, in Arrow batches, with the document's kept columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, of = [], []
             for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names if c != "kept"}
                 if row["lines"]:
-                    out += [(row["source"], row["tags"], *c) for c in make(row["source"] or "", row["used"], Lines(row))]
+                    made = [(row["source"], row["tags"], *c) for c in make(row["source"] or "", row["used"], Lines(row))]
+                    out += made
+                    of += [i] * len(made)
             cols = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))
+            arrays = [pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("kept").take(pa.array(of, pa.int64())), *arrays], ["kept", *kinds])
 
-    return rows.mapInArrow(run, ddl)
+    kept = rows.schema["kept"].dataType.simpleString()
+    made = rows.mapInArrow(run, f"kept {kept}, {ddl}")
+    named = made.select(*[F.col("kept")[c].alias(c) for c in keep], *kinds)
+    return named.withColumn("chunk_id", chunk_id("source", "chunk_index", "content")).withColumn("content_hash", content_hash("content"))
 
 
-def chunk_documents(docs: DataFrame, source_col: str, text_col: str, size: int = 800, overlap: int = 120) -> DataFrame:
+def chunk_documents(docs: DataFrame, source_col: str, text_col: str, size: int = 800, overlap: int = 120, keep: Sequence[str] = ()) -> DataFrame:
     """source, chunk_index, chunk_id, title, heading, start_line, end_line, content, content_hash, tags: chunks of about ``size`` characters.
 
     Front matter, marks and headings are native expressions, as are identities. What depends on the lines above (open fences, tables and ignored blocks, and
-    what a chunk holds so far) is folded document by document in Arrow batches, without a shuffle. A null text has no chunks.
+    what a chunk holds so far) is folded document by document in Arrow batches, without a shuffle. A null text has no chunks. The columns ``keep``
+    of the document come first; their names must differ from those above.
     """
-    rows = _fold(line_table(docs, source_col, text_col).drop("cost").withColumn("cost", F.expr("array_repeat(0L, size(lines))")), lambda s, u, d: document_rows(s, u, d, size, overlap), _KEYS | _CHUNK, _DDL)
-    return rows.withColumn("chunk_id", chunk_id("source", "chunk_index", "content")).withColumn("content_hash", content_hash("content"))
+    rows = line_table(docs, source_col, text_col, keep).withColumn("cost", F.expr("array_repeat(0L, size(lines))"))
+    return _fold(rows, lambda s, u, d: document_rows(s, u, d, size, overlap), _KEYS | _CHUNK, _DDL, keep)
 
 
-def chunk_documents_by_tokens(docs: DataFrame, source_col: str, text_col: str, limits: Limits = Limits()) -> DataFrame:
+def chunk_documents_by_tokens(docs: DataFrame, source_col: str, text_col: str, limits: Limits = Limits(), keep: Sequence[str] = ()) -> DataFrame:
     """The columns of ``chunk_documents`` for chunks of about ``limits.target`` estimated tokens, with start_char, end_char, synthetic_chars, tokens, oversize, embeddable.
 
     start_char and end_char are set where a chunk is a piece of one line; synthetic_chars are those of repeated table headers and added fence marks. Only an
     HTML table or a table row may exceed the hard limit; such a chunk is oversize and is not for embedding. A null text has no chunks.
     """
     at = limits.hundredths()
-    rows = _fold(line_table(docs, source_col, text_col), lambda s, u, d: token_rows(s, u, d, at), _KEYS | _CHUNK | _CUT, _DDL + ", start_char int, end_char int, synthetic_chars int, oversize boolean")
-    rows = rows.withColumn("tokens", estimated_tokens("content")).withColumn("oversize", F.col("oversize") | (F.col("tokens") > limits.hard)).withColumn("embeddable", ~F.col("oversize"))
-    return rows.withColumn("chunk_id", chunk_id("source", "chunk_index", "content")).withColumn("content_hash", content_hash("content"))
+    rows = _fold(line_table(docs, source_col, text_col, keep), lambda s, u, d: token_rows(s, u, d, at), _KEYS | _CHUNK | _CUT, _DDL + ", start_char int, end_char int, synthetic_chars int, oversize boolean", keep)
+    return rows.withColumn("tokens", estimated_tokens("content")).withColumn("oversize", F.col("oversize") | (F.col("tokens") > limits.hard)).withColumn("embeddable", ~F.col("oversize"))
 
 
 def small_tables_as_pipes(docs: DataFrame, text_col: str, most: int = 60) -> DataFrame:
