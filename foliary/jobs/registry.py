@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as tx
-from foliary.operators import chunking, facts, postings, search, vectors
+from foliary.operators import chunking, facts, postings, revisions, search, vectors
 from foliary.sources.tables import document_chunks, identified, plain_chunks, stored, table
 from foliary.streaming import events as ev
 from foliary.streaming import sources
@@ -577,6 +577,45 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return ev.first_of_each(table(spark, d, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
+_KIND = "CASE WHEN event_type IN ('view', 'purchase') THEN 'stage' WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'invalidate' END WHEN event_type = 'click' AND event_id % 4 < 2 THEN CASE WHEN event_id % 4 = 0 THEN 'discard' ELSE 'visibility' END ELSE 'commit' END"
+_STEPS = f"""WITH RECURSIVE k AS (SELECT user_id, event_id, {_KIND} AS kind FROM events WHERE user_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER w AS rn, last_value(CASE WHEN kind = 'stage' THEN event_id END IGNORE NULLS) OVER w AS cand FROM k WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT *, CASE WHEN kind NOT IN ('visibility', 'invalidate', 'delete') THEN 'r' || CASE WHEN event_id % 11 = 0 AND kind <> 'stage' THEN 0 ELSE cand END END AS rev, CASE WHEN kind = 'stage' THEN 'x' || event_id % 2 WHEN kind = 'commit' AND event_id % 5 = 0 THEN 'x0' END AS sha, CASE WHEN kind = 'commit' AND event_id % 4 = 0 THEN event_id % 3 END AS expected, CASE WHEN kind = 'visibility' THEN CASE event_id % 3 WHEN 0 THEN 'exempt' WHEN 1 THEN 'active' ELSE 'bad' END END AS val FROM p),
+r AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS vis, CAST(NULL AS VARCHAR) AS act, CAST(0 AS BIGINT) AS num, CAST(NULL AS VARCHAR) AS staged, CAST(NULL AS VARCHAR) AS ssha, false AS ok FROM l
+  UNION ALL
+  SELECT user_id, rn,
+    CASE WHEN NOT ok THEN vis WHEN kind = 'stage' THEN coalesce(vis, 'unverified') WHEN kind = 'commit' AND vis <> 'exempt' THEN 'active' WHEN kind = 'visibility' THEN val WHEN kind = 'invalidate' THEN 'unverified' WHEN kind = 'delete' THEN 'deleted' ELSE vis END,
+    CASE WHEN ok AND kind = 'commit' AND vis <> 'exempt' THEN rev WHEN ok AND kind = 'delete' THEN NULL ELSE act END,
+    num + CASE WHEN ok AND kind IN ('commit', 'delete') THEN 1 ELSE 0 END,
+    CASE WHEN NOT ok THEN staged WHEN kind = 'stage' THEN rev WHEN kind IN ('commit', 'discard') THEN NULL ELSE staged END,
+    CASE WHEN ok AND kind = 'stage' THEN sha ELSE ssha END, ok
+  FROM (SELECT r.user_id, l.rn, r.vis, r.act, r.num, r.staged, r.ssha, l.kind, l.rev, l.sha, l.val, CASE l.kind WHEN 'stage' THEN true WHEN 'commit' THEN coalesce(l.rev = r.staged, false) AND coalesce(l.expected = r.num, true) AND coalesce(l.sha = r.ssha, true) AND NOT (r.vis = 'deleted' AND l.expected IS NULL) WHEN 'discard' THEN coalesce(l.rev = r.staged, false) WHEN 'visibility' THEN r.vis IS NOT NULL AND l.val <> 'bad' WHEN 'invalidate' THEN r.vis IS NOT NULL ELSE coalesce(r.vis <> 'deleted', false) END AS ok FROM r JOIN l ON r.user_id = l.user_id AND l.rn = r.rn + 1)
+)
+SELECT CAST(user_id AS VARCHAR) AS source, max_by(vis, rn) AS visibility, max_by(CASE WHEN act IS NULL THEN '' ELSE act END, rn) AS active, max(num) AS number, sum(CAST(ok AS INT)) AS accepted FROM r GROUP BY 1 HAVING max_by(vis, rn) IS NOT NULL"""
+
+
+@query(_STEPS.replace("sum(CAST(ok AS INT))", "CAST(sum(CAST(ok AS INT)) AS BIGINT)"))
+def revision_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a log of revisions: what each source ends with, and how many events were accepted."""
+    kind = F.when(F.col("event_type").isin("view", "purchase"), "stage").when(F.col("event_type") == "error", F.when(F.expr("event_id % 3 = 0"), "delete").otherwise("invalidate"))
+    kind = kind.when(F.expr("event_type = 'click' and event_id % 4 < 2"), F.when(F.expr("event_id % 4 = 0"), "discard").otherwise("visibility")).otherwise("commit")
+    line = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = table(spark, d, "events").where("user_id is not null").select("user_id", "event_id", kind.alias("kind"))
+    e = e.withColumn("cand", F.last(F.when(F.col("kind") == "stage", F.col("event_id")), ignorenulls=True).over(line))
+    log = e.selectExpr(
+        "event_id as seq", "cast(user_id as string) as source", "kind",
+        "case when kind not in ('visibility', 'invalidate', 'delete') then concat('r', case when event_id % 11 = 0 and kind <> 'stage' then 0 else cand end) end as revision",
+        "case when kind = 'stage' then concat('x', event_id % 2) when kind = 'commit' and event_id % 5 = 0 then 'x0' end as sha",
+        "case when kind = 'commit' and event_id % 4 = 0 then event_id % 3 end as expected",
+        "case when kind = 'visibility' then case event_id % 3 when 0 then 'exempt' when 1 then 'active' else 'bad' end end as value",
+        "cast(null as string) as blob",
+    )
+    told = stored(revisions.verdicts(log), "verdicts")
+    accepted = told.groupBy("source").agg(F.sum((F.col("verdict") == "accepted").cast("long")).alias("accepted"))
+    return revisions.documents(told).join(accepted, "source").select("source", "visibility", F.coalesce("active", F.lit("")).alias("active"), "number", "accepted")
+
+
 _LOG = "(SELECT CAST(user_id AS VARCHAR) AS source, ts AS tm, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'sample' END AS kind, CASE WHEN event_type NOT IN ('error', 'purchase') THEN CAST(floor(value / 100) AS BIGINT) END AS size, event_type AS sha FROM events)"
 _PLACE = "PARTITION BY source ORDER BY tm, kind, size NULLS FIRST, sha"
 _SETTLED = f"""WITH l AS (SELECT *, last_value(CASE WHEN kind = 'sample' THEN size END IGNORE NULLS) OVER ({_PLACE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(CAST(kind = 'done' AS INT)) OVER ({_PLACE} ROWS UNBOUNDED PRECEDING) AS run FROM {_LOG}),
