@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliary.functions import ignore
 from foliary.functions import text as tx
 from foliary.operators import chunking, facts, postings, revisions, search, vectors
 from foliary.sources.tables import document_chunks, identified, plain_chunks, stored, table
@@ -125,6 +126,16 @@ def ignore_last_match(spark: SparkSession, d: str) -> DataFrame:
     return facts.ignored(docs, _RULES).select("doc_id", "is_ignored")
 
 
+_GLOBS = ("# rules", "*7.md", "!src1*/", "SRC[2-4]/", "/src5/1?.md", "!src5/11.md", "src6", "!*77.md", "src1*/*0.md", "archive/")
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN regexp_matches(path, '^src1.*/.*0\\.md$') THEN true WHEN regexp_matches(path, '77\\.md$') THEN false WHEN starts_with(path, 'src6/') THEN true WHEN path = 'src5/11.md' THEN false WHEN regexp_matches(path, '^src5/1.\\.md$') THEN true WHEN regexp_matches(path, '^src[2-4]/') THEN true WHEN regexp_matches(path, '^src1[^/]*/') THEN false WHEN regexp_matches(path, '7\\.md$') THEN true END, false) AS is_ignored FROM (SELECT doc_id, source || '/' || doc_id || '.md' AS path FROM documents)")
+def ignore_globs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an ignore file over paths of documents."""
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, d, "documents").select("doc_id", ignore.is_ignored(path, _GLOBS).alias("is_ignored"))
+
+
 @query(f"SELECT doc_id FROM {CHUNKS} WHERE starts_with(source, 'doc/1') AND vault IN ('src1', 'src2') AND list_has_any([lang, vault], ['de', 'src2'])")
 def filter_prefix_tags(spark: SparkSession, d: str) -> DataFrame:
     tags = F.arrays_overlap(F.array("lang", "vault"), F.array(F.lit("de"), F.lit("src2")))
