@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions import ignore
 from foliary.functions import text as tx
-from foliary.operators import chunking, facts, postings, revisions, search, vectors
+from foliary.operators import answers, chunking, evaluation, facts, postings, revisions, search, vectors
 from foliary.sources.tables import document_chunks, identified, plain_chunks, stored, table
 from foliary.streaming import events as ev
 from foliary.streaming import sources
@@ -646,6 +647,43 @@ def source_status(spark: SparkSession, d: str) -> DataFrame:
     return sources.statuses(log).groupBy("source", "status").agg(F.count("*").alias("n"), F.max("failures").alias("most_failures"))
 
 
+_BASE, _BUDGET, _OFFSET = {"query": QUERY, "count": "many"}, 1500, 8
+_BARE = json.dumps({"content": [{"type": "text", "text": json.dumps(_BASE | {"chunks": [], "truncated": None, "returned": 0, "next_offset": 0})}]})
+_FIXED = len(_BARE) - len("null") - 2
+
+
+@query(f"""WITH i AS (SELECT source, doc_id, strlen('{{"id": ' || doc_id || ', "chars": ' || coalesce(n_chars, 0) || '}}') + 4 AS cost FROM documents),
+s AS (SELECT source, row_number() OVER w AS k, count(*) OVER (PARTITION BY source) AS n, {_FIXED} + sum(cost) OVER w + 2 * (row_number() OVER w - 1) AS size FROM i WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, size + length(CAST(k AS VARCHAR)) + length(CAST(k + {_OFFSET} AS VARCHAR)) AS bytes FROM s),
+g AS (SELECT source, any_value(n) AS n, max(CASE WHEN k = n THEN bytes END) + 5 AS whole, max(CASE WHEN k < n AND bytes + 4 <= {_BUDGET} THEN k END) AS k, max(CASE WHEN k < n AND bytes + 4 <= {_BUDGET} THEN bytes END) + 4 AS part FROM t GROUP BY 1)
+SELECT source, CASE WHEN whole <= {_BUDGET} THEN n ELSE k END AS returned, CAST(CASE WHEN whole <= {_BUDGET} THEN n ELSE k END + {_OFFSET} AS BIGINT) AS next_offset, CAST(CASE WHEN whole <= {_BUDGET} THEN whole ELSE part END AS BIGINT) AS bytes, whole > {_BUDGET} AS truncated FROM g""")
+def answer_budget(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of each source fit into an answer of 1500 bytes."""
+    item = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "chars": '), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit("}"))
+    rows = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    got = answers.within_answer(rows, ["source"], [F.col("doc_id")], item, _BASE, _BUDGET, _OFFSET)
+    return got.select("source", "returned", "next_offset", "bytes", "truncated")
+
+
+@query("WITH q AS (SELECT row_number() OVER (ORDER BY o_custkey, delta) - 1 AS i, delta FROM (SELECT o_custkey, CAST(round(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END) / count(*), 12) AS DECIMAL(30, 12)) AS delta FROM orders GROUP BY 1)), n AS (SELECT count(*) AS n FROM q), r AS (SELECT id // n AS b, ('0x' || substr(md5('17:' || id), 1, 8))::BIGINT % n AS i FROM n, range(500 * (SELECT n FROM n)) t(id)), m AS (SELECT b, CAST(sum(delta) AS DOUBLE) / any_value(n) AS m FROM r JOIN q USING (i), n GROUP BY 1), o AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS at_ FROM m) SELECT n, round((SELECT CAST(sum(delta) AS DOUBLE) FROM q) / n, 9) AS mean, round((SELECT m FROM o WHERE at_ = 12), 9) AS low, round((SELECT m FROM o WHERE at_ = 487), 9) AS high FROM n")
+def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the mean of a difference by customer, over 500 samples with replacement."""
+    delta = F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1)) / F.count("*")
+    got = evaluation.bootstrap_interval(table(spark, d, "orders").groupBy("o_custkey").agg(delta.alias("delta")), "o_custkey", "delta")
+    return got.select("n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS at_, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, f AS fraction, value FROM r, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(f) WHERE at_ = CAST(floor((n - 1) * f) AS BIGINT)")
+def value_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.percentiles(table(spark, d, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])
+
+
+@query("SELECT count(*) AS total, CASE WHEN count(*) > 12 THEN 12 END::BIGINT AS next_offset, count(*) > 12 AS page_truncated FROM (SELECT DISTINCT source FROM documents WHERE starts_with(source, 'src1'))")
+def listing_info(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "documents").where(F.col("source").startswith("src1")).select("source").distinct()
+    return answers.listing(sources, [F.col("source")], 5, 7)[1]
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
