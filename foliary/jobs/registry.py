@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from foliary.functions import ignore
 from foliary.functions import text as tx
-from foliary.operators import answers, chunking, evaluation, facts, postings, revisions, search, vectors
-from foliary.sources.tables import document_chunks, identified, plain_chunks, stored, table
+from foliary.operators import answers, chunking, evaluation, facts, postings, reading, revisions, search, vectors
+from foliary.sources import snapshots
+from foliary.sources.tables import document_chunks, identified, plain_chunks, shared_folder, stored, table
 from foliary.streaming import events as ev
 from foliary.streaming import sources
 
@@ -647,6 +648,54 @@ def source_status(spark: SparkSession, d: str) -> DataFrame:
     return sources.statuses(log).groupBy("source", "status").agg(F.count("*").alias("n"), F.max("failures").alias("most_failures"))
 
 
+_TREE = "(SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, role || ' ' || turn % 3 AS name, '> ' || replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), ' ') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM conversations)"
+_HEADED = f"""WITH t AS {_TREE}, h AS (SELECT *, repeat('#', level) || ' ' || name || chr(10) || body AS part, 2 * pos - 1 AS line FROM t),
+e AS (SELECT a.conv_id, a.pos, a.name, a.line, coalesce(min(b.pos), max(a.last) + 1) AS stop FROM (SELECT *, max(pos) OVER (PARTITION BY conv_id) AS last FROM h) a LEFT JOIN h b ON a.conv_id = b.conv_id AND b.pos > a.pos AND b.level <= a.level GROUP BY 1, 2, 3, 4),
+q AS (SELECT conv_id, count(*) FILTER (name = 'user 1') AS n, min(pos) FILTER (name = 'user 1') AS pos FROM h GROUP BY 1),
+f AS (SELECT q.conv_id, q.n, e.line, e.pos, e.stop FROM q LEFT JOIN e ON q.n = 1 AND e.conv_id = q.conv_id AND e.pos = q.pos)
+SELECT CAST(conv_id AS VARCHAR) AS source, CASE n WHEN 0 THEN 'no heading' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS state, CAST(line AS INTEGER) AS start_line, CAST(2 * stop - 2 AS INTEGER) AS end_line, CASE WHEN n = 1 THEN sha256((SELECT string_agg(part, chr(10) ORDER BY pos) FROM h WHERE h.conv_id = f.conv_id AND h.pos >= f.pos AND h.pos < f.stop)) END AS sha FROM f"""
+
+
+@query(_HEADED)
+def heading_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents with a heading for each turn: the section "user 1" of each."""
+    line = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    body = F.translate(F.coalesce("text", F.lit("")), "\r\n", "  ")
+    part = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), "role", F.lit(" "), (F.col("turn") % 3).cast("string"), F.lit("\n> "), body)
+    turns = table(spark, d, "conversations").select("conv_id", F.row_number().over(line).alias("pos"), part.alias("part"))
+    docs = turns.groupBy(F.col("conv_id").cast("string").alias("source")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    docs = stored(docs, "documents")
+    got = reading.read_heading(docs, "source", "text", docs.select("source", F.lit(" user 1 ").alias("heading")))
+    return got.select("source", "state", "start_line", "end_line", F.sha2("content", 256).alias("sha"))
+
+
+@query("SELECT doc_id, content, len(string_split(content, chr(10))) - 1 + 2 - CASE WHEN cut AND ends_with(content, chr(10)) THEN 1 ELSE 0 END AS end_line, cut AS truncated FROM (SELECT doc_id, substr(whole, 1, 120) AS content, length(whole) > 120 AS cut FROM (SELECT doc_id, substr(array_to_string(a[2:5], chr(10)), 4) AS whole, a FROM (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS a FROM documents WHERE text IS NOT NULL) WHERE len(a) >= 2 AND length(a[2]) >= 3))")
+def line_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Lines 2 to 5 of each document from their fourth character, 120 characters at most."""
+    got = table(spark, d, "documents").select("doc_id", reading.read_lines(F.col("text"), 2, 5, 3, 120).alias("r")).where("r is not null")
+    return got.select("doc_id", "r.content", F.col("r.end_line").cast("long").alias("end_line"), "r.truncated")
+
+
+@query("WITH n AS (SELECT 'src' || (doc_id % 40) AS stem, doc_id FROM documents) SELECT link, CASE WHEN c IS NULL THEN 'unknown' WHEN c > 1 THEN 'ambiguous' ELSE 'found' END AS state, CASE WHEN c = 1 THEN target END AS target, coalesce(c, 0) AS n FROM (SELECT '[[Notes/' || upper('src' || p_partkey) || '|see]]' AS link, 'src' || p_partkey AS stem FROM part) LEFT JOIN (SELECT stem, count(*) AS c, min(stem || '/' || stem || '.md') AS target FROM (SELECT DISTINCT stem, doc_id % 80 AS k FROM n WHERE doc_id % 80 < 60) GROUP BY 1) USING (stem)")
+def wikilinks(spark: SparkSession, d: str) -> DataFrame:
+    """Links by name to files, of which some have the same name in two folders."""
+    name = F.concat(F.lit("src"), (F.col("doc_id") % 40).cast("string"))
+    files = table(spark, d, "documents").where("doc_id % 80 < 60").select(F.concat(F.when(F.expr("doc_id % 80 < 40"), F.lit("")).otherwise("z/"), name, F.lit("/"), name, F.lit(".md")).alias("source")).distinct()
+    links = table(spark, d, "part").select(F.concat(F.lit("[[Notes/"), F.upper(F.concat(F.lit("src"), F.col("p_partkey").cast("string"))), F.lit("|see]]")).alias("link"))
+    return reading.resolve_links(links, files)
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
+def snapshot_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and vectors exported, checked and taken over."""
+    made = {"space": "test/64"}
+    path, target = shared_folder(spark, "snapshot"), shared_folder(spark, "taken")
+    snapshots.export(spark, path, {"documents": table(spark, d, "documents"), "vectors": table(spark, d, "embeddings")}, made)
+    snapshots.take_over(spark, path, target, made, {"vectors": ["space"]})
+    return spark.read.parquet(f"{target}/documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+
+
 _BASE, _BUDGET, _OFFSET = {"query": QUERY, "count": "many"}, 1500, 8
 _BARE = json.dumps({"content": [{"type": "text", "text": json.dumps(_BASE | {"chunks": [], "truncated": None, "returned": 0, "next_offset": 0})}]})
 _FIXED = len(_BARE) - len("null") - 2

@@ -20,13 +20,13 @@ SPACE, HAN, START, REST, MARK, OTHER = 0.15, 0.62, 1.30, 0.25, 0.0, 1.15
 _HAN = r"[㐀-鿿豈-﫿\x{20000}-\x{323AF}]"
 
 
-def line_table(docs: DataFrame, source_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+def line_table(docs: DataFrame, source_col: str, text_col: str, keep: Sequence[str] = (), exempted: bool = False) -> DataFrame:
     """kept (a struct of the columns ``keep``), source, tags, used, and one entry for each line below the front matter in lines, ignore, fence, level, name, flags, opens, closes, cost.
 
-    Exempt documents are left out. Costs are hundredths of estimated tokens.
+    Exempt documents are left out, unless ``exempted``. Costs are hundredths of estimated tokens.
     """
     rows = docs.select(F.struct(F.lit(0).alias("__"), *keep).alias("kept"), F.col(source_col).cast("string").alias("source"), md.lines_of(F.col(text_col)).alias("all")).withColumn("used", md.front_size(F.col("all")))
-    rows = rows.withColumn("found", F.when(F.col("used") > 0, md.front_matter(F.col("all"), F.col("used")))).where(~md.exempt(F.col("found")))
+    rows = rows.withColumn("found", F.when(F.col("used") > 0, md.front_matter(F.col("all"), F.col("used")))).where(F.lit(exempted) | ~md.exempt(F.col("found")))
     rows = rows.select("kept", "source", md.listed(F.col("found")["tags"]).alias("tags"), "used", F.slice("all", F.col("used") + 1, F.greatest(F.size("all"), F.lit(1))).alias("lines"))
     rows = rows.withColumn("heads", F.transform("lines", md.heading))
     marks = {"ignore": md.ignore_mark, "fence": md.fence_mark, "flags": tb.table_flags, "opens": lambda x: F.regexp_count(x, F.lit(tb.OPENS)), "closes": lambda x: F.regexp_count(x, F.lit(tb.CLOSES)), "cost": token_hundredths}
