@@ -232,11 +232,13 @@ def _plain_blocks(lines: Sequence[str]) -> list[tuple[int, int]]:
 
 
 def token_hundredths(t: Column) -> Column:
-    """Hundredths of estimated tokens, from counts of character classes."""
-    n = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    space, han, word = n(r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"), n(_HAN), n(r"[A-Za-z0-9_]")
-    starts, marks = n(r"[A-Za-z0-9_]+"), n(r"\p{M}")
-    other = F.length(t) - space - han - word - marks
+    """Hundredths of estimated tokens, from counts of character classes: by how much shorter a text is without their runs."""
+    size = F.length(t)
+    gone = lambda pattern: size - F.length(F.regexp_replace(t, pattern, ""))
+    other_scripts = lambda pattern: F.when(F.octet_length(t) == size, 0).otherwise(gone(pattern))  # noqa: E731  ASCII has none
+    space, word, starts = gone(r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]+"), gone("[A-Za-z0-9_]+"), F.regexp_count(t, F.lit("[A-Za-z0-9_]+"))
+    han, marks = other_scripts(f"{_HAN}+"), other_scripts(r"\p{M}+")
+    other = size - space - han - word - marks
     return (space * 15 + han * 62 + starts * 130 + (word - starts) * 25 + other * 115).cast("long")
 
 
