@@ -4,11 +4,12 @@ Documents become pieces of at most ``capacity`` tokens. Only the counts of each
 ``capacity`` numbers, so the plan is made once from a histogram, whatever the number of documents:
 
 1. lengths above ``capacity * small`` are large; sorted downwards they are cut into groups of equal cardinality,
-   and each is rounded up to the largest of its group;
+   and each is rounded up to the largest of its group (no more lengths than groups stay as they are);
 2. few sizes remain, so configurations (multisets of sizes that fit one sequence) are optimised by column
    generation: a linear programme over patterns, new patterns by a knapsack, then rounding down;
-3. actual lengths take the slots of their group; what rounding left over is packed best-fit, largest first;
-4. small lengths, largest first, go best-fit into the room that is left.
+3. actual lengths take the slots: each the longest that its size allows, the last slot of a sequence the longest that its room
+   allows, so that little of what rounding up cost is lost; what rounding down left is grouped and optimised again;
+4. what no whole configuration takes, and small lengths, largest first, go best-fit into the room that is left.
 
 All of this runs on runs of equal sequences, so it costs the same for a thousand documents and for a trillion.
 Documents then find their sequences by their rank among equal lengths, which comes from a two-level prefix sum.
@@ -29,9 +30,13 @@ from .common import free_name, materialise
 from .tokens import default_path, encoder
 
 GROUPS = 96
-SMALL = 1 / 8
-#: Prefix-sum buckets of each length, so that a length which a third of all pieces share is ranked in parallel.
-BUCKETS = 256
+#: Lengths above this share of the capacity are large.
+SMALL = 1 / 5
+#: Times that what is left of the large lengths is grouped and optimised again.
+ROUNDS = 3
+#: Each length is ranked in prefix-sum buckets, so that one which a third of all pieces share is ranked in parallel: at least so many,
+#: and so many that a bucket holds about ``IN_BUCKET`` pieces even if all are of one length.
+BUCKETS, IN_BUCKET = 256, 500_000
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, tokenizer_path: str | None = None) -> DataFrame:
@@ -106,72 +111,83 @@ def _patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int
     return [(cols[:, i].astype(int), int(x[i] + 1e-6)) for i in range(m) if x[i] >= 1 - 1e-6]
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL) -> list[tuple[int, list[int]]]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL, rounds: int = ROUNDS) -> list[tuple[int, list[int]]]:
     """(times, lengths): ``times`` sequences that each hold these lengths. Every piece of the histogram is in one.
 
-    Rounding costs room where there are few small pieces to fill it, so the plan is compared with that of no large lengths.
+    Large lengths are grouped and optimised up to ``rounds`` times, each time those that the time before left over.
     """
-    plans = [_grouped(dict(histogram), capacity, groups, s) for s in (small, 1.0)]
-    return min(plans, key=lambda runs: sum(times for times, _ in runs))
-
-
-def _grouped(histogram: dict[int, int], capacity: int, groups: int, small: float) -> list[tuple[int, list[int]]]:
     left = {n: c for n, c in histogram.items() if c}
     runs: list[tuple[int, list[int]]] = []
     if full := left.pop(capacity, 0):
         runs.append((full, [capacity]))
-    large = sorted((n for n in left if n > capacity * small), reverse=True)
-    total = sum(left[n] for n in large)
-    if total:
-        # groups of equal cardinality over the lengths sorted downwards; a length may be shared by two groups
-        share = -(-total // groups)
-        parts: list[list[list[int]]] = [[]]
-        room = share
-        for n in large:
-            c = left.pop(n)
-            while c:
-                if not room:
-                    parts.append([])
-                    room = share
-                t = min(c, room)
-                parts[-1].append([n, t])
-                c, room = c - t, room - t
-        sizes: dict[int, list[list[int]]] = {}
-        for p in parts:
-            sizes.setdefault(p[0][0], []).extend(p)
-        order = sorted(sizes, reverse=True)
-        demand = np.array([sum(c for _, c in sizes[s]) for s in order], float)
-        for pattern, times in _patterns(np.array(order), demand, capacity):
-            runs += _substitute(order, sizes, pattern, times)
-        for p in sizes.values():
-            for n, c in p:
-                if c:
-                    left[n] = left.get(n, 0) + c
+    for _ in range(rounds):
+        large = {n: left[n] for n in left if n > capacity * small}
+        placed = _configured(large, capacity, groups)
+        if not placed:
+            break
+        runs += placed
+        left = {n: c for n, c in left.items() if n <= capacity * small} | large
     return _best_fit(runs, left, capacity)
 
 
-def _substitute(order: list[int], sizes: dict[int, list[list[int]]], pattern: np.ndarray, times: int) -> list[tuple[int, list[int]]]:
-    """Up to ``times`` sequences whose slots take the actual lengths of their groups, in runs of equal ones."""
+def _configured(large: dict[int, int], capacity: int, groups: int) -> list[tuple[int, list[int]]]:
+    """Sequences by the best configurations of the rounded lengths; what they hold is taken from ``large``."""
+    demand = _rounded(large, groups)
+    if not demand:
+        return []
+    order = sorted(demand, reverse=True)
+    chosen = _patterns(np.array(order), np.array([demand[s] for s in order], float), capacity)
+    lengths = sorted(large)
+    # long slots first: they find what their size allows, and the last slots of others make up for the rest
+    found = [([s for s, k in zip(order, pattern, strict=True) for _ in range(k)], times) for pattern, times in chosen]
+    return [run for slots, times in sorted(found, reverse=True) for run in _substitute(large, lengths, slots, times, capacity)]
+
+
+def _rounded(large: dict[int, int], groups: int) -> dict[int, int]:
+    """Demand of each size: lengths sorted downwards in groups of equal cardinality, each rounded up to the largest of its group.
+
+    No more lengths than groups need no rounding.
+    """
+    if len(large) <= groups:
+        return dict(large)
+    share = -(-sum(large.values()) // groups)
+    demand: dict[int, int] = {}
+    size = room = 0
+    for n in sorted(large, reverse=True):
+        c = large[n]
+        while c:
+            if not room:
+                size, room = n, share
+            t = min(c, room)
+            demand[size] = demand.get(size, 0) + t
+            c, room = c - t, room - t
+    return demand
+
+
+def _substitute(large: dict[int, int], lengths: list[int], slots: list[int], times: int, capacity: int) -> list[tuple[int, list[int]]]:
+    """Up to ``times`` sequences of actual lengths in these slots, in runs of equal ones; ``lengths`` are those of ``large``, ascending."""
     out: list[tuple[int, list[int]]] = []
     while times:
+        used: dict[int, int] = {}
         taken: list[int] = []
-        used: dict[int, dict[int, int]] = {}
-        for i in np.flatnonzero(pattern):
-            stock, u = sizes[order[i]], used.setdefault(i, {})
-            need = int(pattern[i])
-            for j, (n, c) in enumerate(stock):
-                while need and c > u.get(j, 0):
-                    u[j] = u.get(j, 0) + 1
-                    taken.append(n)
-                    need -= 1
-        # a slot without a piece stays empty, so the pattern always fits
+        room = capacity
+        for i, size in enumerate(slots):
+            j = bisect.bisect_right(lengths, min(size, room) if i + 1 < len(slots) else room) - 1
+            while j >= 0 and large[lengths[j]] == used.get(lengths[j], 0):
+                j -= 1
+            if j < 0:  # later slots are no longer, so they stay empty too
+                break
+            taken.append(lengths[j])
+            used[lengths[j]] = used.get(lengths[j], 0) + 1
+            room -= lengths[j]
         if not taken:
             break
-        k = min([times, *(sizes[order[i]][j][1] // v for i, u in used.items() for j, v in u.items())])
-        for i, u in used.items():
-            for j, v in u.items():
-                sizes[order[i]][j][1] -= v * k
-            sizes[order[i]] = [e for e in sizes[order[i]] if e[1]]
+        k = min(times, *(large[n] // u for n, u in used.items()))
+        for n, u in used.items():
+            large[n] -= u * k
+            if not large[n]:
+                del large[n]
+                lengths.remove(n)
         out.append((k, taken))
         times -= k
     return out
@@ -237,13 +253,15 @@ def pack(parts: DataFrame, capacity: int, length_col: str = "length", tie_cols:
 
     ``parts`` must give the same rows when read again (a written table). The driver sees at most ``capacity`` counts
     and the tasks get at most some thousand runs. Rows whose length is null or out of range raise an error.
-    Equal rows are places of their own. Columns named sequence_id and offset must not exist.
+    Equal rows are places of their own; no rows give none. Columns named sequence_id and offset are replaced.
     """
-    bad = parts.where(F.col(length_col).isNull() | ~F.col(length_col).between(1, capacity)).limit(1).count()
-    if bad:
+    parts = parts.drop("sequence_id", "offset")
+    total, fit = parts.agg(F.count("*"), F.count_if(F.col(length_col).between(1, capacity))).first()
+    if total != fit:
         raise ValueError(f"lengths must be from 1 to {capacity}")
+    buckets = max(BUCKETS, total // IN_BUCKET)
     bucket, rank, base, count = (free_name(parts.columns, x) for x in ("bucket", "rank", "base", "count"))
-    dealt = parts.withColumn(bucket, F.pmod(F.xxhash64(*tie_cols), F.lit(BUCKETS)).cast("int"))
+    dealt = parts.withColumn(bucket, F.pmod(F.xxhash64(*tie_cols), F.lit(buckets)).cast("int"))
     per = materialise(dealt.groupBy(F.col(length_col).alias("l"), F.col(bucket).alias("b")).agg(F.count("*").alias(count)), "lengths")
     histogram = {r["l"]: r["c"] for r in per.groupBy("l").agg(F.sum(count).alias("c")).collect()}
     places = slots(plan(histogram, capacity, groups, small))

@@ -216,6 +216,31 @@ def test_plan_holds_every_piece():
         assert used <= 1.06 * max(sum(n * c for n, c in h.items()) / 256, sum(c for n, c in h.items() if n > 128))
 
 
+def test_plan_of_rounded_lengths_needs_hardly_more_than_the_bound():
+    r = random.Random(31)
+    h = collections.Counter(min(1024, 1 + int(r.paretovariate(0.8) * 90)) for _ in range(6000))
+    large = {n: c for n, c in h.items() if n > 1024 * packing.SMALL and n != 1024}
+    assert len(large) > packing.GROUPS and len(packing._rounded(large, packing.GROUPS)) <= packing.GROUPS
+    runs = packing._configured(dict(large), 1024, packing.GROUPS)
+    # most large pieces are placed by configurations, not by the best fit that follows
+    assert sum(t * len(lengths) for t, lengths in runs) >= 0.9 * sum(large.values())
+    used, words = sum(t for t, _ in packing.plan(h, 1024)), sum(n * c for n, c in h.items())
+    assert used <= 1.01 * max(words / 1024, sum(c for n, c in h.items() if n > 512)) + 1
+    assert packing.plan({}, 1024) == [] and packing.plan({1024: 3}, 1024) == [(3, [1024])]
+
+
+def test_pack_replaces_places_and_refuses_lengths_out_of_range(spark):
+    rows = [(1, 0, 5, "a", 7), (1, 0, 5, "a", 7), (2, 0, 3, "b", 8), (None, 0, 8, None, 9)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, length long, Offset string, sequence_id long")
+    got = packing.pack(parts, 8)
+    assert got.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+    assert sorted(collections.Counter(x.sequence_id for x in got.collect()).values()) == [1, 1, 2]
+    assert packing.pack(parts.limit(0), 8).count() == 0
+    for bad in (0, 9, None):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(1, 0, bad)], "doc_id long, piece int, length long"), 8)
+
+
 def test_toxicity_learns_from_its_own_rows_only(spark):
     r = random.Random(10)
     rows, labels = [], []
