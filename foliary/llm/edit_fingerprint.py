@@ -24,6 +24,8 @@ from .graph import components
 SAMPLES = 256
 PERIOD = 4096
 SEED = 5
+#: Likeness below which two texts are not compared exactly: of 150 texts with every tenth character edited none was below 0.1.
+MARGIN = 0.08
 _BATCH = 2_000_000  # characters walked together
 
 
@@ -286,11 +288,36 @@ def bands(classes: np.ndarray, path: np.ndarray, count: int, width: int) -> list
     return out
 
 
-def edit_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.9, count: int = 16, width: int = 8, cap: int = 256) -> DataFrame:
+def window_bands(texts: Sequence[np.ndarray], count: int, width: int = 16, places: int = 40, run: int = 8) -> list[list[int]]:
+    """For each text, hashes of ``width`` sampled places of walks that begin anew at up to ``count`` anchors of the text.
+
+    Anchors are where the runs of ``run`` characters of least hash occur first, so that texts with common passages share them. A walk
+    over a whole text falls out of step after many edits; these see about ``places / 2`` characters each and forget what came before.
+    """
+    windows, of = [], []
+    for t, c in enumerate(texts):
+        if len(c) >= run:
+            runs = mix64(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(c, run)).view(np.uint64).reshape(-1))
+            _, first = np.unique(runs, return_index=True)
+            for i in first[:count].tolist():
+                windows.append(c[i : i + places])
+                of.append(t)
+    sampled = np.sort([p for p in _by_priority(places.bit_length()).tolist() if p < places][:width])
+    out: list[list[int]] = [[] for _ in texts]
+    for t, c, path in zip(of, windows, walk(windows, [0] * len(windows)), strict=True):
+        raw = b"w" + c[np.searchsorted(path[:-1], sampled, side="right") - 1].tobytes()
+        out[t].append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
+    return out
+
+
+def edit_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.9, count: int = 16, width: int = 8, anchors: int = 64, cap: int = 256) -> DataFrame:
     """id, component_id of documents linked by edit similarity 1 - distance / longer length >= ``similarity``.
 
-    Equal texts are one class (null texts are empty ones, and one class too). Classes that share a band of sampled places are compared: first by
-    fingerprints, with a margin, then exactly. Large buckets are split into pairs of blocks. component_id is the smallest id reachable.
+    Equal texts are one class (null texts are empty ones, and one class too); repeated rows are rows of their own, and no rows give none.
+    Other columns are not read. Classes that share a band of sampled places, of the walk over the whole text or of one from an anchor, are
+    compared: first by fingerprints, with a margin, then exactly. Large buckets are split into pairs of blocks. component_id is the smallest
+    id reachable, null only if all of a group are. Of texts of 200 characters and more with scattered edits at least 0.9 are found at
+    each similarity from 0.9 up (see the test); shorter ones at 0.9 to 0.95 may be missed more often.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
     one = rows.groupBy("key").agg(F.first("text").alias("text"))
@@ -301,7 +328,7 @@ def edit_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float =
             classes = [char_classes(t) for t in texts]
             paths = walk(classes, [0] * len(texts))
             prints = [fingerprint(c, p) for c, p in zip(classes, paths, strict=True)]
-            keys = [bands(c, p, count, width) for c, p in zip(classes, paths, strict=True)]
+            keys = [bands(c, p, count, width) + w for c, p, w in zip(classes, paths, window_bands(classes, anchors), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text"), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))], ["key", "text", "print", "bands"])
 
     prints = materialise(one.mapInArrow(run, "key string, text string, print string, bands array<bigint>"), "bands")
@@ -320,7 +347,7 @@ def edit_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float =
                     if (both and side[i] == side[j]) or uf.find(i) == uf.find(j) or abs(len(texts[i]) - len(texts[j])) > (1 - similarity) * longer:
                         continue
                     # an edit may put walks out of step for a while: the likeness bound is loose
-                    if likeness(fps[i], fps[j]) >= 0.2 and edit_distance(texts[i], texts[j]) <= (1 - similarity) * longer:
+                    if likeness(fps[i], fps[j]) >= MARGIN and edit_distance(texts[i], texts[j]) <= (1 - similarity) * longer:
                         uf.join(i, j)
                         found.append((keys[i], keys[j]))
             if found:
