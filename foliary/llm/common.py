@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +25,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder URI below the checkpoint folder of the session.
 
-    Where the session names none (as in tests), a temporary folder is set once.
+    Where the session names none, a local session (as in tests) gets a temporary folder once; on a cluster that is an error, as
+    executors could not reach it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
             base = tempfile.mkdtemp(prefix="foliary-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/foliary/{name}-{uuid.uuid4().hex}"
@@ -50,12 +55,17 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 def row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a column that tells its rows apart in the same way in each pass, and the name of that column.
 
-    Of a table read from files it is the file and the place therein, whatever tasks read it; anything else is numbered and written once.
+    Of a Parquet table it is the file and the place therein, whatever tasks read it; anything else (other files too, which tell no
+    places) is numbered and written once.
     """
     rid = free_name(docs.columns, "rid")
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    if plan.nodeName().startswith("LogicalRelation") and "_metadata" not in (c.lower() for c in docs.columns):
-        return docs.withColumn(rid, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))), rid
+    java = getattr(docs, "_jdf", None)  # a remote session has none
+    if java is not None and java.queryExecution().optimizedPlan().nodeName().startswith("LogicalRelation") and "_metadata" not in (c.lower() for c in docs.columns):
+        try:
+            return docs.withColumn(rid, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))), rid
+        except AnalysisException as e:
+            if e.getCondition() != "FIELD_NOT_FOUND":
+                raise
     number = F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r"))
     return materialise(docs.withColumn(rid, number), "rows"), rid
 

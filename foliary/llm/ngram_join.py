@@ -28,6 +28,8 @@ from .graph import components
 RANKED = 1 << 20
 #: Classes of a bucket that meet in one task; larger buckets are split into pairs of blocks.
 CAP = 400
+#: Parts into which rows without an id are spread where ids are joined.
+NULL_SALTS = 64
 #: Tokens in one trie node, so that long tails are cut early.
 SEGMENT = 256
 
@@ -247,8 +249,12 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     # the earliest in the global order, as the same member sees it
     chosen = buckets.groupBy("c", "x1", "x2").agg(F.min(F.struct("one.at", "tok")).getField("tok").alias("tok")).select("tok", "c")
     members = materialise(posts.join(chosen, "tok").join(pools.select("rid", "id", "key"), "rid"), "members")
+    # null ids are spread by text, so that many of them do not meet in one task
     ids = members.select(F.col("id").alias("live_id")).distinct()
-    picked = docs.join(ids, F.col("id").eqNullSafe(F.col("live_id")), "left_semi").withColumn("rid", F.lit(0).cast("long"))
+    ids = ids.withColumn("live_salt", F.explode(F.when(F.col("live_id").isNull(), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salt = F.when(F.col("id").isNull(), F.pmod(F.hash("text"), F.lit(NULL_SALTS))).otherwise(0)
+    live = F.col("id").eqNullSafe(F.col("live_id")) & (salt == F.col("live_salt"))
+    picked = docs.join(ids, live, "left_semi").withColumn("rid", F.lit(0).cast("long"))
     sets = materialise(set_table(picked, k, num, den, order, full=True).select("key", "toks").dropDuplicates(["key"]), "sets")
     # first the largest bucket of each class; a bucket whose members all have the same largest one lies within it
     best = members.groupBy("rid").agg(F.max(F.struct("c", "tok")).getField("tok").alias("best"))

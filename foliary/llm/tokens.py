@@ -33,8 +33,12 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path)
+        rule = self.model.pre_tokenizer
+        #: Other vocabularies may split or change texts differently: they get whole texts.
+        self.cuttable = self.model.normalizer is None and isinstance(rule, ByteLevel) and rule.use_regex and not rule.add_prefix_space
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -89,7 +93,7 @@ class Encoder:
         for t in texts:
             t = t or ""
             # a text that holds a special token's string is encoded whole, as the library reads such strings as that token
-            (head,), words = _cuts(t) if not any(map(t.__contains__, self.special)) else ([t], [])
+            (head,), words = _cuts(t) if self.cuttable and not any(map(t.__contains__, self.special)) else ([t], [])
             ids = [*map(get, words)]
             if None in ids:
                 at = [*compress(range(len(ids)), map(_NONE, ids))]
