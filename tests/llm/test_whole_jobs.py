@@ -42,6 +42,24 @@ def test_line_dedup_finds_lines_with_one_edit(spark):
     assert all(not got[i] for i in got if i not in want)
 
 
+def test_line_dedup_loses_no_pair_of_lines_with_scattered_edits(spark):
+    r = random.Random(23)
+    rows, near = [], {}
+    for n in (5, 10, 20, 50):
+        for share in (0.5, 0.8, 1):
+            for _ in range(25):
+                a = b = " ".join(words(r, n))
+                for _ in range(int(0.1 * len(a) * share)):
+                    at = r.randrange(1, len(b) - 1)
+                    b = b[:at] + r.choice((r.choice(string.ascii_lowercase), r.choice(string.ascii_lowercase) + b[at], "")) + b[at + 1 :]
+                rows += [(2 * len(near), a), (2 * len(near) + 1, b)]
+                near[2 * len(near) + 1] = (a == b or similar(" ".join(a.split()), " ".join(b.split()))) and len(b.split()) >= 5
+    got = {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(written(spark, rows)).collect()}
+    assert sum(near.values()) > 200
+    assert sum(near.values()) > 200
+    assert {i for i, n in got.items() if n} == {i for i, s in near.items() if s}
+
+
 def test_jaccard_of_very_long_near_copies(spark):
     long = [f"w{i}" for i in range(300_000)]
     near = [*long[:150_000], "changed", *long[150_001:]]
