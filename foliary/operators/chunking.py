@@ -17,20 +17,45 @@ from foliary.operators.token_chunks import Limits, section_pieces
 
 # Estimated tokens of a space, a Han character, the start and the rest of an ASCII word, a mark, any other character.
 SPACE, HAN, START, REST, MARK, OTHER = 0.15, 0.62, 1.30, 0.25, 0.0, 1.15
+#: Bytes of text of a task that cuts documents: so much is in Python at once, with some ten times as much of what was found in its lines.
+TASK_BYTES = 1 << 20
 _HAN = r"[㐀-鿿豈-﫿\x{20000}-\x{323AF}]"
 
 
+def spread(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` dealt evenly to tasks of about ``TASK_BYTES`` bytes of text each, however few files or row groups hold them."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return docs.repartition(max(1, -(-total // TASK_BYTES)))
+
+
 def line_table(docs: DataFrame, source_col: str, text_col: str, keep: Sequence[str] = (), exempted: bool = False) -> DataFrame:
     """kept (a struct of the columns ``keep``), source, tags, used, and one entry for each line below the front matter in lines, ignore, fence, level, name, flags, opens, closes, cost.
 
     Exempt documents are left out, unless ``exempted``. Costs are hundredths of estimated tokens.
     """
-    rows = docs.select(F.struct(F.lit(0).alias("__"), *keep).alias("kept"), F.col(source_col).cast("string").alias("source"), md.lines_of(F.col(text_col)).alias("all")).withColumn("used", md.front_size(F.col("all")))
-    rows = rows.withColumn("found", F.when(F.col("used") > 0, md.front_matter(F.col("all"), F.col("used")))).where(F.lit(exempted) | ~md.exempt(F.col("found")))
-    rows = rows.select("kept", "source", md.listed(F.col("found")["tags"]).alias("tags"), "used", F.slice("all", F.col("used") + 1, F.greatest(F.size("all"), F.lit(1))).alias("lines"))
-    rows = rows.withColumn("heads", F.transform("lines", md.heading))
-    marks = {"ignore": md.ignore_mark, "fence": md.fence_mark, "flags": tb.table_flags, "opens": lambda x: F.regexp_count(x, F.lit(tb.OPENS)), "closes": lambda x: F.regexp_count(x, F.lit(tb.CLOSES)), "cost": token_hundredths}
-    return rows.select("kept", "source", "tags", "used", "lines", F.col("heads.level").alias("level"), F.col("heads.name").alias("name"), *[F.transform("lines", f).alias(c) for c, f in marks.items()])
+    # most texts and lines hold none of the characters that a mark begins with, which is quick to see; ``may`` is the same test on both
+    may = {
+        "heads": lambda x: F.contains(x, F.lit("#")) | x.rlike("(?i)第|chapter"),
+        "ignore": lambda x: F.contains(x, F.lit("<!--")),
+        "fence": lambda x: F.contains(x, F.lit("```")) | F.contains(x, F.lit("~~~")),
+        "flags": lambda x: x.rlike("[#<|]|---|```|~~~"),
+        "opens": lambda x: F.contains(x, F.lit("<")),
+        "closes": lambda x: F.contains(x, F.lit("<")),
+    }
+    none = {"heads": F.struct(F.lit(-1).cast("tinyint").alias("level"), F.lit("").alias("name")), "ignore": F.lit(0).cast("tinyint"), "fence": F.lit(""), "flags": F.lit(0).cast("tinyint"), "opens": F.lit(0), "closes": F.lit(0)}
+
+    def each(name: str, f) -> Column:
+        found = F.transform("lines", lambda x: F.when(may[name](x), f(x)).otherwise(none[name]))
+        return F.when(F.col("may")[name], found).otherwise(F.array_repeat(none[name], F.size("lines")))
+
+    seen = F.struct(*[f(F.col(text_col)).alias(c) for c, f in may.items()]).alias("may")
+    rows = docs.select(F.struct(F.lit(0).alias("__"), *keep).alias("kept"), F.col(source_col).cast("string").alias("source"), seen, F.startswith(F.ltrim(F.coalesce(text_col, F.lit(""))), F.lit("---")).alias("front"), md.lines_of(F.col(text_col)).alias("all"))
+    rows = rows.withColumn("used", F.when(F.col("front"), md.front_size(F.col("all"))).otherwise(0))
+    rows = rows.withColumn("found", F.when(F.col("used") > 0, md.front_matter(F.col("all"), F.col("used")))).where(F.lit(exempted) | ~F.col("front") | ~md.exempt(F.col("found")))
+    rows = rows.select("kept", "source", "may", md.listed(F.col("found")["tags"]).alias("tags"), "used", F.slice("all", F.col("used") + 1, F.greatest(F.size("all"), F.lit(1))).alias("lines"))
+    rows = rows.withColumn("heads", each("heads", md.heading))
+    marks = {"ignore": md.ignore_mark, "fence": md.fence_mark, "flags": tb.table_flags, "opens": lambda x: F.regexp_count(x, F.lit(tb.OPENS)), "closes": lambda x: F.regexp_count(x, F.lit(tb.CLOSES))}
+    return rows.select("kept", "source", "tags", "used", "lines", F.col("heads.level").alias("level"), F.col("heads.name").alias("name"), *[each(c, f).alias(c) for c, f in marks.items()], F.transform("lines", token_hundredths).alias("cost"))
 
 
 def hidden_lines(ignore: np.ndarray) -> np.ndarray:
@@ -197,7 +222,7 @@ def chunk_documents(docs: DataFrame, source_col: str, text_col: str, size: int =
     what a chunk holds so far) is folded document by document in Arrow batches, without a shuffle. A null text has no chunks. The columns ``keep``
     of the document come first; their names must differ from those above.
     """
-    rows = line_table(docs, source_col, text_col, keep).withColumn("cost", F.expr("array_repeat(0L, size(lines))"))
+    rows = line_table(spread(docs, text_col), source_col, text_col, keep).withColumn("cost", F.expr("array_repeat(0L, size(lines))"))
     return _fold(rows, lambda s, u, d: document_rows(s, u, d, size, overlap), _KEYS | _CHUNK, _DDL, keep)
 
 
@@ -208,7 +233,7 @@ def chunk_documents_by_tokens(docs: DataFrame, source_col: str, text_col: str, l
     HTML table or a table row may exceed the hard limit; such a chunk is oversize and is not for embedding. A null text has no chunks.
     """
     at = limits.hundredths()
-    rows = _fold(line_table(docs, source_col, text_col, keep), lambda s, u, d: token_rows(s, u, d, at), _KEYS | _CHUNK | _CUT, _DDL + ", start_char int, end_char int, synthetic_chars int, oversize boolean", keep)
+    rows = _fold(line_table(spread(docs, text_col), source_col, text_col, keep), lambda s, u, d: token_rows(s, u, d, at), _KEYS | _CHUNK | _CUT, _DDL + ", start_char int, end_char int, synthetic_chars int, oversize boolean", keep)
     return rows.withColumn("tokens", estimated_tokens("content")).withColumn("oversize", F.col("oversize") | (F.col("tokens") > limits.hard)).withColumn("embeddable", ~F.col("oversize"))
 
 
@@ -239,7 +264,8 @@ def token_hundredths(t: Column) -> Column:
     space, word, starts = gone(r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]+"), gone("[A-Za-z0-9_]+"), F.regexp_count(t, F.lit("[A-Za-z0-9_]+"))
     han, marks = other_scripts(f"{_HAN}+"), other_scripts(r"\p{M}+")
     # 15 for a space, 62 for a Han character, 130 for the first and 25 for each further character of a word, none for a mark, 115 for any other: each count is used once
-    return (size * 115 - space * 100 - han * 53 - word * 90 + starts * 105 - marks * 115).cast("long")
+    whole = (size * 115 - space * 100 - han * 53 - word * 90 + starts * 105 - marks * 115).cast("long")
+    return F.when(t.rlike(r"^[A-Za-z0-9_]+\z"), (size * 25 + 105).cast("long")).otherwise(whole)  # one word
 
 
 def estimated_tokens(text: str | Column) -> Column:

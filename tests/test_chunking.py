@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from foliary.functions import markdown as md
+from foliary.functions import tables as tb
 from foliary.operators import chunking
 
 
@@ -63,3 +64,21 @@ def test_chapters(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, l string")
     got = [tuple(r[0]) for r in df.orderBy("i").select(md.heading(F.col("l"))).collect()]
     assert got == [(0, "Chapter 12 The end"), (0, "第三章 起点"), *[(-1, "")] * 3, (0, "chapter 3"), (-1, ""), (1, "A"), (-1, ""), (2, "c d")]
+
+
+def test_cutting_is_spread_whatever_holds_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", "some words\n" * 200) for i in range(20)], "path string, text string").coalesce(1)
+    monkeypatch.setattr(chunking, "TASK_BYTES", 4400)
+    made = chunking.chunk_documents(docs, "path", "text")
+    assert made.rdd.getNumPartitions() == 10
+    assert made.select("source").distinct().count() == 20
+
+
+def test_lines_are_what_the_expressions_say_with_marks_anywhere(spark):
+    lines = ["", "word", "a_b9", "# Head", "x # y", "Chapter 3 The sea", "第三章 海", "<!-- rag-ignore -->", "<TABLE >a</table>", "</td>", "```", " ~~~~ py", "|---|", "--- x", "a | b", "é word", "漢字 e\u0301"]
+    docs = [("every", "\n".join(lines)), *[(f"one{i}", f"plain\n{x}") for i, x in enumerate(lines)], ("null", None)]
+    df = spark.createDataFrame(docs, "path string, text string")
+    exprs = {"ignore": md.ignore_mark, "fence": md.fence_mark, "flags": tb.table_flags, "opens": lambda x: F.regexp_count(x, F.lit(tb.OPENS)), "closes": lambda x: F.regexp_count(x, F.lit(tb.CLOSES))}
+    table = chunking.line_table(df, "path", "text", exempted=True)
+    want = table.select(*[F.transform("lines", f).alias(c) for c, f in exprs.items()], F.transform("lines", lambda x: md.heading(x)["level"]).alias("level"), F.transform("lines", lambda x: md.heading(x)["name"]).alias("name"))
+    assert [tuple(r) for r in table.select(*want.columns).collect()] == [tuple(r) for r in want.collect()]
