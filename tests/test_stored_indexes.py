@@ -68,6 +68,53 @@ def test_only_touched_shards_are_written(spark, tmp_path):
     assert "PartitionFilters" in plan and "In(gram" in plan
 
 
+def test_an_upsert_appends_postings_until_more_are_dead_than_live(spark, tmp_path):
+    index = postings.TrigramIndex(spark, f"{tmp_path}/index", shards=1, slots=2).create()
+    first = [(f"s{i}", 0, t + " alpha") for i, t in enumerate(texts(6, 40))]
+    index.upsert(chunk_table(spark, first))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet") if "slot=" in str(p) and "slot=-1" not in str(p)}
+    before = files()
+    fresh = [(f"s{i}", 0, t + " beta") for i, t in enumerate(texts(7, 5))]
+    index.upsert(chunk_table(spark, fresh))
+    assert before.items() <= files().items() and len(files()) > len(before)
+    same_route(spark, index, fresh + first[5:])
+    named = lambda: index.read().where("nos is not null").select("seg", F.explode("nos").alias("no")).distinct().count()
+    assert named() == 45 and index.count() == 40
+    index.delete(spark.createDataFrame([(f"s{i}",) for i in range(30)], "source string"))
+    assert not before.keys() & files().keys() and named() == index.count() == 10
+    same_route(spark, index, first[30:])
+    index.compact()
+    assert len(files()) == 2 and named() == 10
+    same_route(spark, index, first[30:])
+
+
+def test_postings_of_a_call_that_was_cut_off_are_dead(spark, tmp_path, monkeypatch):
+    index = postings.TrigramIndex(spark, f"{tmp_path}/index", shards=2, slots=2).create()
+    first = [(f"s{i}", 0, t) for i, t in enumerate(texts(8, 12))]
+    index.upsert(chunk_table(spark, first))
+
+    def fail(*_):
+        raise OSError("cut off")
+
+    fresh = [(f"s{i}", 0, t) for i, t in enumerate(texts(9, 4))]
+    with monkeypatch.context() as m:
+        m.setattr(postings.TrigramIndex, "_rewrite", fail)
+        with pytest.raises(OSError, match="cut off"):
+            index.upsert(chunk_table(spark, fresh))
+    same_route(spark, index, first)
+    index.upsert(chunk_table(spark, fresh))
+    same_route(spark, index, fresh + first[4:])
+
+
+def test_tasks_of_one_shard_make_the_same_postings(spark, monkeypatch):
+    monkeypatch.setattr(postings, "TASK_CHARS", 500)
+    monkeypatch.setattr(postings, "SORT_CHARS", 200)
+    index = postings.TrigramIndex(spark, postings.shared_folder(spark, "t"), shards=3, slots=2).create()
+    rows = [(f"s{i % 7}", i // 7, t) for i, t in enumerate(texts(10, 60))]
+    index.upsert(chunk_table(spark, rows))
+    same_route(spark, index, rows)
+
+
 def test_a_phrase_is_covered_by_few_trigrams():
     assert [o for o, _ in postings.covering("abc")] == [0]
     assert [o for o, _ in postings.covering("license")] == [0, 3, 4]
