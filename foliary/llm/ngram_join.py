@@ -8,6 +8,9 @@ subtrees whose remaining lengths cannot reach the bound. Only edges of a spannin
 
 Near copies share many tokens, so their buckets hold much the same classes. The largest bucket of each class comes first. What may still link
 across the components found is sent once per chain of overlapping buckets, where that is less than once per bucket.
+
+Texts travel, not sets: a word takes fewer bytes than its token, and tasks make the sets anew. Only texts that a task asks for are shuffled: a
+bounded filter of bits leaves out most others where they are read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shingler, UnionFind, attach, block_pairs, groups, materialise
+from .common import Shingler, UnionFind, attach, block_pairs, free_name, groups, materialise
 from .graph import components
 
 #: Most tokens whose counts every task holds (12 MB). Beyond it, only larger counts are told apart, which
@@ -28,8 +31,8 @@ from .graph import components
 RANKED = 1 << 20
 #: Classes of a bucket that meet in one task; larger buckets are split into pairs of blocks.
 CAP = 400
-#: Parts into which rows without an id are spread where ids are joined.
-NULL_SALTS = 64
+#: Bits of the filter of the rows that are asked for (8 MB).
+SIFT = 1 << 26
 #: Tokens in one trie node, so that long tails are cut early.
 SEGMENT = 256
 
@@ -68,31 +71,36 @@ def ranks(counts: DataFrame, most: int = RANKED) -> tuple[np.ndarray, np.ndarray
     return toks[by], np.minimum(got.column("c").to_numpy(), (1 << 32) - 1).astype(np.uint32)[by]
 
 
-def set_table(docs: DataFrame, k: int, num: int, den: int, order, full: bool) -> DataFrame:
-    """rid, id, key (16-byte digest of the shingle set), n (its size) and toks in global order: all, or those to index.
+def in_order(sets: list[np.ndarray], known: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Sets that are sorted by hash in the global order: by ``count`` of the tokens ``known``, then by hash."""
+    flat = np.concatenate(sets)
+    at = np.searchsorted(known, flat)
+    at[at == len(known)] = 0
+    c = np.where(known[at] == flat, count[at], 0) if len(known) else np.zeros(len(flat), np.uint32)
+    ends = np.cumsum([len(s) for s in sets])
+    return [s[np.argsort(c[e - len(s) : e], kind="stable")].view(np.int64) for s, e in zip(sets, ends, strict=True)]
+
+
+def set_keys(sets: list[np.ndarray]) -> list[bytes | None]:
+    import xxhash
+
+    return [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+
+
+def set_table(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
+    """rid, id, key (16-byte digest of the shingle set), n (its size) and toks: those to index, in global order.
 
     Needs columns rid, id and text. Rows without words have n = 0 and a null key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         shingler = Shingler(k)
-        known, count = order.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             sets = shingler.sets(batch.column("text"))
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            ns = [len(s) for s in sets]
-            flat = np.concatenate(sets)
-            at = np.searchsorted(known, flat)
-            at[at == len(known)] = 0
-            c = np.where(known[at] == flat, count[at], 0) if len(known) else np.zeros(len(flat), np.uint32)
-            ends = np.cumsum(ns)
-            for i, (s, n, e) in enumerate(zip(sets, ns, ends, strict=True)):
-                s = s[np.argsort(c[e - n : e], kind="stable")].view(np.int64)
-                sets[i] = s if full else s[: prefix_length(n, num, den)]
+            keys, ns = set_keys(sets), [len(s) for s in sets]
+            sets = [s[: prefix_length(n, num, den)] for s, n in zip(in_order(sets, *order.value), ns, strict=True)]
             offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             toks = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets)))
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), toks], ["rid", "id", "key", "n", "toks"])
@@ -100,6 +108,36 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, order, full: bool) ->
     return docs.select("rid", "id", "text").mapInArrow(run, "rid bigint, id bigint, key binary, n int, toks array<bigint>")
 
 
+def sifted(rows: DataFrame, col: str, wanted: DataFrame, bits: int = SIFT) -> DataFrame:
+    """The rows whose ``col`` (a number or null) is in that of ``wanted``, and some others: those that share its bit. Nothing is shuffled but bits."""
+    place = F.pmod(F.xxhash64(col), F.lit(bits))
+    words = wanted.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held")).toArrow()
+    mask = np.zeros(bits // 64, np.uint64)
+    mask[words.column("w").to_numpy()] = words.column("held").to_numpy().view(np.uint64)
+    mask = rows.sparkSession.sparkContext.broadcast(mask)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bit = b.column(b.num_columns - 1).to_numpy().astype(np.uint64)
+            held = mask.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(held.astype(bool)))
+
+    return rows.withColumn(free_name(rows.columns, "bit"), place).mapInArrow(run, rows.schema)
+
+
+def text_table(docs: DataFrame, k: int) -> DataFrame:
+    """no, key and text of the rows of ``docs`` that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(k)
+        for batch in batches:
+            if batch.num_rows:
+                keys = pa.array(set_keys(shingler.sets(batch.column("text"))), pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, batch.column("text")], ["key", "text"]).filter(keys.is_valid())
+
+    return docs.select("text").mapInArrow(run, "key binary, text string").select(F.monotonically_increasing_id().alias("no"), "key", "text")
+
+
 class _Node:
     """Tokens ``seg`` after those of the parent; below it are the sets at lo..hi-1 of the sorted order."""
 
@@ -237,7 +275,7 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     spark = docs.sparkSession
     numbered = docs if "rid" in docs.columns else docs.withColumn("rid", F.monotonically_increasing_id())
     order = spark.sparkContext.broadcast(ranks(materialise(token_counts(docs, k, num, den), "counts"), ranked))
-    pools = materialise(set_table(numbered, k, num, den, order, full=False), "pools")
+    pools = materialise(set_table(numbered, k, num, den, order), "pools")
     one = pools.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"))
     heads = pools.where("n > 0").join(one.select("rid"), "rid", "left_semi")
     posts = heads.select("rid", F.col("n").cast("long").alias("n"), F.posexplode("toks").alias("at", "tok")).select("tok", "rid", "n", F.col("at").cast("long").alias("at"))
@@ -249,27 +287,24 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     # the earliest in the global order, as the same member sees it
     chosen = buckets.groupBy("c", "x1", "x2").agg(F.min(F.struct("one.at", "tok")).getField("tok").alias("tok")).select("tok", "c")
     members = materialise(posts.join(chosen, "tok").join(pools.select("rid", "id", "key"), "rid"), "members")
-    # null ids are spread by text, so that many of them do not meet in one task
-    ids = members.select(F.col("id").alias("live_id")).distinct()
-    ids = ids.withColumn("live_salt", F.explode(F.when(F.col("live_id").isNull(), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    salt = F.when(F.col("id").isNull(), F.pmod(F.hash("text"), F.lit(NULL_SALTS))).otherwise(0)
-    live = F.col("id").eqNullSafe(F.col("live_id")) & (salt == F.col("live_salt"))
-    picked = docs.join(ids, live, "left_semi").withColumn("rid", F.lit(0).cast("long"))
-    sets = materialise(set_table(picked, k, num, den, order, full=True).select("key", "toks").dropDuplicates(["key"]), "sets")
+    # the texts of all members, which other rows may have too: one row is taken of each set
+    texts = materialise(text_table(sifted(docs.select("id", "text"), "id", members.select("id")), k), "texts")
+    sources = materialise(texts.groupBy("key").agg(F.min("no").alias("no")).join(members.select("key").distinct(), "key", "left_semi"), "sources")
+    shape = (texts, sources, order, k, num, den, cap)
     # first the largest bucket of each class; a bucket whose members all have the same largest one lies within it
     best = members.groupBy("rid").agg(F.max(F.struct("c", "tok")).getField("tok").alias("best"))
     held = members.join(best, "rid")
     tops = best.select(F.col("best").alias("tok")).distinct()
     within = held.groupBy("tok").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo = hi").select("tok")
     tried = members.join(tops, "tok", "left_semi").select(F.lit(True).alias("whole"), "tok", "c", "rid", "key", F.col("rid").alias("grp"))
-    first = _links(tried, sets, num, den, cap)
+    first = _links(tried, *shape)
     # then what holds members of several components; most buckets are done by now
     found = components(first).withColumnRenamed("node", "key")
     named = members.join(tops.unionByName(within), "tok", "left_anti").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = named.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
     named = named.join(mixed, "tok", "left_semi").withColumn("grp", F.xxhash64("root")).select("tok", "rid", "n", "at", "grp", "c")
     apart = named.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(_partnered(num, den, ("grp", "c")), "tok bigint, rid bigint, n bigint, at bigint, grp bigint, c bigint")
-    rest = _links(_together(materialise(apart.select("tok", "rid", "grp"), "apart"), cap).join(pools.select("rid", "key"), "rid"), sets, num, den, cap)
+    rest = _links(_together(materialise(apart.select("tok", "rid", "grp"), "apart"), cap).join(pools.select("rid", "key"), "rid"), *shape)
     return pools.select("rid", "id", "key", "n"), first.unionByName(rest)
 
 
@@ -349,21 +384,25 @@ def _together(apart: DataFrame, cap: int) -> DataFrame:
     return chained.unionByName(sized.join(per_class.where("not whole").select("rid", "whole"), "rid").select("whole", "tok", "c", "rid", "grp"))
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int, cap: int) -> DataFrame:
-    """Edges within the buckets ``tok`` of ``members`` (whole, tok, c, rid, key, grp), whose ordered sets are in ``sets``, between groups.
+def _links(members: DataFrame, texts: DataFrame, sources: DataFrame, order, k: int, num: int, den: int, cap: int) -> DataFrame:
+    """Edges within the buckets ``tok`` of ``members`` (whole, tok, c, rid, key, grp), between groups. ``sources`` names the row of ``texts`` of each set.
 
     Not ``whole``: only between sets whose first shared token is the bucket's.
     """
+    by = ["whole", "tok", "blk_a", "blk_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["whole", "tok", "blk_a", "blk_b"]):
+        shingler = Shingler(k)
+        for t in groups(batches, by):
             keys, token = t.column("key").to_pylist(), None if t.column("whole")[0].as_py() else t.column("tok")[0].as_py()
-            found = trie_links([x.values.to_numpy() for x in t.column("toks")], t.column("blk").to_pylist(), num, den, token, t.column("grp").to_pylist())
+            sets = shingler.sets(t.column("text").cast(pa.large_string()).combine_chunks())
+            sets = [x.view(np.int64) for x in sets] if token is None else in_order(sets, *order.value)
+            found = trie_links(sets, t.column("blk").to_pylist(), num, den, token, t.column("grp").to_pylist())
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.binary()), pa.array([keys[j] for _, j in found], pa.binary())], ["a", "b"])
 
-    tasks = block_pairs(members, "tok", "c", F.xxhash64("rid"), cap).join(sets, "key").select("whole", "tok", "blk", "blk_a", "blk_b", "grp", "key", "toks")
-    by = ["whole", "tok", "blk_a", "blk_b"]
+    named = materialise(members.join(sources, "key"), "named")
+    tasks = block_pairs(named, "tok", "c", F.xxhash64("rid"), cap).join(sifted(texts.select("no", "text"), "no", named), "no").select(*by, "blk", "grp", "key", "text")
     return materialise(tasks.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary"), "links")
 
 

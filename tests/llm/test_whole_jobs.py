@@ -167,3 +167,31 @@ def test_groups_of_copies_that_barely_link_are_exact(spark, cap):
     near = [(i, j) for i in meet for j in meet if i < j and len(sets[i] & sets[j]) * 10 >= 9 * len(sets[i] | sets[j])]
     got = ngram_join.jaccard_groups(written(spark, list(enumerate(texts))), "doc_id", "text", 3, 90, 100, cap=cap).collect()
     assert {x.id: x.component_id for x in got} == union_of(meet, near)
+
+
+def test_sifting_keeps_every_row_that_is_asked_for_and_few_others(spark):
+    rows = spark.createDataFrame([(i if i % 50 else None, f"t{i}") for i in range(2000)], "n long, text string")
+    wanted = spark.createDataFrame([(7,), (None,), (-5,), (1999,)], "n long")
+    got = [tuple(r) for r in ngram_join.sifted(rows, "n", wanted).collect()]
+    assert len(got) < 60 and {r[0] for r in got} >= {7, 1999, None} and sum(r[0] is None for r in got) == 40
+    crowded = ngram_join.sifted(rows, "n", wanted, bits=64).collect()
+    assert len(got) < len(crowded) < 2000 and {tuple(r) for r in crowded} >= set(got)
+    assert ngram_join.sifted(rows, "n", wanted.limit(0)).count() == 0
+
+
+def test_few_texts_are_shuffled_and_each_set_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    near = [" ".join([*words[:200], f"x{i}"]) for i in range(3)]
+    rows = [(None, near[0])] * 30 + [(5, t) for t in near] + [(100 + i, " ".join(f"{i}-{w}" for w in words)) for i in range(50)]
+    seen = {}
+    real = ngram_join.materialise
+
+    def spy(df, name):
+        seen.setdefault(name, []).append(out := real(df, name))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", spy)
+    got = ngram_join.jaccard_groups(written(spark, rows), "doc_id", "text", 3, 90, 100).collect()
+    assert sum(r.component_id == 5 for r in got) == 33 and sum(r.kept for r in got) == 51
+    assert seen["texts"][0].count() == 33 and seen["sources"][0].count() == 3  # the others share no bucket
+    assert all(n.count() == n.select("tok", "rid").distinct().count() for n in seen["named"])
