@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shingler, UnionFind, attach, block_pairs, free_name, groups, materialise
+from .common import Shingler, UnionFind, attach, block_pairs, free_name, groups, materialise, session_conf, slices
 from .graph import components
 
 #: Most tokens whose counts every task holds (12 MB). Beyond it, only larger counts are told apart, which
@@ -50,9 +50,7 @@ def token_counts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, "text"):
             sets = shingler.sets(batch.column("text"))
             toks, c = np.unique(np.concatenate([s[: 3 * prefix_length(len(s), num, den) // 2] for s in sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(toks.view(np.int64)), pa.array(c)], ["tok", "n"])
@@ -95,9 +93,7 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, "text"):
             sets = shingler.sets(batch.column("text"))
             keys, ns = set_keys(sets), [len(s) for s in sets]
             sets = [s[: prefix_length(n, num, den)] for s, n in zip(in_order(sets, *order.value), ns, strict=True)]
@@ -108,34 +104,37 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
     return docs.select("rid", "id", "text").mapInArrow(run, "rid bigint, id bigint, key binary, n int, toks array<bigint>")
 
 
-def sifted(rows: DataFrame, col: str, wanted: DataFrame, bits: int = SIFT) -> DataFrame:
-    """The rows whose ``col`` (a number or null) is in that of ``wanted``, and some others: those that share its bit. Nothing is shuffled but bits."""
+def sifted(rows: DataFrame, col: str, wanted: DataFrame, bits: int = SIFT, then: tuple | None = None) -> DataFrame:
+    """The rows whose ``col`` (a number or null) is in that of ``wanted``, and some others: those that share its bit. Nothing is shuffled but bits.
+
+    ``then`` is a function of record batches and its schema, through which the rows go on in the same Python worker.
+    """
+    further, schema = then or (iter, rows.schema)
     place = F.pmod(F.xxhash64(col), F.lit(bits))
     words = wanted.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held")).toArrow()
     mask = np.zeros(bits // 64, np.uint64)
     mask[words.column("w").to_numpy()] = words.column("held").to_numpy().view(np.uint64)
     mask = rows.sparkSession.sparkContext.broadcast(mask)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bit = b.column(b.num_columns - 1).to_numpy().astype(np.uint64)
             held = mask.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)
             yield b.select(range(b.num_columns - 1)).filter(pa.array(held.astype(bool)))
 
-    return rows.withColumn(free_name(rows.columns, "bit"), place).mapInArrow(run, rows.schema)
+    return rows.withColumn(free_name(rows.columns, "bit"), place).mapInArrow(lambda batches: further(kept(batches)), schema)
 
 
-def text_table(docs: DataFrame, k: int) -> DataFrame:
-    """no, key and text of the rows of ``docs`` that have words."""
+def text_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """no, key and text of the rows of ``docs`` (id, text) that have words and an id of ``ids``, and of some others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
-        for batch in batches:
-            if batch.num_rows:
-                keys = pa.array(set_keys(shingler.sets(batch.column("text"))), pa.binary())
-                yield pa.RecordBatch.from_arrays([keys, batch.column("text")], ["key", "text"]).filter(keys.is_valid())
+        for batch in slices(batches, "text"):
+            keys = pa.array(set_keys(shingler.sets(batch.column("text"))), pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, batch.column("text")], ["key", "text"]).filter(keys.is_valid())
 
-    return docs.select("text").mapInArrow(run, "key binary, text string").select(F.monotonically_increasing_id().alias("no"), "key", "text")
+    return sifted(docs.select("id", "text"), "id", ids, then=(run, "key binary, text string")).select(F.monotonically_increasing_id().alias("no"), "key", "text")
 
 
 class _Node:
@@ -288,7 +287,7 @@ def class_links(docs: DataFrame, k: int, num: int, den: int, ranked: int = RANKE
     chosen = buckets.groupBy("c", "x1", "x2").agg(F.min(F.struct("one.at", "tok")).getField("tok").alias("tok")).select("tok", "c")
     members = materialise(posts.join(chosen, "tok").join(pools.select("rid", "id", "key"), "rid"), "members")
     # the texts of all members, which other rows may have too: one row is taken of each set
-    texts = materialise(text_table(sifted(docs.select("id", "text"), "id", members.select("id")), k), "texts")
+    texts = materialise(text_table(docs, members.select("id"), k), "texts")
     sources = materialise(texts.groupBy("key").agg(F.min("no").alias("no")).join(members.select("key").distinct(), "key", "left_semi"), "sources")
     shape = (texts, sources, order, k, num, den, cap)
     # first the largest bucket of each class; a bucket whose members all have the same largest one lies within it
@@ -416,7 +415,9 @@ def jaccard_groups(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num:
     whose values must be distinct and the same in each pass.
     """
     number = [F.col(rid_col).alias("rid")] if rid_col else []
-    rows, edges = class_links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *number), k, num, den, ranked, cap)
+    # workers get the texts in small batches; all that runs in Python is written within this block
+    with session_conf(docs.sparkSession, execution_arrow_maxBytesPerBatch="4m"):
+        rows, edges = class_links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *number), k, num, den, ranked, cap)
     comp = components(edges)
     named = rows.join(comp.withColumnRenamed("node", "key"), "key", "left").select("rid", "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("grp"))
     least = named.where("grp is not null").groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "rid")).alias("m"))
