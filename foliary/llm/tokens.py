@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
-from functools import partial
-from itertools import compress
-from operator import is_
 
 import numpy as np
 
 #: Name of the default vocabulary file; ``tokenizer_path`` is a parameter wherever it is used.
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 700_000
+#: Words whose ids a Python worker remembers, in two generations.
+REMEMBERED = 1_000_000
+#: New words that are encoded at once: few enough that the library's own tables for them stay in the processor's cache.
+TOGETHER = 128
 
 
 def default_path() -> str:
@@ -40,7 +39,9 @@ class Encoder:
         #: Other vocabularies may split or change texts differently: they get whole texts.
         self.cuttable = self.model.normalizer is None and isinstance(rule, ByteLevel) and rule.use_regex and not rule.add_prefix_space
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        #: Ids of words. Those not met in the newer half of what is remembered are ``older``; of these the ones that come again stay.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         words = self.model.get_vocab()
         self.width = np.zeros(max(words.values()) + 1, np.int64)  # bytes of each token: a character of the vocabulary is a byte
@@ -66,9 +67,9 @@ class Encoder:
             known[w] = known[base] + self.marks[w[len(base) :]]
 
     def _learn_plain(self, words: list[str]) -> None:
-        """Many words are encoded as one text and told apart by length."""
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
+        """Words are encoded as one text, ``TOGETHER`` at a time, and told apart by length."""
+        for i in range(0, len(words), TOGETHER):
+            some = words[i : i + TOGETHER]
             ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum([len(w.encode()) + 1 for w in some])
             upto = np.searchsorted(np.cumsum(self.width[ids]), ends, side="right").tolist()
@@ -84,32 +85,29 @@ class Encoder:
     def encode(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
         """uint32 ids of each text, with ``end`` appended if given; a null text is an empty one."""
         tail = b"" if end is None else np.array([end], np.uint32).tobytes()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
             self.marks.clear()
-        heads, out, gaps = [], [], []
+        heads, parts = [], []
         new: set[str] = set()
-        get = self.known.get
         for t in texts:
             t = t or ""
             # a text that holds a special token's string is encoded whole, as the library reads such strings as that token
             (head,), words = _cuts(t) if self.cuttable and not any(map(t.__contains__, self.special)) else ([t], [])
-            ids = [*map(get, words)]
-            if None in ids:
-                at = [*compress(range(len(ids)), map(_NONE, ids))]
-                gaps.append((ids, words, at))
-                new.update([words[i] for i in at])
+            # the words are looked up twice, but both times without a Python step for each
+            new |= set(words).difference(self.known)
             heads.append(head)
-            out.append(ids)
+            parts.append(words)
+        if self.older:
+            again = [*filter(self.older.__contains__, new)]
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            new.difference_update(again)
         if new:
             self._learn(new)
-            for ids, words, at in gaps:
-                for i in at:
-                    ids[i] = get(words[i])
-        return [np.frombuffer(b"".join([head, *ids, tail]), np.uint32) for head, ids in zip(self._alone(heads), out, strict=True)]
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join([head, *map(ids, words), tail]), np.uint32) for head, words in zip(self._alone(heads), parts, strict=True)]
 
 
-_NONE = partial(is_, None)
 #: Marks that may end a word.
 _MARKS = ".,;:!?#$%&*|)]}\"/-_+=~"
 #: White space other than the space and the line feed.

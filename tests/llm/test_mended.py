@@ -82,6 +82,18 @@ def test_vocabularies_with_other_rules_get_whole_texts():
             assert [x.tolist() for x in enc.encode(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_words_that_come_again_stay_remembered(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    enc = tokens.Encoder(tokens.default_path())
+    r, learnt, learn = random.Random(7), [], enc._learn_plain
+    monkeypatch.setattr(enc, "_learn_plain", lambda words: (learnt.extend(words), learn(words)))
+    texts = [f"head common often. {prose(r, 30)} (common" for _ in range(12)]
+    got = [enc.encode([t], 2)[0].tolist() for t in texts]
+    assert got == [enc.model.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [learnt.count(w) for w in ("common", "often", "(common")] == [1, 1, 1]
+    assert len(enc.known) + len(enc.older) < 120
+
+
 def test_many_rows_without_an_id_link(spark):
     r = random.Random(6)
     text = prose(r, 80)
