@@ -72,3 +72,9 @@ def test_the_filter_of_runs_holds_its_keys_and_few_others(spark):
     ids = {x.id for x in kept.select("id").collect()}
     assert ids >= set(range(500)) and len(ids) < 800
     assert not spark.range(9).crossJoin(line_dedup.held_words(keys.limit(0), 64)).where(line_dedup.is_held(F.expr("xxhash64(id)"), 64)).count()
+
+
+def test_the_filter_of_runs_lets_one_in_a_hundred_others_pass_at_most(spark):
+    mask = line_dedup.held_words(spark.range(2000).selectExpr("xxhash64(id) as key"), 1 << 15)
+    others = spark.range(2000, 22000).crossJoin(mask).where(line_dedup.is_held(F.expr("xxhash64(id)"), 1 << 15))
+    assert others.count() < 200
